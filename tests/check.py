@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import threading
 import time
 
 sys.path.insert(0, "/root/repo")
@@ -42,7 +43,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
     t1 = time.time()
     if sql is None:
         return f"rows-only {len(got)} rows {t1 - t0:.1f}s", True
-    cur = con.execute(sql)
+    timer = threading.Timer(60, con.interrupt)
+    timer.start()
+    try:
+        cur = con.execute(sql)
+    finally:
+        timer.cancel()
     want_cols = [d[0] for d in cur.description]
     want = cur.fetchall()
     t2 = time.time()
