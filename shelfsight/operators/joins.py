@@ -7,13 +7,16 @@ checked, and there is a shuffle plan with the same rows for anything larger.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 MAX_INLINE = 2000
 GRAM = 3
+AUTOMATON_FROM = 24  # from this many terms on, one automaton pass beats a scan per term
 
 
 def inline_rows(df: DataFrame, limit: int = MAX_INLINE):
@@ -28,6 +31,35 @@ def rows_literal(rows, schema) -> Column:
     return F.from_json(F.lit(body), f"array<{schema.simpleString()}>")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table whose scan has fewer splits than the session has cores.
+
+    Per-row text work on one small file would otherwise run in one task. A table with
+    enough splits is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _automaton_udf(terms: list[str]):
+    """Arrow UDF: indices of the terms contained in each text, in one pass over the text."""
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return None
+
+    @F.pandas_udf("array<int>")
+    def contained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        machine = ahocorasick.Automaton()
+        for i, t in enumerate(terms):
+            machine.add_word(t, i)
+        machine.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({i for _, i in machine.iter(t)}) if t else [] for t in texts])
+    return contained
+
+
 def containment_join(
     docs: DataFrame, terms: DataFrame, key: str, text: str, term: str,
     mode: str = "substring", limit: int = MAX_INLINE, keep: list[str] | None = None,
@@ -46,6 +78,14 @@ def containment_join(
         if not rows:
             return docs.select(*keep).join(terms, F.lit(False))
         arr = rows_literal(rows, terms.schema)
+        names = [r[term] for r in rows]
+        usable = [n for n in names if n]
+        find = None
+        if len(names) >= AUTOMATON_FROM and len(set(usable)) == len(names):
+            find = _automaton_udf(names)
+        if find is not None:
+            found = spread(docs).select(*keep, F.explode(find(F.col(text))).alias("_i"))
+            return found.select(*keep, F.element_at(arr, F.col("_i") + 1).alias("_t")).select(*keep, "_t.*")
         hit = F.filter(arr, lambda r: F.col(text).contains(r[term]))
         return docs.select(*keep, F.explode(hit).alias("_t")).select(*keep, "_t.*")
     # Larger term tables: equi-join on the leading characters of each term, then verify.

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shelfsight.operators.joins import containment_join, spread
 from shelfsight.plans.registry import table
 
 VOCAB_SIZE = 60
@@ -20,8 +21,8 @@ EMOTIONS = ["motivation", "curiosity", "confidence"]
 
 
 def transcripts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(
-        F.col("doc_id").alias("video_id"), "text", "lang", F.col("source").alias("channel"))
+    return spread(table(spark, d, "documents").select(
+        F.col("doc_id").alias("video_id"), "text", "lang", F.col("source").alias("channel")))
 
 
 DOC = "doc AS (SELECT doc_id AS video_id, text, lang, source AS channel FROM documents)"
@@ -122,7 +123,6 @@ DICT = (
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     """Timed entity mentions: vocabulary words found in conversation turns."""
-    from shelfsight.operators.joins import containment_join
     segs = segments(spark, d).withColumn("_lower", F.lower("text"))
     ents = vocab(spark, d).select("term", "rk")
     hit = containment_join(segs, ents, "video_id", "_lower", "term",
