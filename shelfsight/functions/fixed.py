@@ -195,3 +195,23 @@ FREE_CALLS_PER_DAY = 5
 BUDGET = {"per_request": 0.01, "daily": 0.50, "monthly": 10.00, "alert": 0.80}
 TOKEN_BUCKET = {"rate": 5.0, "daily_quota": 10000}
 TOKEN_COST = {"input": 0.15e-6, "output": 0.6e-6, "output_tokens": 150}
+
+# --- program relevance ----------------------------------------------------------------
+PROGRAM_KEYWORDS = {
+    "plants": ["plant", "plants", "nursery", "nurseries", "flower", "flowers", "shrub", "tree",
+               "bulb", "perennial", "annual", "succulent", "cactus", "fern", "palm", "orchid",
+               "rose", "tulip", "hedge", "climber", "vine"],
+    "seeds": ["seed", "seeds", "seedling", "germination", "propagation", "sowing"],
+    "tools": ["garden tool", "gardening tool", "secateur", "pruner", "shears", "spade", "fork",
+              "trowel", "hoe", "rake", "wheelbarrow", "lawnmower", "lawn mower", "strimmer",
+              "chainsaw", "loppers"],
+    "materials": ["compost", "fertilizer", "fertiliser", "mulch", "soil", "peat", "bark",
+                  "gravel", "membrane", "fleece", "netting", "pot", "planter", "raised bed",
+                  "grow bag"],
+    "books": ["gardening book", "garden book", "horticulture book", "botanical book"],
+    "courses": ["gardening course", "horticulture course", "RHS", "master gardener"],
+    "events": ["garden show", "flower show", "chelsea", "hampton court", "tatton"],
+    "general": ["garden", "gardening", "horticulture", "botanical", "allotment", "greenhouse",
+                "polytunnel", "conservatory", "landscape", "landscaping"],
+}
+HYBRID_PRESETS = {"balanced": (70, 20), "strict": (80, 20), "lenient": (90, 10)}

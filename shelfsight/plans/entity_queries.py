@@ -79,7 +79,7 @@ EXACT = (f"nq AS (SELECT query, {NORM} AS norm FROM qry), "
          "al2 AS (SELECT entry_pos, kind, alias, CASE kind WHEN 'latin' THEN 1 WHEN 'common' THEN 2 WHEN 'synonym' THEN 3 WHEN 'variety' THEN 4 ELSE 5 END AS stage FROM al), "
          "ex AS (SELECT query, norm, stage, entry_pos FROM nq LEFT JOIN al2 ON alias=norm QUALIFY row_number() OVER (PARTITION BY query ORDER BY stage, entry_pos)=1)")
 FUZZY = (
-    "pr AS (SELECT query, norm AS a, entry_pos, kind, alias AS b, string_split(norm,' ') AS wa, string_split(alias,' ') AS wb, instr(alias,norm) AS ix FROM ex, al2 "
+    "pr AS (SELECT query, norm AS a, al2.entry_pos, kind, alias AS b, string_split(norm,' ') AS wa, string_split(alias,' ') AS wb, instr(alias,norm) AS ix FROM ex, al2 "
     "WHERE ex.stage IS NULL AND kind IN ('latin','common','variety') AND norm<>''), "
     "ps AS (SELECT *, jaro_similarity(a,b) AS j, CASE WHEN a[1:4]=b[1:4] AND least(length(a),length(b))>=4 THEN 4 WHEN a[1:3]=b[1:3] AND least(length(a),length(b))>=3 THEN 3 "
     "WHEN a[1:2]=b[1:2] AND least(length(a),length(b))>=2 THEN 2 WHEN a[1:1]=b[1:1] THEN 1 ELSE 0 END AS pf FROM pr), "
