@@ -214,4 +214,4 @@ PROGRAM_KEYWORDS = {
     "general": ["garden", "gardening", "horticulture", "botanical", "allotment", "greenhouse",
                 "polytunnel", "conservatory", "landscape", "landscaping"],
 }
-HYBRID_PRESETS = {"balanced": (70, 20), "strict": (80, 20), "lenient": (90, 10)}
+HYBRID_PRESETS = {"aggressive-cost-saving": (70, 30), "balanced": (80, 20), "quality-first": (90, 10)}
