@@ -38,7 +38,8 @@ def event_categories(event: Column, plants: Column) -> Column:
     ev = F.lower(event)
     names = F.transform(plants, F.lower)
     for field, words, cats in fixed.EVENT_CATEGORY_RULES:
-        hit = any_contained(ev, words) if field == "event" else F.exists(names, lambda p, w=tuple(words): p.rlike("|".join(w)))
+        pat = "|".join(words)
+        hit = any_contained(ev, words) if field == "event" else F.array_join(names, "\n").rlike(pat)
         parts.append(F.when(hit, F.lit(cats)).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.concat(*parts))
 

@@ -47,7 +47,7 @@ def a2(spark, d):
 NS = "ns AS (SELECT conv_id AS video_id, turn, turn*1500e0 AS start_s, regexp_replace(regexp_replace(text,'\\[[^\\n]*?\\]','','g'),'^\\s+|\\s+$','','g') AS text FROM conversations WHERE conv_id%10<>9)"
 
 
-@query("a3_segment_normalise", m.with_(NS) + """SELECT video_id, start_s, 29.5e0 AS duration_s, text, CASE WHEN start_s>=3600 THEN lpad((start_s//3600)::BIGINT::VARCHAR,2,'0')||':' ELSE '' END
+@query("a3_segment_normalise", m.with_(NS) + """SELECT video_id, start_s, 29.5e0 AS duration_s, text, CASE WHEN start_s>=3600 THEN lpad((start_s::BIGINT//3600)::VARCHAR,2,'0')||':' ELSE '' END
  ||lpad(((start_s::BIGINT%3600)//60)::VARCHAR,2,'0')||':'||lpad((start_s::BIGINT%60)::VARCHAR,2,'0') AS ts FROM ns WHERE length(text)>0""")
 def a3(spark, d):
     return captions.normalise(captions.parse_json3(json3_bodies(spark, d))).drop("pos")

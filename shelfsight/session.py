@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", app: str = "shelfsight") -> SparkSessio
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.sql.session.timeZone", "UTC")
