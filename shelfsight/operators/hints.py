@@ -58,21 +58,20 @@ def entity_hints(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame, tre
     Genus hints are added only where no alias hint of the document carries that genus; a
     term found by several sources keeps the last source.
     """
-    low = docs.select("video_id", F.lower("text").alias("_low"))
-    found = containment_join(low, aliases, "video_id", "_low", "term", keep=["video_id"]).withColumn("_src", F.lit(0))
-    genera = dictionary.where("genus IS NOT NULL").select(F.lower("genus").alias("term")).distinct()
-    g = containment_join(low, genera, "video_id", "_low", "term", keep=["video_id"])
-    has = found.where("genus IS NOT NULL").select("video_id", F.lower("genus").alias("term")).distinct()
     none = F.lit(None).cast("string")
-    g = g.join(has, ["video_id", "term"], "left_anti").select(
-        "video_id", "term", F.lit("plant_dictionary").alias("source"), F.lit(0.85).alias("confidence"),
-        F.lit("high").alias("priority"), F.col("term").alias("genus"), none.alias("species"), none.alias("cultivar"),
-        F.lit(1).alias("_src"))
-    t = containment_join(low, trends.select("term"), "video_id", "_low", "term", keep=["video_id"]).select(
-        "video_id", "term", F.lit("market_trend").alias("source"), F.lit(0.75).alias("confidence"),
-        F.lit("medium").alias("priority"), none.alias("genus"), none.alias("species"), F.col("term").alias("cultivar"),
-        F.lit(2).alias("_src"))
-    every = found.select("video_id", *HINT, "_src").unionByName(g).unionByName(t)
+    genera = dictionary.where("genus IS NOT NULL").select(F.lower("genus").alias("term")).distinct()
+    terms = aliases.select(*HINT, F.lower("genus").alias("_gk"), F.lit(0).alias("_src"))
+    terms = terms.unionByName(genera.select(
+        "term", F.lit("plant_dictionary").alias("source"), F.lit(0.85).alias("confidence"), F.lit("high").alias("priority"),
+        F.col("term").alias("genus"), none.alias("species"), none.alias("cultivar"), F.col("term").alias("_gk"), F.lit(1).alias("_src")))
+    terms = terms.unionByName(trends.select(
+        "term", F.lit("market_trend").alias("source"), F.lit(0.75).alias("confidence"), F.lit("medium").alias("priority"),
+        none.alias("genus"), none.alias("species"), F.col("term").alias("cultivar"), none.alias("_gk"), F.lit(2).alias("_src")))
+    # One scan of the text for all three sources.
+    low = docs.select("video_id", F.lower("text").alias("_low"))
+    hit = containment_join(low, terms, "video_id", "_low", "term", keep=["video_id"])
+    carried = F.min("_src").over(W.partitionBy("video_id", "_gk")) == 0
+    every = hit.withColumn("_has", carried).where((F.col("_src") != 1) | ~F.col("_has"))
     last = F.max_by(F.struct(*HINT[1:]), "_src").alias("h")
     return every.groupBy("video_id", "term").agg(last).select("video_id", "term", "h.*")
 

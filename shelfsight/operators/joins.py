@@ -51,12 +51,15 @@ def _automaton_udf(terms: list[str]):
     @F.pandas_udf("array<int>")
     def contained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
-        machine = ahocorasick.Automaton()
+        rows: dict[str, list[int]] = {}
         for i, t in enumerate(terms):
-            machine.add_word(t, i)
+            rows.setdefault(t, []).append(i)
+        machine = ahocorasick.Automaton()
+        for t in rows:
+            machine.add_word(t, t)
         machine.make_automaton()
         for texts in batches:
-            yield pd.Series([sorted({i for _, i in machine.iter(t)}) if t else [] for t in texts])
+            yield pd.Series([[i for t in {w for _, w in machine.iter(x)} for i in rows[t]] if x else [] for x in texts])
     return contained
 
 
@@ -79,15 +82,14 @@ def containment_join(
             return docs.select(*keep).join(terms, F.lit(False))
         arr = rows_literal(rows, terms.schema)
         names = [r[term] for r in rows]
-        usable = [n for n in names if n]
-        find = None
-        if len(names) >= AUTOMATON_FROM and len(set(usable)) == len(names):
-            find = _automaton_udf(names)
+        find = _automaton_udf(names) if len(names) >= AUTOMATON_FROM and all(names) else None
         if find is not None:
-            found = spread(docs).select(*keep, F.explode(find(F.col(text))).alias("_i"))
+            found = spread(docs).select(*keep, F.explode_outer(find(F.col(text))).alias("_i")).where("_i IS NOT NULL")
             return found.select(*keep, F.element_at(arr, F.col("_i") + 1).alias("_t")).select(*keep, "_t.*")
         hit = F.filter(arr, lambda r: F.col(text).contains(r[term]))
-        return docs.select(*keep, F.explode(hit).alias("_t")).select(*keep, "_t.*")
+        # Outer explode: for an inner one the optimizer adds a size filter that runs the search twice.
+        found = docs.select(*keep, F.explode_outer(hit).alias("_t")).where("_t IS NOT NULL")
+        return found.select(*keep, "_t.*")
     # Larger term tables: equi-join on the leading characters of each term, then verify.
     chars = docs.select(key, F.split(text, "").alias("_ch"))
     grams = [

@@ -69,7 +69,7 @@ def preprocess(docs: DataFrame, keywords: list[str] | None = None, options: Opti
 
 def stage_metrics(processed: DataFrame, key: str = "video_id") -> DataFrame:
     red = F.col("input_len") - F.col("output_len")
-    return processed.select(key, F.inline("stages")).withColumn("reduction", red).withColumn(
+    return processed.select(key, F.inline_outer("stages")).withColumn("reduction", red).withColumn(
         "reduction_pct", F.when(F.col("input_len") > 0, red / F.col("input_len") * 100).otherwise(0.0))
 
 
