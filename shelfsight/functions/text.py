@@ -75,9 +75,13 @@ def remove_first(text: Column, pattern: str) -> Column:
 
 
 def strip_intro_outro(text: Column, patterns=None) -> Column:
-    for p in patterns or fixed.INTRO_OUTRO_PATTERNS:
-        text = remove_first(text, p)
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    patterns = patterns or fixed.INTRO_OUTRO_PATTERNS
+    cut = text
+    for p in patterns:
+        cut = remove_first(cut, p)
+    # Most texts hold none of the patterns; one search spares them the removal passes.
+    cut = F.when(text.rlike("(?i)(?:" + "|".join(patterns) + ")"), cut).otherwise(text)
+    return F.trim(F.regexp_replace(cut, r"\s+", " "))
 
 
 def sentences(text: Column) -> Column:
@@ -89,9 +93,9 @@ def keep_keyword_sentences(text: Column, keywords: list[str]) -> Column:
 
     A keyword without blanks lies inside a word exactly when it lies inside the sentence.
     """
-    pat = "(?iu)(?:" + alternation(single_words(keywords)) + ")"
+    pat = "(?:" + alternation(single_words(keywords)) + ")"
     return let(sentences(text), lambda s: let(
-        F.filter(s, lambda x: x.rlike(pat)), lambda k: F.struct(
+        F.filter(s, lambda x: F.lower(x).rlike(pat)), lambda k: F.struct(
             F.array_join(k, ". ").alias("text"), (F.size(s) - F.size(k)).cast("long").alias("dropped"))))
 
 
@@ -106,11 +110,11 @@ def keywords_found(text: Column, keywords: list[str]) -> Column:
 
 def entity_focus(text: Column, keywords: list[str], min_density: float = 0.02, aggressive: bool = True) -> Column:
     """STRUCT<text, found, density, high_quality>: sparse texts keep only keyword sentences."""
-    pat = "(?iu)(?:" + alternation(keywords) + ")"
+    pat = "(?:" + alternation(keywords) + ")"
 
     def build(st):
         density = F.size(st["found"]) / F.greatest(word_count(st["t"]), F.lit(1))
-        kept = F.array_join(F.filter(sentences(st["t"]), lambda x: x.rlike(pat)), ". ")
+        kept = F.array_join(F.filter(sentences(st["t"]), lambda x: F.lower(x).rlike(pat)), ". ")
         keep_all = (density >= min_density) | F.lit(not aggressive)
         return F.struct(
             F.when(keep_all, st["t"]).otherwise(kept).alias("text"), st["found"].alias("found"),
@@ -163,7 +167,7 @@ def limit_length(text: Column, max_length: int = 8000) -> Column:
 
 def keyword_word_share(text: Column, keywords: list[str]) -> Column:
     """Share of words that contain a keyword."""
-    pat = "(?iu)(?:" + alternation(single_words(keywords)) + ")"
+    pat = "(?:" + alternation(single_words(keywords)) + ")"
     return let(F.split(F.lower(text), r"\s+"), lambda w: F.size(
         F.filter(w, lambda x: x.rlike(pat))) / F.greatest(F.size(w), F.lit(1)))
 

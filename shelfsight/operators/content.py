@@ -19,10 +19,21 @@ def _labels(low: Column, patterns) -> Column:
     return F.filter(marks, lambda x: x.isNotNull())
 
 
+def _season_phrases() -> str:
+    """One alternation of every phrase, longest first, so a short phrase never hides a longer one."""
+    lists = [fixed.SEASON_PATTERNS, fixed.MONTH_PATTERNS, fixed.REGION_PATTERNS, fixed.WEATHER_PATTERNS]
+    words = {w for pats in lists for p in pats for w in p[1].split("|")} | set(fixed.YEAR_ROUND_PATTERN.split("|"))
+    return "|".join([fixed.ZONE_PATTERN, *sorted(words, key=lambda w: (-len(w), w))])
+
+
 def seasonal_context(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Season, month, region, zone and weather mentions with a confidence; a narrow job."""
+    """Season, month, region, zone and weather mentions with a confidence; a narrow job.
+
+    The text is scanned once for all phrases; the labels are then read off the few hits.
+    """
     low = F.col("_low")
-    d = docs.withColumn("_low", F.lower(text))
+    found = F.regexp_extract_all(F.lower(text), F.lit(tx.word_bounded(f"(?:{_season_phrases()})")), F.lit(0))
+    d = docs.withColumn("_low", F.array_join(found, " | "))
     d = d.withColumn("seasons", _labels(low, fixed.SEASON_PATTERNS)).withColumn(
         "months", _labels(low, fixed.MONTH_PATTERNS)).withColumn(
         "regions", _labels(low, fixed.REGION_PATTERNS)).withColumn(

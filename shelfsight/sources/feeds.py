@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from shelfsight.functions.num import c
 
@@ -91,7 +90,7 @@ def dictionary_file(spark: SparkSession, path: str) -> DataFrame:
     schema = ("latinName string, commonNames array<string>, synonyms array<string>, genus string, species string, variety string, "
               "tradeNames array<string>, taxonomyLevel string, usageCount bigint, ambiguityScore double, _corrupt string")
     d = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    pos = F.row_number().over(W.orderBy(F.monotonically_increasing_id())).cast("long")
+    pos = F.monotonically_increasing_id() + 1  # file order
     empty = F.array().cast("array<string>")
     return d.where("_corrupt IS NULL").select(
         pos.alias("entry_pos"), F.col("latinName").alias("latin"), "genus", "species", "variety",
