@@ -51,6 +51,37 @@ def offered_rate_limits(events: DataFrame, limits=None) -> DataFrame:
         wait.cast("long").alias("retry_after_s"))
 
 
+def admitted_rate_limits(events: DataFrame, limits=None) -> DataFrame:
+    """Limits where refused calls do not count: an ordered fold per agent.
+
+    The state is the admitted times of the longest window, never more than its limit, so
+    memory stays bounded however many calls an agent makes.
+    """
+    from bisect import bisect_right
+
+    import pandas as pd
+    limits = list(limits or fixed.RATE_LIMITS)
+    longest = max(w for _, w, _ in limits)
+    e = (events.select("event_id", "agent_id", "epoch").repartition("agent_id")
+         .sortWithinPartitions("agent_id", "epoch", "event_id"))
+
+    def fold(batches):
+        agent, times = None, []
+        for b in batches:
+            hit = []
+            for a, t in zip(b["agent_id"], b["epoch"]):
+                if a != agent:
+                    agent, times = a, []
+                del times[:bisect_right(times, t - longest)]
+                why = next((n for n, w, cap in limits if len(times) - bisect_right(times, t - w) >= cap), None)
+                if why is None:
+                    times.append(t)
+                hit.append(why)
+            yield pd.DataFrame({"event_id": b["event_id"], "agent_id": b["agent_id"], "limit_exceeded": hit})
+
+    return e.mapInPandas(fold, "event_id long, agent_id string, limit_exceeded string")
+
+
 def since(events: DataFrame, as_of: int, seconds: int) -> DataFrame:
     return events.where((F.col("epoch") > as_of - seconds) & (F.col("epoch") <= as_of))
 
@@ -187,7 +218,8 @@ def budget_ledger(calls: DataFrame, zone: str = "UTC", budget: dict | None = Non
         .withColumn("stop", (F.col("day_before") >= budget["daily"]) | (F.col("month_before") >= budget["monthly"])))
 
 
-def _admit(day_cost: float, month_cost: float, cost: float, budget: dict):
+def refusal(day_cost: float, month_cost: float, cost: float, budget: dict):
+    """The first budget rule a call breaks, or None."""
     if cost > budget["per_request"]:
         return "per_request"
     if day_cost + cost > budget["daily"]:
@@ -220,7 +252,7 @@ def budget_admitted(calls: DataFrame, budget: dict | None = None) -> DataFrame:
                     key, day, day_cost, month_cost = (svc, mon), None, 0.0, 0.0
                 if dy != day:
                     day, day_cost = dy, 0.0
-                w = _admit(day_cost, month_cost, cost, budget)
+                w = refusal(day_cost, month_cost, cost, budget)
                 if w is None:
                     day_cost += cost
                     month_cost += cost

@@ -47,6 +47,13 @@ def s4t(spark, d):
     return jobs.run_to_files(spark, jobs.token_bucket_admission(jobs.event_stream(spark, d), 1.0 / 600), "s4t")
 
 
+@query("s4_budget_admission")
+def s4b(spark, d):
+    budget = {"per_request": 0.01, "daily": 0.08, "monthly": 1.5, "alert": 0.8}
+    calls = jobs.event_stream(spark, d).select("event_id", F.col("tool_name").alias("service"), "ts", (F.col("k") / 8000.0).alias("cost"))
+    return jobs.run_to_files(spark, jobs.budget_admission(calls, budget), "s4b")
+
+
 @query("s5_ingest_once", f"SELECT event_type AS tool_name, count(*) AS events, {r('sum(value)')} AS amount FROM events GROUP BY event_type")
 def s5(spark, d):
     e = jobs.event_stream(spark, d)

@@ -36,6 +36,12 @@ def g1(spark, d):
     return u.offered_rate_limits(m.usage(spark, d), limits).drop("epoch")
 
 
+@query("g1_rate_limit_admitted")
+def g1a(spark, d):
+    limits = [("per_minute", 60, 2), ("per_hour", 3600, 2), ("per_day", 86400, 3)]
+    return u.admitted_rate_limits(m.usage(spark, d), limits)
+
+
 @query("g2_agent_stats", BASE + f"""SELECT agent_id, count(*) AS calls, {r('sum(amount_usd)')} AS revenue,
  CAST(floor(avg(ms)+0.5e0) AS BIGINT) AS avg_ms, {r('avg(CASE WHEN success THEN 0e0 ELSE 1e0 END)')} AS error_rate,
  (SELECT string_agg(tool_name||'='||n, ',' ORDER BY tool_name) FROM (SELECT tool_name, count(*) AS n FROM us y

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsight.operators import intent
+from shelfsight.operators.usage import refusal
 from shelfsight.session import checkpoint_dir
 
 
@@ -90,6 +91,32 @@ def token_bucket_admission(events: DataFrame, rate: float, late: str = "10 minut
     return e.groupBy("service").applyInPandasWithState(admit, out, "tokens double, last_ms long", "append", "NoTimeout")
 
 
+def budget_admission(calls: DataFrame, budget: dict) -> DataFrame:
+    """Budget admission per (service, month); the state is the day and two running costs.
+
+    calls(event_id, service, ts, cost). Rows of one batch are taken in event-time order.
+    """
+    out = "event_id long, service string, refused_by string"
+
+    def admit(key, batches, st):
+        day, day_cost, month_cost = st.get if st.exists else ("", 0.0, 0.0)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        why = []
+        for d, cost in zip(rows["day"], rows["cost"]):
+            if d != day:
+                day, day_cost = d, 0.0
+            w = refusal(day_cost, month_cost, cost, budget)
+            if w is None:
+                day_cost, month_cost = day_cost + cost, month_cost + cost
+            why.append(w)
+        st.update((day, float(day_cost), float(month_cost)))
+        yield pd.DataFrame({"event_id": rows["event_id"], "service": key[0], "refused_by": why})
+
+    c = calls.withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return c.groupBy("service", "month").applyInPandasWithState(
+        admit, out, "day string, day_cost double, month_cost double", "append", "NoTimeout")
+
+
 def ingest_once(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """One row per event id within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])

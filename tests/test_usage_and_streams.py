@@ -26,6 +26,27 @@ def test_rate_limits_against_brute_force(spark):
         assert got[i] == tuple(sum(t2 > t - w for t2, _ in prior) for w in (60, 3600, 86400))
 
 
+def test_admitted_limits_by_hand(spark):
+    rows, df = log(spark)
+    limits = [("m", 60, 1), ("h", 3600, 2), ("d", 86400, 9)]
+    got = {r.event_id: r.limit_exceeded for r in u.admitted_rate_limits(df, limits).collect()}
+    taken = {}
+    for i, a, _, t in sorted(rows, key=lambda x: (x[3], x[0])):
+        past = taken.setdefault(a, [])
+        why = next((n for n, w, cap in limits if sum(x > t - w for x in past) >= cap), None)
+        if why is None:
+            past.append(t)
+        assert got[i] == why
+
+
+def test_streaming_budget_equals_batch(spark):
+    from shelfsight.plans import catalog
+    sf = "/root/testdata/sf0.01"
+    a = {(r.event_id, r.refused_by) for r in catalog.QUERIES["s4_budget_admission"](spark, sf).collect()}
+    b = {(r.event_id, r.refused_by) for r in catalog.QUERIES["g11_budget_admitted"](spark, sf).collect()}
+    assert a == b and any(x[1] == "daily" for x in a)
+
+
 def test_budget_admission_by_hand(spark):
     rng = random.Random(2)
     rows = [(i, "s", 1_704_067_200 + rng.randint(0, 400_000), rng.choice([0.001, 0.004, 0.02])) for i in range(200)]
