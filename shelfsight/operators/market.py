@@ -209,9 +209,9 @@ def estimated_overlaps(pairs: DataFrame) -> DataFrame:
 
 def oriented(pairs: DataFrame, *extra: str) -> DataFrame:
     """Both directions of each pair: (source, target, score, relation)."""
-    cols = ["score", "relation", *extra]
-    return pairs.select(F.col("a").alias("source"), F.col("b").alias("target"), *cols).unionByName(
-        pairs.select(F.col("b").alias("source"), F.col("a").alias("target"), *cols))
+    way = lambda x, y: F.struct(F.col(x).alias("source"), F.col(y).alias("target"))
+    return pairs.select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("_w"), "score", "relation", *extra).select(
+        "_w.*", "score", "relation", *extra)
 
 
 def expansion_paths(edges: DataFrame, depth: int = 2, first: float = 20, later: float = 15, keep: int = 5) -> DataFrame:
