@@ -17,19 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage.
-
-    The folder is the session's spark.checkpoint.dir. Only a local session without that
-    setting, as in tests, gets a folder of its own; a cluster without it is an error.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only a local session without that setting, as in tests,
+    gets a folder of its own; a cluster without it is an error."""
     ctx = spark.sparkContext
     if ctx.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not ctx.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         ctx.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return ctx.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder and cut the lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
