@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfsight.llm import bpe, decontam, neardup, quality, secrets
+from shelfsight.llm import bpe, decontam, neardup, quality, rules, secrets
 from shelfsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@query("op4_ngram_likelihood_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return rules.apply_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 @query("op9_positional_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13, percent=5)
