@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import bpe, decontam, licences, neardup, quality, rules, secrets, sharding, toolcalls
+from shelfsight.llm import bpe, decontam, licences, maxent, neardup, quality, rules, secrets, sharding, toolcalls
 from shelfsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=40)
 
 
+@query("op6_maxent_scores")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 @query("op7_licence_digests", licences.oracle_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), licences.known_licences(spark))
