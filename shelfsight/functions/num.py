@@ -57,3 +57,9 @@ def cascade(cases, default=None) -> Column:
     if default is None:
         return expr
     return expr.otherwise(default if isinstance(default, Column) else F.lit(default))
+
+
+def local_day(epoch: Column, zone: str = "UTC") -> Column:
+    """The calendar day (yyyy-MM-dd) of an instant in `zone`, whatever the session's time zone."""
+    utc = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), epoch.cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc).cast("date").cast("string")

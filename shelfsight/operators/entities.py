@@ -14,7 +14,7 @@ from shelfsight.functions import fixed
 from shelfsight.functions import similarity as sim
 from shelfsight.functions import text as tx
 from shelfsight.functions.num import cap, cascade, clamp, half_up
-from shelfsight.operators.joins import containment_join, coverage_spans, inline_rows, rows_literal, within_spans_join
+from shelfsight.operators.joins import containment_join, coverage_spans, within_spans_join
 
 STAGES = [  # (stage, alias kind, match type, confidence)
     (1, "latin", "exact", 1.0), (2, "common", "exact", 0.95), (3, "synonym", "synonym", 0.9),
@@ -63,7 +63,7 @@ def search(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     al = alias_table(dictionary).where("kind IN ('latin','common','synonym')").select("entry_pos", "alias")
     al = al.unionByName(dictionary.where("genus IS NOT NULL").select("entry_pos", F.lower("genus").alias("alias"))).distinct()
     q = queries.select("query", F.lower(F.trim("query")).alias("_q")).distinct()
-    hit = containment_join(al, q, "alias", "alias", "_q", keep=["entry_pos"])
+    hit = containment_join(al, q, "alias", "_q", keep=["entry_pos"])
     return hit.select("query", "entry_pos").distinct()
 
 
@@ -159,7 +159,7 @@ def related(dictionary: DataFrame, limit: int = 5) -> DataFrame:
     by_genus = d.where(F.length("g") > 0).join(prefixes, "g").select("entry_pos", "latin", "other", "other_latin")
     names = others.select("other", "other_latin", F.explode(F.transform("common", F.lower)).alias("_n"))
     firsts = d.where("c IS NOT NULL").select("entry_pos", "latin", "c")
-    by_name = containment_join(names, firsts, "other", "_n", "c", keep=["other", "other_latin"])
+    by_name = containment_join(names, firsts, "_n", "c", keep=["other", "other_latin"])
     pairs = by_genus.unionByName(by_name.select(*by_genus.columns)).where("latin <> other_latin").select("entry_pos", "other").distinct()
     w = W.partitionBy("entry_pos").orderBy("other")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
@@ -169,7 +169,7 @@ def candidates(names: DataFrame, dictionary: DataFrame, limit: int = 10) -> Data
     """names(entity): dictionary entries containing the name, first `limit`, with match score."""
     al = alias_table(dictionary).where("kind IN ('latin','common')")
     q = names.select("entity", F.lower(F.trim("entity")).alias("_q")).distinct()
-    hit = containment_join(al, q, "alias", "alias", "_q", keep=["entry_pos", "kind", "alias"])
+    hit = containment_join(al, q, "alias", "_q", keep=["entry_pos", "kind", "alias"])
     eq = F.col("alias") == F.col("_q")
     score = cascade([((F.col("kind") == "latin") & eq, 1.0), (eq, 0.95), (F.col("kind") == "latin", 0.7)], 0.6)
     per = hit.groupBy("entity", "entry_pos").agg(F.max(score).alias("match_score"))
@@ -184,14 +184,10 @@ def genus_nearby(mentions: DataFrame, genera: DataFrame, seconds: float = 60) ->
     and a long video is split by time.
     """
     block = 3600
-    g = rows_literal(genera.collect(), genera.schema) if inline_rows(genera) is not None else None
     m = mentions.select("mention_id", "video_id", "t", F.lower("entity").alias("_e"))
-    if g is not None:
-        starts = m.select("*", F.explode(F.filter(g, lambda x: F.col("_e").startswith(x["genus"]))).alias("_g")).select(
-            "mention_id", "video_id", "t", F.col("_g.genus").alias("genus"))
-    else:
-        pre = m.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("_e")), lambda n: F.substr(F.col("_e"), F.lit(1), n))).alias("genus"))
-        starts = pre.join(genera, "genus").select("mention_id", "video_id", "t", "genus")
+    # Prefixes of the entity meet genera by an equi-join; an empty entity has none.
+    pre = m.where("_e <> ''").select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("_e")), lambda n: F.substr(F.col("_e"), F.lit(1), n))).alias("genus"))
+    starts = pre.join(genera.select("genus"), "genus").select("mention_id", "video_id", "t", "genus")
     spans = coverage_spans(starts, ["video_id", "genus"], "t", seconds)
     near = within_spans_join(m.select("mention_id", "video_id", "t"), spans, ["video_id"], "t", block)
     # A mention's own start only counts when another start lies within reach of it.
@@ -327,7 +323,7 @@ def calibrate(mentions: DataFrame) -> DataFrame:
 
 
 def co_occurrence(mentions: DataFrame, seconds: float = 60) -> DataFrame:
-    """Per (video, key): over its own times, how many other keys have a time within `seconds`.
+    """Per (video, key): over its own mentions, how many other keys have a time within `seconds`.
 
     Every key's reach is merged into disjoint spans; each span opens with +1 and closes
     with -1, and a running sum over time counts the keys in reach of any moment. The sum is
@@ -335,7 +331,8 @@ def co_occurrence(mentions: DataFrame, seconds: float = 60) -> DataFrame:
     are ever gathered.
     """
     m = mentions.withColumn("key", F.coalesce("latin", "entity"))
-    own = m.select("video_id", "key", "t").distinct()
+    # Mentions at one moment each count, so moments keep their number of mentions.
+    own = m.groupBy("video_id", "key", "t").agg(F.count("*").alias("_m"))
     first = m.groupBy("video_id", "key").agg(F.min_by("in_dictionary", "mention_id").alias("known"))
     spans = coverage_spans(own, ["video_id", "key"], "t", seconds).join(first, ["video_id", "key"])
 
@@ -343,7 +340,7 @@ def co_occurrence(mentions: DataFrame, seconds: float = 60) -> DataFrame:
     opens = spans.select("video_id", F.col("span_lo").alias("t"), F.lit(0).alias("_o"), F.lit(1).alias("_d"), one.alias("_k"))
     closes = spans.select("video_id", F.col("span_hi").alias("t"), F.lit(2).alias("_o"), F.lit(-1).alias("_d"), (-one).alias("_k"))
     points = own.join(first, ["video_id", "key"]).select(
-        "video_id", "key", "known", "t", F.lit(1).alias("_o"), F.lit(0).alias("_d"), F.lit(0).alias("_k"))
+        "video_id", "key", "known", "t", "_m", F.lit(1).alias("_o"), F.lit(0).alias("_d"), F.lit(0).alias("_k"))
     ev = opens.unionByName(closes).unionByName(points, allowMissingColumns=True).withColumn("_h", F.floor(F.col("t") / 3600))
     hours = ev.groupBy("video_id", "_h").agg(F.sum("_d").alias("_hd"), F.sum("_k").alias("_hk"))
     before = W.partitionBy("video_id").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
@@ -353,7 +350,7 @@ def co_occurrence(mentions: DataFrame, seconds: float = 60) -> DataFrame:
     ev = ev.withColumn("_d", F.sum("_d").over(run)).withColumn("_k", F.sum("_k").over(run)).where("_o = 1").join(hours, ["video_id", "_h"])
     others = F.col("_d") + F.col("_bd") - 1
     known = F.col("_k") + F.col("_bk") - F.when(F.col("known"), 1).otherwise(0)
-    return ev.groupBy("video_id", "key").agg(F.sum(others).alias("co_occurrences"), (F.max(known) > 0).alias("with_known"))
+    return ev.groupBy("video_id", "key").agg(F.sum(others * F.col("_m")).alias("co_occurrences"), (F.max(known) > 0).alias("with_known"))
 
 
 def potential_genera(docs: DataFrame, genera=None) -> DataFrame:
@@ -415,7 +412,7 @@ def first_timestamps(entities: DataFrame, segments: DataFrame) -> DataFrame:
     """
     names = entities.select("entity", F.lower("entity").alias("_n")).distinct()
     seg = segments.select(F.struct("video_id", "start_s").alias("_k"), "video_id", "start_s", F.lower("text").alias("_x"))
-    hit = containment_join(seg, names, "_k", "_x", "_n", keep=["_k"])
+    hit = containment_join(seg, names, "_x", "_n", keep=["_k"])
     first = hit.groupBy(F.col("_k.video_id").alias("video_id"), "entity").agg(F.min("_k.start_s").alias("_first"))
     given = F.when(F.col("ts") != "00:00:00", tx.clock_seconds(F.col("ts")))
     out = entities.join(first, ["video_id", "entity"], "left").withColumn(

@@ -69,7 +69,7 @@ def entity_hints(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame, tre
         none.alias("genus"), none.alias("species"), F.col("term").alias("cultivar"), none.alias("_gk"), F.lit(2).alias("_src")))
     # One scan of the text for all three sources.
     low = docs.select("video_id", F.lower("text").alias("_low"))
-    hit = containment_join(low, terms, "video_id", "_low", "term", keep=["video_id"])
+    hit = containment_join(low, terms, "_low", "term", keep=["video_id"])
     carried = F.min("_src").over(W.partitionBy("video_id", "_gk")) == 0
     every = hit.withColumn("_has", carried).where((F.col("_src") != 1) | ~F.col("_has"))
     last = F.max_by(F.struct(*HINT[1:]), "_src").alias("h")
@@ -149,13 +149,13 @@ def category_hints(docs: DataFrame, history: DataFrame, offers: DataFrame, categ
            .unionByName(ct.select("term", F.lit(0.75).alias("confidence"),
                                   commerce_priority(F.col("category"), F.lit(0.75)).alias("priority"), F.lit(2).alias("_src"))))
     src = src.groupBy("term").agg(F.max_by(F.struct("confidence", "priority"), "_src").alias("x")).select("term", "x.*")
-    return containment_join(low, src, "video_id", "_low", "term", keep=["video_id"])
+    return containment_join(low, src, "_low", "term", keep=["video_id"])
 
 
 def detect_categories(docs: DataFrame, category_terms: DataFrame, minimum: int = 3) -> DataFrame:
     """Categories with at least `minimum` distinct terms in the text."""
     low = docs.select("video_id", F.lower("text").alias("_low"))
-    hit = containment_join(low, category_terms.select("term", "category").distinct(), "video_id", "_low", "term", keep=["video_id"])
+    hit = containment_join(low, category_terms.select("term", "category").distinct(), "_low", "term", keep=["video_id"])
     return hit.groupBy("video_id", "category").agg(F.count("*").alias("n")).where(F.col("n") >= minimum)
 
 

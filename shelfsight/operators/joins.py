@@ -1,13 +1,14 @@
 """Join patterns that Catalyst does not derive on its own.
 
-Each keeps one rule: a side is inlined into the plan only after its size has been
-checked, and there is a shuffle plan with the same rows for anything larger.
+What is shipped to the executors is bounded by a parameter; tables beyond it are worked off in
+blocks of that size, with the same rows.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 MAX_INLINE = 2000
+BLOCK_TERMS = 50_000
 GRAM = 3
-AUTOMATON_FROM = 24  # from this many terms on, one automaton pass beats a scan per term
 
 
 def inline_rows(df: DataFrame, limit: int = MAX_INLINE):
@@ -41,13 +42,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def ranked(df: DataFrame, lead: Column, text: Column, order: list[Column], name: str = "rk", prefix: int = 2) -> DataFrame:
+    """df with the rank of each row along (lead, text, ...), `order` being that order in full.
+
+    Two levels: rows are ranked within (lead, the first characters of text), and the buckets'
+    sizes are added up over the far smaller table of buckets. Text order must be binary.
+    """
+    keyed = df.withColumn("_lead", lead).withColumn("_px", F.substring(text, 1, prefix))
+    before = W.orderBy("_lead", "_px").rowsBetween(W.unboundedPreceding, -1)
+    sizes = keyed.groupBy("_lead", "_px").agg(F.count("*").alias("_n")) \
+        .select("_lead", "_px", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    own = F.row_number().over(W.partitionBy("_lead", "_px").orderBy(*order))
+    return (keyed.withColumn("_own", own).join(sizes, ["_lead", "_px"])
+            .withColumn(name, (F.col("_own") + F.col("_off")).cast("long")).drop("_lead", "_px", "_own", "_off"))
+
+
 def _automaton_udf(terms: list[str]):
     """Arrow UDF: indices of the terms contained in each text, in one pass over the text."""
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return None
-
     @F.pandas_udf("array<int>")
     def contained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import ahocorasick
@@ -63,55 +74,81 @@ def _automaton_udf(terms: list[str]):
     return contained
 
 
+def _in_blocks(terms: DataFrame, limit: int):
+    """The rows of terms in lists of about `limit`: the number of blocks follows the table's size."""
+    blocks = max(1, -(-terms.count() // limit))
+    if blocks == 1:
+        yield terms.collect()
+        return
+    slot = F.pmod(F.xxhash64(*terms.columns), F.lit(blocks))
+    for b in range(blocks):
+        yield terms.where(slot == b).collect()
+
+
 def containment_join(
-    docs: DataFrame, terms: DataFrame, key: str, text: str, term: str,
-    mode: str = "substring", limit: int = MAX_INLINE, keep: list[str] | None = None,
+    docs: DataFrame, terms: DataFrame, text: str, term: str,
+    plan: str = "automaton", limit: int = BLOCK_TERMS, keep: list[str] | None = None,
 ) -> DataFrame:
-    """Pairs (document, term) where the text contains the term.
+    """One row for each document row and each term row whose term the text contains.
+
+    `text` must already be lower-cased when terms are. `keep` lists the document columns of the
+    result (default: all but the text). Null and empty terms, and null texts, match nothing;
+    repeated rows on either side come out as often as they meet. The plans give the same rows:
 
-    `text` must already be lower-cased when terms are. `key` identifies a document and
-    `keep` lists the document columns of the result (default: all but the text).
+    automaton  blocks of at most about `limit` terms are shipped to the executors, each text is
+               searched once per block by an Arrow function (needs pyahocorasick on executors)
+    inline     the same blocks as literals, each term searched on its own: for a handful of terms
+    shuffle    no term reaches the driver: an equi-join on leading characters, then a check
     """
     keep = keep if keep is not None else [x for x in docs.columns if x != text]
-    if mode == "token":
-        toks = docs.select(*keep, F.explode(F.array_distinct(F.split(text, r"[^\p{L}\p{N}_'-]+"))).alias("_tok"))
-        return toks.join(terms, F.col("_tok") == F.col(term)).drop("_tok")
-    rows = inline_rows(terms, limit)
-    if rows is not None:
+    terms = terms.where(F.length(term) > 0)
+    if plan == "shuffle":
+        return _gram_join(docs, terms, text, term, keep)
+    if plan not in ("automaton", "inline"):
+        raise ValueError(f"unknown plan {plan}")
+    found = []
+    for rows in _in_blocks(terms, limit):
         if not rows:
-            return docs.select(*keep).join(terms, F.lit(False))
-        arr = rows_literal(rows, terms.schema)
-        names = [r[term] for r in rows]
-        find = _automaton_udf(names) if len(names) >= AUTOMATON_FROM and all(names) else None
-        if find is not None:
-            found = spread(docs).select(*keep, F.explode_outer(find(F.col(text))).alias("_i")).where("_i IS NOT NULL")
-            return found.select(*keep, F.element_at(arr, F.col("_i") + 1).alias("_t")).select(*keep, "_t.*")
-        hit = F.filter(arr, lambda r: F.col(text).contains(r[term]))
-        # Outer explode: for an inner one the optimizer adds a size filter that runs the search twice.
-        found = docs.select(*keep, F.explode_outer(hit).alias("_t")).where("_t IS NOT NULL")
-        return found.select(*keep, "_t.*")
-    # Larger term tables: equi-join on the leading characters of each term, then verify.
-    chars = docs.select(key, F.split(text, "").alias("_ch"))
-    grams = [
-        chars.select(
-            key,
-            F.explode(F.array_distinct(F.transform(
-                F.sequence(F.lit(1), F.size("_ch") - F.lit(n - 1)),
-                lambda i: F.array_join(F.slice("_ch", i, n), "")))).alias("_g"),
-        ).where(F.length("_g") == n)
-        for n in range(1, GRAM + 1)
-    ]
-    sized = terms.withColumn("_g", F.substring(term, 1, GRAM))
-    all_grams = grams[0].where(F.lit(False))
-    for n, g in enumerate(grams, 1):
-        wanted = sized.where(F.length("_g") == n).select("_g").distinct()
-        all_grams = all_grams.unionByName(g.join(wanted, "_g", "left_semi"))
-    cand = all_grams.join(sized, "_g").drop("_g")
-    return (
-        cand.join(docs.select(key, F.col(text).alias("_txt"), *[k for k in keep if k != key]), key)
-        .where(F.col("_txt").contains(F.col(term)))
-        .select(*keep, *terms.columns)
-    )
+            continue
+        if plan == "automaton":
+            hit = _automaton_udf([r[term] for r in rows])(F.col(text))
+            # Bounded by `limit`, so this side may be broadcast.
+            numbered = docs.sparkSession.createDataFrame(
+                [(i, *r) for i, r in enumerate(rows)], f"_i int, {_ddl(terms)}")
+            at = spread(docs).select(*keep, F.explode_outer(hit).alias("_i")).where("_i IS NOT NULL")
+            found.append(at.join(F.broadcast(numbered), "_i").select(*keep, *terms.columns))
+        else:
+            arr = rows_literal(rows, terms.schema)
+            inside = F.filter(arr, lambda r: F.col(text).contains(r[term]))
+            # Outer explode: for an inner one the optimizer adds a size filter that runs the search twice.
+            out = docs.select(*keep, F.explode_outer(inside).alias("_t")).where("_t IS NOT NULL")
+            found.append(out.select(*keep, "_t.*"))
+    if not found:
+        return docs.select(*keep).join(terms, F.lit(False))
+    return reduce(DataFrame.unionAll, found)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _gram_join(docs: DataFrame, terms: DataFrame, text: str, term: str, keep: list[str]) -> DataFrame:
+    """Distinct texts meet terms on a term's first GRAM characters; one check per text, not per pair."""
+    rows = docs.select(*keep, F.col(text).alias("_txt")).where("_txt IS NOT NULL").withColumn("_tk", F.xxhash64("_txt"))
+    texts = rows.select("_tk", "_txt").distinct()
+
+    def grams(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
+        return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(
+            F.array().cast("array<string>"))
+    chars = texts.select("_tk", F.split("_txt", "").alias("_ch"))
+    every = F.array_distinct(F.concat(*[grams(F.col("_ch"), n) for n in range(1, GRAM + 1)]))
+    sized = terms.select(F.struct(*terms.columns).alias("_t"), F.substring(term, 1, GRAM).alias("_g"))
+    met = chars.select("_tk", F.explode(every).alias("_g")).distinct().join(sized, "_g")
+    met = met.groupBy("_tk").agg(F.collect_list("_t").alias("_ts"))
+    inside = F.filter("_ts", lambda t: F.contains(F.col("_txt"), t[term]))
+    hits = texts.join(met, "_tk").select("_tk", "_txt", F.explode_outer(inside).alias("_t")).where("_t IS NOT NULL")
+    return rows.join(hits, ["_tk", "_txt"]).select(*keep, "_t.*")
 
 
 def any_contained(text, terms: list[str]) -> Column:

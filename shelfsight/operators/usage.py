@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from shelfsight.functions import fixed
-from shelfsight.functions.num import cascade, half_up
+from shelfsight.functions.num import cascade, half_up, local_day
 from shelfsight.operators.joins import trailing_blocks
 
 DAY = 86400
@@ -117,7 +117,7 @@ def overview(events: DataFrame) -> DataFrame:
 
 
 def revenue(events: DataFrame) -> DataFrame:
-    e = events.withColumn("day", F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd"))
+    e = events.withColumn("day", local_day(F.col("epoch")))
     g = e.groupingSets([[], ["tool_name"], ["payment_method"], ["day"]], "tool_name", "payment_method", "day")
     return g.agg(F.grouping_id().alias("gid"), F.sum("amount_usd").alias("revenue"), F.count("*").alias("calls"))
 
@@ -128,7 +128,7 @@ def retained(events: DataFrame, as_of: int, days: int = 90) -> DataFrame:
 
 def free_tier(events: DataFrame, limit: int = fixed.FREE_CALLS_PER_DAY) -> DataFrame:
     """Nth call of the agent's UTC day; calls beyond the limit are denied."""
-    e = events.withColumn("day", F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd"))
+    e = events.withColumn("day", local_day(F.col("epoch")))
     n = F.row_number().over(W.partitionBy("agent_id", "day").orderBy("epoch", "event_id")).cast("long")
     return e.withColumn("call_no", n).withColumn("granted", F.col("call_no") <= limit).withColumn(
         "remaining", F.greatest(F.lit(limit) - F.col("call_no"), F.lit(0)))
@@ -167,7 +167,7 @@ def authorise(calls: DataFrame, api_keys: DataFrame, enabled: bool = True,
         (F.col("has_payment"), "x402"),
     ])
     c = c.withColumn("_early", early).withColumn(
-        "day", F.date_format(F.timestamp_seconds("epoch"), "yyyy-MM-dd"))
+        "day", local_day(F.col("epoch")))
     n = F.sum(F.when(F.col("_early").isNull(), 1).otherwise(0)).over(
         W.partitionBy("agent_id", "day").orderBy("epoch", "event_id")
         .rowsBetween(W.unboundedPreceding, W.currentRow))
@@ -201,8 +201,7 @@ def budget_ledger(calls: DataFrame, zone: str = "UTC", budget: dict | None = Non
     so the long frame is (service, day), never a whole month of one service in one task.
     """
     budget = budget or fixed.BUDGET
-    ts = F.from_utc_timestamp(F.timestamp_seconds("epoch"), zone)
-    c = calls.withColumn("day", F.date_format(ts, "yyyy-MM-dd")).withColumn("month", F.date_format(ts, "yyyy-MM"))
+    c = calls.withColumn("day", local_day(F.col("epoch"), zone)).withColumn("month", F.substring("day", 1, 7))
     days = c.groupBy("service", "month", "day").agg(F.sum("cost").alias("_day_total"), F.count("*").alias("_day_n"))
     prior = W.partitionBy("service", "month").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
     days = days.withColumn("_prior", F.coalesce(F.sum("_day_total").over(prior), F.lit(0.0)))
@@ -229,7 +228,7 @@ def refusal(day_cost: float, month_cost: float, cost: float, budget: dict):
     return None
 
 
-def budget_admitted(calls: DataFrame, budget: dict | None = None) -> DataFrame:
+def budget_admitted(calls: DataFrame, budget: dict | None = None, zone: str = "UTC") -> DataFrame:
     """Admission where refused calls add no cost: an ordered fold per (service, month).
 
     The fold walks its group as a stream of Arrow batches and keeps two running sums, so
@@ -237,9 +236,8 @@ def budget_admitted(calls: DataFrame, budget: dict | None = None) -> DataFrame:
     """
     import pandas as pd
     budget = dict(budget or fixed.BUDGET)
-    ts = F.timestamp_seconds("epoch")
-    c = (calls.select("event_id", "service", "epoch", "cost",
-                      F.date_format(ts, "yyyy-MM").alias("month"), F.date_format(ts, "yyyy-MM-dd").alias("day"))
+    day_ = local_day(F.col("epoch"), zone)
+    c = (calls.select("event_id", "service", "epoch", "cost", F.substring(day_, 1, 7).alias("month"), day_.alias("day"))
          .repartition("service", "month").sortWithinPartitions("service", "month", "epoch", "event_id"))
 
     def fold(batches):

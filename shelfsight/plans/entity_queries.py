@@ -193,9 +193,9 @@ CQ = (f"least(1e0,greatest(0e0, 0.5e0+CASE WHEN nw BETWEEN 5 AND 25 THEN 0.2e0 W
 SPEC = "CASE WHEN rk%7=0 THEN 1e0 WHEN latin IS NOT NULL THEN 0.6e0 ELSE 0.3e0 END"
 FAC = (
     "cl AS (SELECT video_id, coalesce(latin,entity) AS key, count(*) AS n, arg_min(in_dictionary, mention_id) AS known FROM men GROUP BY ALL), "
-    "kt AS (SELECT DISTINCT video_id, coalesce(latin,entity) AS key, t FROM men), "
-    "co AS (SELECT a.video_id, a.key, count(DISTINCT {'t':a.t,'k':b.key}) AS co, coalesce(bool_or(c.known),false) AS wk FROM kt a JOIN kt b ON a.video_id=b.video_id AND a.key<>b.key AND abs(a.t-b.t)<=60 "
-    "JOIN cl c ON c.video_id=b.video_id AND c.key=b.key GROUP BY ALL), "
+    "kt AS (SELECT video_id, coalesce(latin,entity) AS key, t, count(*) AS m FROM men GROUP BY ALL), "
+    "cp AS (SELECT DISTINCT a.video_id, a.key, a.t, a.m, b.key AS bk FROM kt a JOIN kt b ON a.video_id=b.video_id AND a.key<>b.key AND abs(a.t-b.t)<=60), "
+    "co AS (SELECT cp.video_id, cp.key, sum(cp.m)::BIGINT AS co, coalesce(bool_or(c.known),false) AS wk FROM cp JOIN cl c ON c.video_id=cp.video_id AND c.key=cp.bk GROUP BY ALL), "
     f"fac AS (SELECT men.*, cl.n AS mentions, cl.n*30e0 AS duration_s, coalesce(co.co,0) AS co, coalesce(co.wk,false) AS wk, {CQ} AS cq, {SPEC} AS spec FROM (SELECT *, len(regexp_split_to_array(context,'\\s+')) AS nw FROM men) men "
     "JOIN cl ON cl.video_id=men.video_id AND cl.key=coalesce(men.latin,men.entity) LEFT JOIN co ON co.video_id=men.video_id AND co.key=coalesce(men.latin,men.entity))")
 CAL = (
@@ -209,9 +209,10 @@ CAL = (
 
 
 def factors(spark, d):
-    x = mentions(spark, d).withColumn("key", F.coalesce("latin", "entity"))
+    found = mentions(spark, d)
+    x = found.withColumn("key", F.coalesce("latin", "entity"))
     n = x.groupBy("video_id", "key").agg(F.count("*").alias("mentions"))
-    x = x.join(n, ["video_id", "key"]).join(en.co_occurrence(mentions(spark, d)), ["video_id", "key"], "left")
+    x = x.join(n, ["video_id", "key"]).join(en.co_occurrence(found), ["video_id", "key"], "left")
     rk, none = F.col("rk"), F.lit(None).cast("string")
     variety = F.when(rk % 7 == 0, F.lit("v"))
     return x.select(
@@ -226,12 +227,12 @@ def factors(spark, d):
         (rk % 10 / 10.0).alias("vertical_confidence"))
 
 
-@query("c13_calibration", m.with_(*MEN, FAC, CAL) + f"""SELECT mention_id, {r('calibrated')} AS calibrated, {r('CASE WHEN raw>0 THEN calibrated/raw ELSE 1e0 END')} AS adjustment,
+@query("c13_calibration", m.with_(*MEN, FAC, CAL) + f"""SELECT mention_id, {r("calibrated", 9)} AS calibrated, {r("CASE WHEN raw>0 THEN calibrated/raw ELSE 1e0 END", 9)} AS adjustment,
  CASE WHEN calibrated>=0.85e0 AND in_dictionary AND mentions>1 THEN 'high' WHEN calibrated>=0.6e0 THEN 'medium' ELSE 'low' END AS reliability,
  CAST((NOT in_dictionary AND raw>0.7e0)::INT+(cq<0.3e0)::INT+(cap='auto')::INT+(vc<0.3e0)::INT AS BIGINT) AS warnings FROM cal""")
 def c13(spark, d):
     return en.calibrate(factors(spark, d)).select(
-        "mention_id", half_up("calibrated", 6).alias("calibrated"), half_up("adjustment", 6).alias("adjustment"),
+        "mention_id", half_up("calibrated", 9).alias("calibrated"), half_up("adjustment", 9).alias("adjustment"),
         "reliability", F.size("warnings").cast("long").alias("warnings"))
 
 

@@ -19,7 +19,7 @@ ALIAS = (
     "SELECT unnest(trade), 'plant_dictionary', 0.80e0, 'medium', NULL, NULL, NULL, entry_pos, 3 FROM dict UNION ALL "
     "SELECT pattern, 'disambiguation_rule', confidence, 'high', genus, species, cultivar, 1099511627776, 4 FROM rules), "
     "alias AS (SELECT * FROM al0 QUALIFY row_number() OVER (PARTITION BY term ORDER BY CASE priority WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, e, k)=1)")
-BASE = [m.DOC, m.VOCAB, m.DICT, RULE, ALIAS, "trend AS (SELECT term FROM vocab WHERE rk<=10)"]
+BASE = [m.DOC, m.VOCAB, m.DICT, RULE, ALIAS, "trend AS (SELECT term FROM vocab WHERE n>=3)"]
 HINTS = (
     "hf AS (SELECT video_id, a.* FROM doc JOIN alias a ON contains(lower(text), term)), "
     "hg AS (SELECT video_id, g.term FROM doc JOIN (SELECT DISTINCT genus AS term FROM dict) g ON contains(lower(text), g.term) "
@@ -41,7 +41,7 @@ def aliases(spark, d):
 
 
 def trends(spark, d):
-    return m.vocab(spark, d).where("rk <= 10").select("term")
+    return m.vocab(spark, d).where("n >= 3").select("term")
 
 
 def hints(spark, d):
@@ -101,18 +101,20 @@ def b17(spark, d):
 
 
 ITEMS = ("items AS (SELECT CASE WHEN l_orderkey%2=0 THEN upper(t.term) ELSE t.term END AS name, (['PLANT','TOOL','MATERIAL','BOOK'])[l_partkey%4+1] AS category, "
-         "(60+l_suppkey%40)/100e0 AS confidence, l_orderkey*10+l_linenumber AS ord FROM lineitem JOIN vocab t ON t.rk=l_partkey%60+1)")
+         "(60+l_suppkey%40)/100e0 AS confidence, l_orderkey*10+l_linenumber AS ord FROM lineitem JOIN vocab t ON t.rk=l_partkey%(SELECT count(*) FROM vocab)+1)")
 HIST = ("hist AS (SELECT term, category, confidence, CASE WHEN category IN ('PLANT','TOOL','SEED','BOOK','COURSE') AND confidence>=0.85e0 THEN 'high' "
         "WHEN confidence>=0.75e0 THEN 'medium' ELSE 'low' END AS priority FROM (SELECT lower(name) AS term, arg_max(category, {'o':ord,'c':category,'f':confidence}) AS category, "
         "arg_max(confidence, {'o':ord,'c':category,'f':confidence}) AS confidence FROM items WHERE confidence>=0.7e0 GROUP BY ALL))")
 
 
 def items(spark, d):
-    li = table(spark, d, "lineitem").select(
-        (F.col("l_partkey") % 60 + 1).alias("rk"),
+    v = m.vocab(spark, d)
+    size = v.agg(F.count("*").alias("_size"))  # one row
+    li = table(spark, d, "lineitem").crossJoin(F.broadcast(size)).select(
+        (F.col("l_partkey") % F.col("_size") + 1).alias("rk"),
         F.element_at(F.lit(["PLANT", "TOOL", "MATERIAL", "BOOK"]), (F.col("l_partkey") % 4 + 1).cast("int")).alias("category"),
         ((F.col("l_suppkey") % 40 + 60) / 100.0).alias("confidence"), "l_orderkey", "l_linenumber")
-    j = li.join(m.vocab(spark, d).select("rk", "term"), "rk")
+    j = li.join(v.select("rk", "term"), "rk")
     ord_ = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), "category", "confidence")
     return j.select(F.when(F.col("l_orderkey") % 2 == 0, F.upper("term")).otherwise(F.col("term")).alias("name"),
                     "category", "confidence", ord_.alias("ord"))

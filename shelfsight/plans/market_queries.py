@@ -23,8 +23,7 @@ CAT = ("cat AS (SELECT p_brand AS category, 'Brand#'||(CAST(p_brand[7:] AS INT)%
        "count(DISTINCT p_name) AS competitors, count(*)*4 AS volume, max(p_size)::DOUBLE AS quality, 0.8e0 AS trend_quality FROM part GROUP BY p_brand)")
 COMP = ("comp AS (SELECT *, least(competitors/50*100,100)*0.6e0+least(volume/500*100,100)*0.4e0 AS competition, CASE WHEN volume>10 THEN 1e0 ELSE volume/10 END AS cq FROM cat), "
         "conv AS (SELECT *, competition*0.5e0+quality*0.5e0 AS barrier, greatest(0e0,least(100e0,demand*commission*authority/10000-competition/2)) AS convergence FROM comp)")
-HIST = ("hist AS (SELECT category, week, score FROM (SELECT brand AS category, CAST(floor(epoch(seen_at)/604800) AS BIGINT) AS week, avg(discount)*1000 AS score FROM prod GROUP BY ALL) "
-        "WHERE NOT (category IN ('Brand#1','Brand#2') AND week%60<>0))")
+HIST = ("hist AS (SELECT category, week, score FROM (SELECT brand AS category, CAST(floor(epoch(seen_at)/604800) AS BIGINT) AS week, avg(discount)*1000 AS score FROM prod GROUP BY ALL))")
 TREND = ("tr0 AS (SELECT category, count(*) AS samples, avg(score) FILTER (rn<=7) AS rec, avg(score) FILTER (rn BETWEEN 8 AND 14) AS prv FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY week DESC) AS rn FROM hist) GROUP BY category), "
          "tr1 AS (SELECT category, samples, CASE WHEN samples>=7 AND coalesce(prv,rec)>0 THEN (rec-coalesce(prv,rec))/coalesce(prv,rec)*100 ELSE 0e0 END AS velocity FROM tr0), "
          "tr AS (SELECT *, CASE WHEN samples<7 THEN 'stable' WHEN velocity>20 THEN 'emerging' WHEN velocity>5 THEN 'rising' WHEN velocity>-5 THEN 'stable' WHEN velocity>-20 THEN 'declining' ELSE 'dying' END AS trend FROM tr1)")
@@ -52,10 +51,9 @@ def categories(spark, d):
 
 
 def history(spark, d):
-    h = m.products(spark, d).groupBy(
+    return m.products(spark, d).groupBy(
         F.col("brand").alias("category"), F.floor(F.unix_timestamp(F.col("seen_at").cast("timestamp")) / 604800).alias("observed_at")
     ).agg((F.avg("discount") * 1000).alias("score"))
-    return h.where(~(F.col("category").isin("Brand#1", "Brand#2") & (F.col("observed_at") % 60 != 0)))
 
 
 def detected(spark, d):
@@ -167,7 +165,7 @@ def f11(spark, d):
 
 
 # Affinity between brands. Keywords: words of part names priced above 905.
-KWS = "ckw AS (SELECT DISTINCT p_brand AS category, unnest(string_split(p_name,' ')) AS member FROM part WHERE p_partkey%3=0)"
+KWS = "ckw AS (SELECT DISTINCT p_brand AS category, unnest(string_split(p_name,' ')) AS member FROM part)"
 
 
 def _ov(name, src):
@@ -187,7 +185,7 @@ AFF = ", ".join([_ov("kw", "SELECT category, member FROM ckw"), _ov("vi", "SELEC
 
 
 def keywords(spark, d):
-    return table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_brand").alias("category"), F.explode(F.split("p_name", " ")).alias("keyword"))
+    return table(spark, d, "part").select(F.col("p_brand").alias("category"), F.explode(F.split("p_name", " ")).alias("keyword"))
 
 
 def pairs(spark, d):
@@ -314,7 +312,7 @@ def f21s(spark, d):
 
 
 # Channels: suppliers with their line items as videos.
-CH = ("ch AS (SELECT s_suppkey AS channel_id, (s_acctbal*15)::BIGINT AS subs, n AS videos FROM supplier LEFT JOIN (SELECT l_suppkey, count(*)%250 AS n FROM lineitem WHERE l_suppkey%6<>0 GROUP BY l_suppkey) ON l_suppkey=s_suppkey), "
+CH = ("ch AS (SELECT s_suppkey AS channel_id, (s_acctbal*15)::BIGINT AS subs, n AS videos FROM supplier LEFT JOIN (SELECT l_suppkey, count(*)%250 AS n FROM lineitem GROUP BY l_suppkey) ON l_suppkey=s_suppkey), "
       "cri AS (SELECT channel_id, 'published_books' AS criterion, 30e0 AS score, 0.2e0 AS cf, 0.15e0 AS w FROM ch UNION ALL SELECT channel_id, 'editorial_vetting', 50e0, 0.3e0, 0.1e0 FROM ch UNION ALL "
       "SELECT channel_id, 'media_presence', CASE WHEN subs IS NULL OR subs<=0 THEN 50e0 WHEN subs>100000 THEN 80e0 WHEN subs>10000 THEN 60e0 ELSE 35e0 END, CASE WHEN subs IS NULL OR subs<=0 THEN 0.3e0 WHEN subs>100000 THEN 0.7e0 WHEN subs>10000 THEN 0.6e0 ELSE 0.5e0 END, 0.15e0 FROM ch UNION ALL "
       "SELECT channel_id, 'professional_credentials', 40e0, 0.2e0, 0.2e0 FROM ch UNION ALL SELECT channel_id, 'institutional_affiliation', 35e0, 0.2e0, 0.15e0 FROM ch UNION ALL SELECT channel_id, 'ethical_alignment', 55e0, 0.3e0, 0.1e0 FROM ch UNION ALL "
@@ -326,7 +324,7 @@ VET = ("adj AS (SELECT cri.*, CASE WHEN criterion='media_presence' AND channel_i
 
 
 def criteria(spark, d):
-    n = table(spark, d, "lineitem").where("l_suppkey % 6 <> 0").groupBy(F.col("l_suppkey").alias("channel_id")).agg((F.count("*") % 250).alias("videos"))
+    n = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("channel_id")).agg((F.count("*") % 250).alias("videos"))
     ch = table(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"), F.round(F.col("s_acctbal") * 15).cast("long").alias("subscribers"))
     return mk.criteria(ch.join(n, "channel_id", "left"))
 

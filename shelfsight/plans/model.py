@@ -2,20 +2,17 @@
 
 Transcripts are `documents`; timed segments are conversation turns; the keyword, intent and
 entity dictionaries are derived from the passages of `benchmark`, so that they occur in the
-text. Every dictionary states its own row bound.
+text. Dictionaries hold every term that the passages give; they grow with the table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from shelfsight.operators.joins import containment_join, spread
+from shelfsight.operators.joins import containment_join, ranked, spread
 from shelfsight.plans.registry import table
 
-VOCAB_SIZE = 60
-DICT_SIZE = 150
 N_CATEGORIES = 5
 EMOTIONS = ["motivation", "curiosity", "confidence"]
 
@@ -38,40 +35,38 @@ SEG = ("seg AS (SELECT conv_id AS video_id, turn AS seg_no, turn*30e0 AS start_s
        "FROM conversations)")
 
 
-def vocab(spark: SparkSession, d: str, size: int = VOCAB_SIZE, min_len: int = 6) -> DataFrame:
-    """The most frequent words of the benchmark passages: at most `size` rows."""
+def vocab(spark: SparkSession, d: str, min_len: int = 6) -> DataFrame:
+    """The words of the benchmark passages with their count and rank."""
     words = (
         table(spark, d, "benchmark")
         .select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("term"))
         .where(F.length("term") >= min_len)
         .groupBy("term").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "term").limit(size)
     )
-    w = W.orderBy(F.desc("n"), "term")
-    return words.withColumn("rk", F.row_number().over(w).cast("long"))
+    return ranked(words, -F.col("n"), F.col("term"), [F.desc("n"), F.col("term")])
 
 
-def vocab_sql(size: int = VOCAB_SIZE, min_len: int = 6, name: str = "vocab") -> str:
+def vocab_sql(min_len: int = 6, name: str = "vocab") -> str:
     return (
         f"{name} AS (SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS rk FROM ("
         "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text),'[^a-z]+')) AS term "
-        f"FROM benchmark) WHERE length(term)>={min_len} GROUP BY term) QUALIFY rk<={size})")
+        f"FROM benchmark) WHERE length(term)>={min_len} GROUP BY term))")
 
 
 VOCAB = vocab_sql()
 
 
-def keywords(spark: SparkSession, d: str, n: int = 12) -> list[str]:
-    """Domain keywords of the preprocessing jobs: every fifth vocabulary word."""
-    v = vocab(spark, d).where(F.col("rk") % N_CATEGORIES == 0).orderBy("rk").limit(n)
+def keywords(spark: SparkSession, d: str) -> list[str]:
+    """Domain keywords of the preprocessing jobs, a list in the plan: every fifth vocabulary word."""
+    v = vocab(spark, d).where(F.col("rk") % N_CATEGORIES == 0).orderBy("rk")
     return [x.term for x in v.collect()]
 
 
-KW = f"kw AS (SELECT term, rk FROM vocab WHERE rk%{N_CATEGORIES}=0 ORDER BY rk LIMIT 12)"
+KW = f"kw AS (SELECT term, rk FROM vocab WHERE rk%{N_CATEGORIES}=0 ORDER BY rk)"
 
 
 def intents(spark: SparkSession, d: str) -> DataFrame:
-    """Intent phrases: (intent, intent_pos, phrase, weight, emotion, cta); VOCAB_SIZE rows."""
+    """Intent phrases: (intent, intent_pos, phrase, weight, emotion, cta), one for each word."""
     pos = F.col("rk") % 6
     return vocab(spark, d).select(
         F.concat(F.lit("intent_"), pos).alias("intent"), pos.alias("intent_pos"),
@@ -87,7 +82,7 @@ INTENT = (
 
 
 def dictionary(spark: SparkSession, d: str) -> DataFrame:
-    """Two-word names from the benchmark passages with aliases: at most DICT_SIZE rows."""
+    """Two-word names from the benchmark passages with aliases."""
     toks = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 5)
     pairs = (
         table(spark, d, "benchmark").select(toks.alias("t"))
@@ -96,9 +91,8 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
             lambda i: F.struct(F.try_element_at("t", i).alias("g"), F.try_element_at("t", i + 1).alias("s")))).alias("p"))
         .where("p.s IS NOT NULL")
         .groupBy("p").agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "p.g", "p.s").limit(DICT_SIZE)
-        .withColumn("pos", F.row_number().over(W.orderBy(F.desc("n"), "p.g", "p.s")).cast("long"))
     )
+    pairs = ranked(pairs, -F.col("n"), F.col("p.g"), [F.desc("n"), F.col("p.g"), F.col("p.s")], name="pos")
     pos = F.col("pos")
     return pairs.select(
         pos.alias("entry_pos"),
@@ -115,7 +109,7 @@ def dictionary(spark: SparkSession, d: str) -> DataFrame:
 DICT = (
     "bt AS (SELECT list_filter(regexp_split_to_array(lower(text),'[^a-z]+'), lambda x: length(x)>=5) AS t FROM benchmark), "
     "bp AS (SELECT t[i] AS g, t[i+1] AS s FROM (SELECT t, unnest(range(1,len(t))) AS i FROM bt)), "
-    f"bn AS (SELECT g, s, row_number() OVER (ORDER BY count(*) DESC, g, s) AS pos FROM bp GROUP BY g, s QUALIFY pos<={DICT_SIZE}), "
+    f"bn AS (SELECT g, s, row_number() OVER (ORDER BY count(*) DESC, g, s) AS pos FROM bp GROUP BY g, s), "
     "dict AS (SELECT pos AS entry_pos, g||' '||s AS latin, g AS genus, s AS species, "
     "CASE WHEN pos%3=0 THEN s||' gold' END AS variety, [s] AS common, [g[1:5]||s[1:4]] AS synonyms, "
     "CASE WHEN pos%4=0 THEN [s||' '||g] ELSE [] END AS trade, pos*7%20 AS usage_count, (pos*3%10)/10e0 AS ambiguity FROM bn)")
@@ -125,7 +119,7 @@ def mentions(spark: SparkSession, d: str) -> DataFrame:
     """Timed entity mentions: vocabulary words found in conversation turns."""
     segs = segments(spark, d).withColumn("_lower", F.lower("text"))
     ents = vocab(spark, d).select("term", "rk")
-    hit = containment_join(segs, ents, "video_id", "_lower", "term",
+    hit = containment_join(segs, ents, "_lower", "term",
                            keep=["video_id", "seg_no", "start_s", "text"])
     return hit.select(
         "video_id", "seg_no", F.col("start_s").alias("t"), F.col("term").alias("entity"), "rk",

@@ -29,10 +29,15 @@ def local_session(cpus: int | str = "*", app: str = "shelfsight") -> SparkSessio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a private one only where none is set."""
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if named:
-        return named
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="shelfsight-ckpt-")
-    raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
+    """The shared folder named by the session.
+
+    Only a local session that names none, as in tests, gets one of its own, the same for all its jobs.
+    """
+    ctx = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or ctx.getConf().get(CHECKPOINT_KEY) or ctx.getCheckpointDir()
+    if not named:
+        if not ctx.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
+        ctx.setCheckpointDir(tempfile.mkdtemp(prefix="shelfsight-ckpt-"))
+        named = ctx.getCheckpointDir()
+    return named

@@ -9,9 +9,10 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfsight.functions.num import local_day
 from shelfsight.operators import intent
 from shelfsight.operators.usage import refusal
 from shelfsight.session import checkpoint_dir
@@ -27,6 +28,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") != "error").alias("success"), k.alias("k"))
 
 
+def _seconds(ts: str) -> Column:
+    return F.floor(F.unix_micros(ts) / 1000000)
+
+
 def windowed_calls(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Calls and revenue per window, agent-independent, by tool."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "tool_name").agg(
@@ -46,8 +51,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
         F.array_sort(F.collect_set("tool_name")).alias("tools"))
 
 
-def free_tier_admission(events: DataFrame, limit: int = 5, late: str = "10 minutes") -> DataFrame:
-    """Admission per (agent, UTC day) with state; a day's state expires after the watermark passes it."""
+def free_tier_admission(events: DataFrame, limit: int = 5, late: str = "10 minutes", zone: str = "UTC") -> DataFrame:
+    """Admission per (agent, day of the zone) with state; a day's state expires after the watermark passes it."""
     out = "event_id long, agent_id string, day string, granted boolean, remaining long"
     state = "used long"
 
@@ -61,12 +66,12 @@ def free_tier_admission(events: DataFrame, limit: int = 5, late: str = "10 minut
         n = pd.Series(range(used + 1, used + len(rows) + 1), index=rows.index)
         st.update((used + len(rows),))
         # A day may be reopened only until the watermark is past its end.
-        end_ms = int((pd.Timestamp(day, tz="UTC") + pd.Timedelta(days=1)).timestamp() * 1000)
+        end_ms = int((pd.Timestamp(day, tz=zone) + pd.Timedelta(days=1)).timestamp() * 1000)
         st.setTimeoutTimestamp(max(end_ms, st.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], "agent_id": agent, "day": day,
                             "granted": n <= limit, "remaining": (limit - n).clip(lower=0)})
 
-    e = events.withWatermark("ts", late).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    e = events.withWatermark("ts", late).withColumn("day", local_day(_seconds("ts"), zone))
     return e.groupBy("agent_id", "day").applyInPandasWithState(admit, out, state, "append", "EventTimeTimeout")
 
 
@@ -91,7 +96,7 @@ def token_bucket_admission(events: DataFrame, rate: float, late: str = "10 minut
     return e.groupBy("service").applyInPandasWithState(admit, out, "tokens double, last_ms long", "append", "NoTimeout")
 
 
-def budget_admission(calls: DataFrame, budget: dict) -> DataFrame:
+def budget_admission(calls: DataFrame, budget: dict, zone: str = "UTC") -> DataFrame:
     """Budget admission per (service, month); the state is the day and two running costs.
 
     calls(event_id, service, ts, cost). Rows of one batch are taken in event-time order.
@@ -112,7 +117,7 @@ def budget_admission(calls: DataFrame, budget: dict) -> DataFrame:
         st.update((day, float(day_cost), float(month_cost)))
         yield pd.DataFrame({"event_id": rows["event_id"], "service": key[0], "refused_by": why})
 
-    c = calls.withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    c = calls.withColumn("day", local_day(_seconds("ts"), zone)).withColumn("month", F.substring("day", 1, 7))
     return c.groupBy("service", "month").applyInPandasWithState(
         admit, out, "day string, day_cost double, month_cost double", "append", "NoTimeout")
 

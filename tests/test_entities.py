@@ -69,3 +69,10 @@ def test_nearby_and_co_occurrence_against_brute_force(spark):
         times.setdefault((v, e), set()).add(t)
     want = {(v, e): sum(any(abs(t - o) <= 60 for o in ts2) for t in ts for (v2, e2), ts2 in times.items() if v2 == v and e2 != e) for (v, e), ts in times.items()}
     assert co == want
+
+
+def test_co_occurrence_counts_mentions_at_one_second(spark):
+    rows = [(1, 1, "rose", 30.0, True), (2, 1, "rose", 30.0, True), (3, 1, "mint", 60.0, False), (4, 1, "fern", 500.0, True)]
+    m = spark.createDataFrame(rows, "mention_id long, video_id long, entity string, t double, in_dictionary boolean")
+    got = {r.key: (r.co_occurrences, r.with_known) for r in en.co_occurrence(m.withColumn("latin", F.lit(None).cast("string"))).collect()}
+    assert got == {"rose": (2, False), "mint": (1, True), "fern": (0, False)}

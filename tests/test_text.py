@@ -82,15 +82,24 @@ def test_partitioning_does_not_change_results(spark):
     assert outs[0] == outs[1] == outs[2]
 
 
-@pytest.mark.parametrize("limit", [2000, 3])
-def test_containment_plans_agree(spark, limit):
+@pytest.mark.parametrize("plan,limit", [("automaton", 1000), ("automaton", 7), ("inline", 1000), ("inline", 7), ("shuffle", 0)])
+def test_containment_plans_agree(spark, plan, limit):
+    """Repeated ids and rows, short and null texts, repeated, empty and null terms: equal multisets."""
     rng = random.Random(5)
-    docs = [(i, "".join(rng.choice("abcé ") for _ in range(30))) for i in range(50)]
-    terms = [(t,) for t in {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(40)}]
+    docs = [(i % 20, "".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 2, 3, 30])))) for i in range(60)]
+    docs += docs[:5] + [(1, None), (1, ""), (2, "abcabc")]
+    terms = [("".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))), i % 3) for i in range(40)]
+    terms += terms[:3] + [("", 1), (None, 2), ("abc", 0), ("abc", 1)]
     d = spark.createDataFrame(docs, "id long, text string")
-    t = spark.createDataFrame(terms, "term string")
-    got = {(r.id, r.term) for r in containment_join(d, t, "id", "text", "term", limit=limit).collect()}
-    assert got == {(i, t) for i, x in docs for (t,) in terms if t in x}
+    t = spark.createDataFrame(terms, "term string, kind long")
+    got = sorted(map(tuple, containment_join(d, t, "text", "term", plan=plan, limit=limit).collect()))
+    assert got == sorted((i, t, k) for i, x in docs for t, k in terms if t and x and t in x)
+
+
+def test_alternation_prefers_the_longest():
+    terms = ["rose", "rosemary", "ros", "tea rose", "a.b", "a"]
+    pattern = re.compile(tx.alternation(terms))
+    assert [m[0] for m in pattern.finditer("rosemary rose ros tea rose a.b axb")] == ["rosemary", "rose", "ros", "tea rose", "a.b", "a"]
 
 
 def test_clock_and_slug(spark):

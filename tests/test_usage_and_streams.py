@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.operators import content as ct
@@ -146,3 +147,18 @@ def test_late_events_are_dropped(spark, tmp_path):
     run()
     out = {r.window.start.hour: r.calls for r in spark.read.parquet(base + "/o").collect()}
     assert out == {0: 1, 5: 1}
+
+
+@pytest.mark.parametrize("session_zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_days_do_not_follow_the_session_zone(spark, session_zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session_zone)
+    try:
+        e = spark.createDataFrame([(1, "a", 86400 - 60), (2, "a", 86400 + 60), (3, "a", 86400 + 120)], "event_id long, agent_id string, epoch long")
+        got = {r.event_id: (r.day, r.call_no) for r in u.free_tier(e, 2).collect()}
+        assert got == {1: ("1970-01-01", 1), 2: ("1970-01-02", 1), 3: ("1970-01-02", 2)}
+        c = e.select("event_id", F.lit("s").alias("service"), "epoch", F.lit(1.0).alias("cost"))
+        days = {r.event_id: r.day for r in u.budget_ledger(c, "America/New_York").collect()}
+        assert days == {1: "1970-01-01", 2: "1970-01-01", 3: "1970-01-01"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
