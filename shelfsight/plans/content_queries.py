@@ -192,9 +192,9 @@ def e10(spark, d):
                                       half_up("potential", 6).alias("potential"), "action")
 
 
-@query("e11_top_candidates", m.with_(CND, POT) + f"SELECT id, {r('potential')} AS potential FROM (SELECT id, floor(potential*1e6+0.5e0)/1e6 AS potential FROM pota WHERE action<>'reject' ORDER BY potential DESC, id LIMIT 10)")
+@query("e11_top_candidates", m.with_(CND, POT) + f"SELECT id, {r('potential')} AS potential FROM (SELECT id, floor(potential*1e6+0.5e0)/1e6 AS potential FROM pota WHERE action='priority' ORDER BY potential DESC, id LIMIT 10)")
 def e11(spark, d):
-    s = potential(spark, d).where("action <> 'reject'").select("id", half_up("potential", 6).alias("potential"), F.lit("priority").alias("action"))
+    s = potential(spark, d).select("id", half_up("potential", 6).alias("potential"), "action")
     return ct.top_priority(s).select("id", "potential")
 
 

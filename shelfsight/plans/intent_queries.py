@@ -89,11 +89,16 @@ def d6(spark, d):
         F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda y: y["x"]), ",").alias("listed"))
 
 
-@query("a14_intent_export", BASE + """
-SELECT video_id, count(*) AS n_detections, least(count(*),10) AS n_top FROM det GROUP BY video_id""")
+@query("a14_intent_export", BASE[:-1] + f""", {DIST},
+ sm AS (SELECT video_id, arg_max(intent, {{'a':floor(total*1e9+0.5e0),'b':-fs.s,'c':-fs.v,'d':-fs.p}}) AS top_intent, {r('sum(commercial)')} AS total FROM dist GROUP BY video_id),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY {RANK} DESC, seg_no, intent_pos) AS rank FROM det)
+SELECT video_id, any_value(top_intent) AS top_intent, any_value(sm.total) AS total, string_agg(seg_no||':'||intent, ',' ORDER BY seg_no, intent_pos) AS listed,
+ string_agg(CASE WHEN rank<=10 THEN seg_no||':'||intent END, ',' ORDER BY rank) AS top FROM rk JOIN sm USING (video_id) GROUP BY video_id""")
 def a14(spark, d):
     e = intent.export_json(detections(spark, d))
-    j = F.from_json("json", "high_value_segments array<struct<seg_no:long>>, all_detections array<struct<seg_no:long>>")
+    item = "array<struct<seg_no:long,intent:string>>"
+    j = F.from_json("json", f"summary struct<top_intent:string,total_commercial_value:double>, high_value_segments {item}, all_detections {item}")
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["seg_no"], x["intent"])), ",")
     return e.select("video_id", j.alias("j")).select(
-        "video_id", F.size("j.all_detections").cast("long").alias("n_detections"),
-        F.size("j.high_value_segments").cast("long").alias("n_top"))
+        "video_id", "j.summary.top_intent", half_up("j.summary.total_commercial_value", 6).alias("total"),
+        line("j.all_detections").alias("listed"), line("j.high_value_segments").alias("top"))

@@ -13,19 +13,62 @@ from shelfsight.streaming import jobs
 WM = "(SELECT max(ts) FROM events)-INTERVAL 10 MINUTE"
 
 
-@query("s1_windowed_calls", f"SELECT epoch(w)::BIGINT AS start_s, event_type AS tool_name, count(*) AS calls, {r('sum(value)')} AS revenue FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, * FROM events) WHERE w+INTERVAL 1 HOUR<={WM} GROUP BY ALL")
+def _windows(width: str, by: str) -> str:
+    return (f"SELECT epoch(w)::BIGINT AS start_s, {by}, count(*) AS calls, {r('sum(value)')} AS revenue FROM (SELECT time_bucket(INTERVAL {width}, ts) AS w, "
+            f"event_type AS tool_name, 'agent'||user_id AS agent_id, * FROM events) WHERE w+INTERVAL {width}<={WM} GROUP BY ALL")
+
+
+def _windowed(spark, d, width, by, name):
+    x = jobs.run_to_files(spark, jobs.windowed_calls(jobs.event_stream(spark, d), width, by), name)
+    return x.select(F.unix_timestamp("window.start").alias("start_s"), by, "calls", half_up("revenue", 6).alias("revenue"))
+
+
+@query("s1_windowed_calls", _windows("1 HOUR", "tool_name"))
 def s1(spark, d):
-    x = jobs.run_to_files(spark, jobs.windowed_calls(jobs.event_stream(spark, d)), "s1")
-    return x.select(F.unix_timestamp("window.start").alias("start_s"), "tool_name", "calls", half_up("revenue", 6).alias("revenue"))
+    return _windowed(spark, d, "1 hour", "tool_name", "s1")
 
 
-@query("s2_limit_breaches", f"""SELECT epoch(s)::BIGINT AS start_s, agent_id, count(*) AS calls FROM (SELECT 'agent'||user_id AS agent_id, unnest([time_bucket(INTERVAL 10 MINUTE, ts)-INTERVAL 10 MINUTE*i FOR i IN range(0,6)]) AS s FROM events)
-WHERE s+INTERVAL 1 HOUR<={WM} GROUP BY ALL HAVING count(*)>=3""")
-def s2(spark, d):
-    x = jobs.run_to_files(spark, jobs.limit_breaches(jobs.event_stream(spark, d), "1 hour", "10 minutes", 3), "s2")
+@query("s1_minute_calls_by_tool", _windows("1 MINUTE", "tool_name"))
+def s1_minute(spark, d):
+    return _windowed(spark, d, "1 minute", "tool_name", "s1m")
+
+
+@query("s1_hour_calls_by_agent", _windows("1 HOUR", "agent_id"))
+def s1_hour_agent(spark, d):
+    return _windowed(spark, d, "1 hour", "agent_id", "s1ha")
+
+
+@query("s1_day_calls_by_agent", _windows("1 DAY", "agent_id"))
+def s1_day(spark, d):
+    return _windowed(spark, d, "1 day", "agent_id", "s1da")
+
+
+def _breaches(width: str, slide: str, slides: int, limit: int) -> str:
+    return (f"SELECT epoch(s)::BIGINT AS start_s, agent_id, count(*) AS calls FROM (SELECT 'agent'||user_id AS agent_id, "
+            f"unnest([time_bucket(INTERVAL {slide}, ts)-INTERVAL {slide}*i FOR i IN range(0,{slides})]) AS s FROM events) "
+            f"WHERE s+INTERVAL {width}<={WM} GROUP BY ALL HAVING count(*)>={limit}")
+
+
+def _breached(spark, d, width, slide, limit, name):
+    x = jobs.run_to_files(spark, jobs.limit_breaches(jobs.event_stream(spark, d), width, slide, limit), name)
     return x.select(F.unix_timestamp("window.start").alias("start_s"), "agent_id", "calls")
 
 
+@query("s2_limit_breaches", _breaches("1 HOUR", "10 MINUTE", 6, 3))
+def s2(spark, d):
+    return _breached(spark, d, "1 hour", "10 minutes", 3, "s2")
+
+
+@query("s2_minute_limit_breaches", _breaches("1 MINUTE", "10 SECOND", 6, 2))
+def s2_minute(spark, d):
+    return _breached(spark, d, "1 minute", "10 seconds", 2, "s2m")
+
+
+@query("s2_day_limit_breaches", _breaches("1 DAY", "1 HOUR", 24, 5))
+def s2_day(spark, d):
+    return _breached(spark, d, "1 day", "1 hour", 5, "s2d")
+
+
 @query("s3_sessions", f"""WITH g AS (SELECT *, CASE WHEN ts-lag(ts) OVER (PARTITION BY user_id ORDER BY ts)<INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events),
  i AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
 SELECT 'agent'||user_id AS agent_id, epoch_us(min(ts)) AS start_us, count(*) AS calls, {r('sum(value)')} AS revenue, count_if(event_type='error')::BIGINT AS errors, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS tools

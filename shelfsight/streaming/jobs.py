@@ -32,9 +32,9 @@ def _seconds(ts: str) -> Column:
     return F.floor(F.unix_micros(ts) / 1000000)
 
 
-def windowed_calls(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Calls and revenue per window, agent-independent, by tool."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "tool_name").agg(
+def windowed_calls(events: DataFrame, width: str = "1 hour", by: str = "tool_name", late: str = "10 minutes") -> DataFrame:
+    """Calls and revenue per window (minute, hour or day), by tool or by agent."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width), by).agg(
         F.count("*").alias("calls"), F.sum("amount_usd").alias("revenue"))
 
 
