@@ -280,9 +280,9 @@ def c19(spark, d):
     return enriched(spark, d).select("mention_id", "entity_id", "needs_disambiguation")
 
 
-@query("c20_enrichment_metrics", m.with_(*MEN, ENR) + f"SELECT video_id, count(*) AS entities, 0 AS disambiguated, count_if(need)::BIGINT AS genus_only, {r('avg(confidence)')} AS avg_confidence FROM enr GROUP BY video_id")
+@query("c20_enrichment_metrics", m.with_(*MEN, ENR) + f"SELECT video_id, count(*) AS entities, 0 AS disambiguated, count_if(need)::BIGINT AS genus_only, {r('avg(confidence)', 9)} AS avg_confidence FROM enr GROUP BY video_id")
 def c20(spark, d):
-    return en.enrichment_metrics(enriched(spark, d)).withColumn("avg_confidence", half_up("avg_confidence", 6))
+    return en.enrichment_metrics(enriched(spark, d)).withColumn("avg_confidence", half_up("avg_confidence", 9))
 
 
 @query("c21_first_timestamp", m.with_(*MEN) + """, e AS (SELECT DISTINCT video_id, entity FROM men UNION SELECT DISTINCT video_id, 'nowhere' FROM seg)
