@@ -225,7 +225,7 @@ def test_maxent_is_a_distribution():
     w = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
     h, _ = maxent.tokens("some words of a text and some more")
     at, rows = maxent.history(h)
-    assert len(at) == 8 and np.allclose(maxent._softmax(w, rows).sum(axis=1), 1, atol=1e-5)
+    assert len(at) == 9 and np.allclose(maxent._softmax(w, rows).sum(axis=1), 1, atol=1e-5)
     n = np.array([5, 3, 1])
     assert (n + 0.5).sum() + 0.5 == pytest.approx(n.sum() + 0.5 * (len(n) + 1))
 
