@@ -238,6 +238,13 @@ def e14(spark, d):
     return strategy_rows(spark, d).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("e14_top_products", m.with_(*eq.MEN) + """SELECT video_id, entity, confidence AS affiliate_score, row_number() OVER (PARTITION BY video_id ORDER BY confidence DESC, mention_id) AS rank
+FROM men WHERE shoppable QUALIFY rank<=5""")
+def e14_top(spark, d):
+    x = eq.mentions(spark, d).select("video_id", "entity", F.col("confidence").alias("affiliate_score"), "shoppable", F.col("mention_id").alias("ord"))
+    return ct.top_products(x).select("video_id", "entity", "affiliate_score", F.col("rank").cast("long").alias("rank"))
+
+
 @query("e15_market_position", m.with_(CND, POT) + f"SELECT id, CASE action WHEN 'priority' THEN 'rising' WHEN 'promote' THEN 'emerging' WHEN 'monitor' THEN 'stable' ELSE 'declining' END AS trend, {r('(100e0-potential)/100')} AS competition FROM pota")
 def e15(spark, d):
     return ct.market_position(potential(spark, d)).select("id", "trend", half_up("competition", 6).alias("competition"))

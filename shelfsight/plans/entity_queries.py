@@ -178,6 +178,11 @@ def c11(spark, d):
     return en.nearby_entities(mentions(spark, d))
 
 
+@query("c11_last_per_name", m.with_(*MEN) + "SELECT video_id, entity, max(mention_id) AS mention_id, arg_max(confidence, mention_id) AS confidence FROM men GROUP BY ALL")
+def c11_last(spark, d):
+    return en.last_per_name(mentions(spark, d).select("video_id", "entity", "mention_id", "confidence"))
+
+
 @query("c12_ambiguity", m.with_(*MEN) + """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN latin IS NULL AND rk%4=1 THEN 'Common name only - no Latin name provided'
  WHEN confidence<0.7e0 THEN 'Single word with low confidence' WHEN regexp_matches(entity,'rose|lily|palm|pine|sage|mint|basil') AND latin IS NULL THEN 'Known ambiguous common name' END AS reason FROM men)
 WHERE reason IS NOT NULL GROUP BY reason""")

@@ -193,6 +193,16 @@ def f36(spark, d):
     return x.select("ord", F.col("year").cast("long").alias("year"), "is_live", "days_ceil", "hours_floor", half_up("progress", 6).alias("progress"))
 
 
+@query("f36_promotion_fields", """SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name||' & '||p_brand||'!  Sale'),'[^A-Za-z0-9_\\s-]','','g'),'\\s+','-','g')[1:100] AS slug,
+ CASE p_partkey%4 WHEN 0 THEN p_type||'|'||p_brand WHEN 1 THEN '' WHEN 2 THEN '' ELSE p_type END AS categories FROM part""")
+def f36_fields(spark, d):
+    k = F.col("p_partkey") % 4
+    raw = F.when(k == 0, F.to_json(F.array("p_type", "p_brand"))).when(k == 1, "not json").when(k == 3, F.to_json(F.array("p_type")))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), cal.promotion_slug(F.concat("p_name", F.lit(" & "), "p_brand", F.lit("!  Sale"))).alias("slug"),
+        F.array_join(cal.string_list(raw), "|").alias("categories"))
+
+
 @query("f37_season", "SELECT season, hemisphere, count(*) AS orders FROM (SELECT CASE WHEN mo BETWEEN 3 AND 5 THEN CASE WHEN he='northern' THEN 'spring' ELSE 'autumn' END WHEN mo BETWEEN 6 AND 8 THEN CASE WHEN he='northern' THEN 'summer' ELSE 'winter' END WHEN mo BETWEEN 9 AND 11 THEN CASE WHEN he='northern' THEN 'autumn' ELSE 'spring' END ELSE CASE WHEN he='northern' THEN 'winter' ELSE 'summer' END END AS season, he AS hemisphere FROM (SELECT month(o_orderdate) AS mo, CASE WHEN o_custkey%4=1 THEN 'southern' ELSE 'northern' END AS he FROM orders)) GROUP BY ALL")
 def f37(spark, d):
     reg = F.element_at(F.lit(["uk", "au", "eu", "us"]), (F.col("o_custkey") % 4 + 1).cast("int"))
