@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """Smaller Arrow batches for what is computed inside, where a row holds far more than its text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(doc_id: Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n: the fixed split into training and held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
@@ -53,10 +66,9 @@ def id_bitmap(ids: DataFrame, col: str) -> bytes:
         ids.select(id_slot(F.col(col)).alias("s"))
         .groupBy(F.shiftright("s", 6).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, s & 63)")).alias("b"))
-    ).collect()
+    ).toArrow()
     out = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.int64)
-    for x in words:
-        out[x["w"]] = x["b"]
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out.tobytes()
 
 

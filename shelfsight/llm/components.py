@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from shelfsight.llm.common import saved
 
 
+def _state(e: DataFrame) -> tuple:
+    now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+    return now["n"], now["h"]
+
+
 def _large(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -34,12 +39,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges.where(F.col(a) != F.col(b))
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
-    seen = None
-    while True:
+    seen = _state(e)
+    while seen[0]:
         e = saved(_small(_large(e).where("u <> v").distinct()).where("u <> v").distinct())
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if (now["n"], now["h"]) == seen:
+        now = _state(e)
+        if now == seen:
             break
-        seen = (now["n"], now["h"])
+        seen = now
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

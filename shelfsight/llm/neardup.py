@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import id_bitmap, id_slot, in_bitmap, own_columns, saved
@@ -24,6 +24,7 @@ from shelfsight.llm.components import components
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
+SIGNS = -(-BINS // 64)  # 64-bit words of the one-bit signature
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PRIME2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -75,6 +76,14 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _packed(sig: np.ndarray) -> np.ndarray:
+    """One bit of each bin, in 64-bit words."""
+    out = np.zeros(SIGNS * 8, dtype=np.uint8)
+    packed = np.packbits((sig >> np.uint64(9)).astype(np.uint8) & 1)
+    out[: len(packed)] = packed
+    return out.view(np.int64)
+
+
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0)
@@ -85,7 +94,7 @@ def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = _walks()
         for batch in batches:
-            size, digest, keys, bits = [], [], [], []
+            size, digest, keys, bits, signs = [], [], [], [], []
             for text in batch["text"]:
                 s = shingles(text.as_py(), n)
                 size.append(len(s))
@@ -93,10 +102,11 @@ def _fingerprints(n: int):
                 sig = signature(s, walks) if len(s) else None
                 keys.append(band_keys(sig) if len(s) else np.empty(0, dtype=np.int64))
                 bits.append((sig & np.uint64(255)).astype(np.uint8).tobytes() if len(s) else None)
+                signs.append(_packed(sig) if len(s) else np.empty(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].cast(pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                 _lists(keys, pa.int64()), pa.array(bits, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "keys", "bits"])
+                 _lists(keys, pa.int64()), pa.array(bits, pa.binary()), _lists(signs, pa.int64())],
+                names=["doc_id", "n_shingles", "digest", "keys", "bits", "signs"])
     return run
 
 
@@ -129,9 +139,7 @@ def _plausible(percent: int):
             agree = (a == b).mean(axis=1)
             least = np.minimum(batch["n_a"].to_numpy(), batch["n_b"].to_numpy()).clip(1, BINS)
             keep = agree >= t - 6 * np.sqrt(t * (1 - t) / least)
-            out = pa.RecordBatch.from_arrays(
-                [batch["a"], batch["b"], pa.array(agree)], names=["a", "b", "agree"])
-            yield out.filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
     return run
 
 
@@ -151,15 +159,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     docs = own_columns(docs, ["doc_id", "text"])
     prints = saved(docs.mapInArrow(
-        _fingerprints(words), "doc_id long, n_shingles long, digest binary, keys array<long>, bits binary"))
+        _fingerprints(words), "doc_id long, n_shingles long, digest binary, keys array<long>, bits binary, signs array<long>"))
     classes = saved(
         prints.where("n_shingles > 0").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
     reps = prints.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi") \
         .dropDuplicates(["doc_id"])
-    reps = saved(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "bits"))
-    links = _links(docs, reps, words, percent)
-    roots = components(links)
+    reps = saved(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "bits", "signs"))
+    roots = _classes(docs, reps, words, percent)
     rep_root = classes.join(roots, F.col("rep") == F.col("node"), "left") \
         .select("digest", F.coalesce("root", "rep").alias("component_id"))
     # A document alone with its set is its own class: only shared or linked sets go through the join.
@@ -168,68 +175,99 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
+def _classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) of every representative that is linked to another."""
     dealt = reps.select("rep", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    buckets = saved(dealt.join(shared.select("key", "hub"), "key"))
-    links = saved(spark.createDataFrame([], "a long, b long"))
-    tried, pairs, hubs = None, buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")), 1
-    while True:
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        tried = pairs if tried is None else saved(tried.unionByName(pairs))
-        found = _confirm(docs, reps, pairs, links, words, percent)
-        links = saved(links.unionByName(found))
-        roots = saved(components(links))
-        # What is left of a bucket: members outside the classes of its hubs.
-        named = (
-            buckets.join(roots, F.col("rep") == F.col("node"), "left")
-            .select("key", "rep", "hub", F.coalesce("root", "rep").alias("c")))
-        taken = named.where("rep = hub").select("key", F.col("c").alias("hub_c")).distinct() if hubs == 1 else \
-            buckets.select("key", "hub").distinct().join(roots, F.col("hub") == F.col("node"), "left") \
-            .select("key", F.coalesce("root", "hub").alias("hub_c")).distinct()
-        rest = named.select("key", "rep", "c").distinct() \
-            .join(taken, (named["key"] == taken["key"]) & (named["c"] == taken["hub_c"]), "left_anti")
-        open_keys = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        rest = saved(rest.join(open_keys, "key", "left_semi"))
-        if rest.isEmpty():
-            return links
-        hubs *= 4
-        slot = F.pmod(F.xxhash64("rep"), F.lit(hubs))
-        heads = rest.groupBy("key", slot.alias("s")).agg(F.min("rep").alias("hub"))
-        # `hubs` bounds the rows that one key is multiplied by.
-        buckets = saved(rest.select("key", "rep").join(heads.select("key", "hub"), "key"))
-        pairs = buckets.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
-
-
-def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, links: DataFrame, words: int, percent: int) -> DataFrame:
-    """Candidate pairs that hold on the full sets, less those already in one class."""
+    star = saved(dealt.join(shared.select("key", "hub"), "key"))
+    members, heads = star.select("key", "rep"), star.where("rep = hub").select("key", "hub")
+    pairs = star.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    pairs = saved(pairs.groupBy("a", "b").agg(F.count("*").alias("m")))
+    # First each member with the hub it meets most often, then what still lies apart.
+    best = saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b"))
+    roots = _joined(roots, _confirm(docs, reps, best, words, percent))
+    others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    roots = _joined(roots, _confirm(docs, reps, saved(_apart(others, roots)), words, percent))
+    rest = saved(_rest(members, heads, roots))
+    if rest.isEmpty():
+        return roots
+    full = saved(_load_sets(docs, rest.select(F.col("rep").alias("doc_id")), words)
+                 .join(reps.select(F.col("rep").alias("doc_id"), "n", "signs"), "doc_id"))
+    hubs = 1
+    while not rest.isEmpty():
+        hubs *= 64
+        heads = rest.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("s")).agg(F.min(F.struct("rep", "c")).alias("h"))
+        heads = saved(heads.select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hub_c")))
+        mine = rest.join(full.withColumnRenamed("doc_id", "rep"), "rep")
+        hers = heads.join(full.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("signs").alias("hub_signs"),
+                                      F.col("items").alias("hub_items")), "hub").withColumnRenamed("key", "hub_key")
+        # The whole test stands in the join: `hubs` bounds the hubs a member meets, and only links become rows.
+        common = F.size(F.array_intersect("items", "hub_items"))
+        met = mine.join(hers, (F.col("key") == F.col("hub_key")) & (F.col("c") != F.col("hub_c")) & _fit("n", "hub_n", percent)
+                        & _alike(percent) & (common * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent))
+        roots = _joined(roots, met.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
+        rest = saved(_rest(rest.select("key", "rep"), heads.select("key", "hub"), roots))
+    return roots
+
+
+def _fit(a: str, b: str, percent: int) -> Column:
+    """Whether two set sizes allow the similarity."""
+    return (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
+
+
+def _alike(percent: int) -> Column:
+    """Whether one-bit signatures agree often enough: as in `_plausible`, on (1 + similarity) / 2 of the bins."""
+    t = percent / 100
+    differ = sum((F.bit_count(F.get("signs", k).bitwiseXOR(F.get("hub_signs", k))) for k in range(SIGNS)), F.lit(0))
+    least = F.least("n", "hub_n", F.lit(BINS))
+    return differ <= BINS * (1 - t) / 2 + BINS / 2 * 6 * ((t * (1 - t)) ** 0.5 / F.sqrt(least) + 1 / BINS ** 0.5)
+
+
+def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """Classes after new links; old classes count as the stars they are."""
+    found = saved(found)
+    if found.isEmpty():
+        return roots
+    old = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return saved(components(old.unionByName(found)))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different classes."""
+    name = {s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
+    return (
+        pairs.join(name["a"], "a", "left").join(name["b"], "b", "left")
+        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+
+
+def _rest(members: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, c): members outside the classes of their bucket's hubs, where two classes or more are left."""
+    named = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("c"))
+    taken = (
+        heads.join(roots, F.col("hub") == F.col("node"), "left")
+        .select("key", F.coalesce("root", "hub").alias("c")).distinct())
+    rest = saved(named.join(taken, ["key", "c"], "left_anti"))
+    open_keys = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return rest.join(open_keys, "key", "left_semi")
+
+
+def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Candidate pairs that hold on the full sets."""
     small = reps.select("rep", "n", "bits")
     side = {s: small.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"}
-    fit = F.col(f"n_a") * percent <= F.col("n_b") * 100
-    fit = fit & (F.col("n_b") * percent <= F.col("n_a") * 100)
     likely = saved(
-        pairs.join(side["a"], "a").join(side["b"], "b").where(fit)
-        .mapInArrow(_plausible(percent), "a long, b long, agree double"))
-    best = likely.groupBy("b").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a")).select("a", "b")
-    sets = _load_sets(docs, likely, words)
-    first = saved(_exact(best, sets, percent))
-    # The other pairs matter only where the best ones left their ends in different classes.
-    roots = saved(components(links.unionByName(first)))
-    name = {s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}")) for s in "ab"}
-    apart = (
-        likely.select("a", "b").join(best, ["a", "b"], "left_anti")
-        .join(name["a"], "a", "left").join(name["b"], "b", "left")
-        .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-    return first.unionByName(_exact(apart, sets, percent))
+        pairs.join(side["a"], "a").join(side["b"], "b").where(_fit("n_a", "n_b", percent))
+        .mapInArrow(_plausible(percent), "a long, b long"))
+    if likely.isEmpty():
+        return likely
+    ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    return _exact(likely, _load_sets(docs, ends, words), percent)
 
 
-def _load_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """Shingle sets of the documents that pairs name; a fixed-size bitmap spares the shuffle of all texts."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _load_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """Shingle sets of the documents named; a fixed-size bitmap spares the shuffle of all texts."""
+    ids = saved(ids.distinct())
     texts = docs.select("doc_id", "text", id_slot(F.col("doc_id")).alias("slot"))
     some = texts.mapInArrow(_sets(words, id_bitmap(ids, "doc_id")), "doc_id long, items array<long>")
     return saved(some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
