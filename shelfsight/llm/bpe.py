@@ -21,13 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import own_columns, saved
+from shelfsight.llm.common import arrow_rows, own_columns, saved
 
 SLOTS = 1 << 14
 NONE = (1 << 31) - 1
-DICTIONARY = 1 << 21  # commonest pieces that are encoded once; with MAX_PIECE the bound of what is broadcast
+DICTIONARY = 1 << 19  # commonest pieces that are encoded once; with MAX_PIECE the bound of what is broadcast
 MAX_PIECE = 32
-SLICE = 500_000  # pieces handled at a time in a Python task
+BATCH_ROWS = 2000
+SLICE = 250_000  # pieces handled at a time in a Python task
 
 
 def load_ranks(path: str) -> dict[str, int]:
@@ -131,11 +132,21 @@ def frequent_pieces(docs: DataFrame, pattern: str, most: int = DICTIONARY) -> Da
     return count.where(band >= cut).select("piece")
 
 
+def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold at most `most` list elements, or one row."""
+    ends = np.cumsum(pc.list_value_length(batch[column]).to_numpy())
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _look_up(dictionary):
     """Each piece as an index into the dictionary, or as -1-k for the k-th rare piece of its document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pa.ipc.open_file(dictionary.value).read_all().combine_chunks()["piece"].combine_chunks()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole, "pieces", 2 * SLICE)):
             lists = batch["pieces"]
             flat, parent = lists.flatten().cast(known.type), pc.list_parent_indices(lists).to_numpy()
             found = pc.index_in(flat, value_set=known)
@@ -163,13 +174,8 @@ def _assemble(dictionary, token_bytes: list[bytes]):
         spelled = pa.array([str(i) for i in range(len(token_bytes))])
         raw = pa.array(token_bytes, pa.binary())
         for batch in batches:
-            ends = np.cumsum(pc.list_value_length(batch["codes"]).to_numpy())
-            lo = 0
-            while lo < batch.num_rows:
-                before = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE, side="right")))
-                yield _digests(batch.slice(lo, hi - lo), known, spelled, raw)
-                lo = hi
+            for part in _slices(batch, "codes", SLICE):
+                yield _digests(part, known, spelled, raw)
     return run
 
 
@@ -216,9 +222,12 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DIC
     packed = common.toArrow()
     sink = pa.BufferOutputStream()
     fixed = pa.table({"piece": packed["piece"].cast(pa.large_string()), "ids": packed["ids"].cast(pa.large_list(pa.int32()))})
+    del packed
     with pa.ipc.new_file(sink, fixed.schema) as writer:
-        writer.write_table(fixed.combine_chunks())
+        writer.write_table(fixed)
+    del fixed
     dictionary = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del sink
     token_bytes = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         token_bytes[rank] = token.encode("latin-1")
@@ -226,7 +235,10 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DIC
     found = (
         docs.select("doc_id", F.sha2(whole, 256).alias("text_sha256"), pieces_of(F.col("text"), pattern).alias("pieces"))
         .mapInArrow(_look_up(dictionary), "doc_id long, text_sha256 string, codes array<int>, rare array<string>"))
-    return (
+    out = (
         found.select("doc_id", "text_sha256", "codes", F.transform("rare", lambda p: ids_of(p, table)).alias("rare_ids"))
         .mapInArrow(_assemble(dictionary, token_bytes),
                     "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"))
+    # One small row for each document: kept, so that the batch size below holds while it is computed.
+    with arrow_rows(spark, BATCH_ROWS):
+        return saved(out)
