@@ -30,9 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
     return ctx.getCheckpointDir()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and cut the lineage."""
+ROWS_PER_FILE = 100_000
+
+
+def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise in the shared checkpoint folder and cut the lineage.
+
+    `rows`, a bound of the rows where one is known, merges the tasks of small tables, so that
+    the files of what follows do not outgrow its data.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     return df.checkpoint(eager=True)
 
 
