@@ -4,8 +4,9 @@ One hash per shingle fills every bin of the signature (one-permutation hashing);
 borrow from a filled one along a fixed random walk of their own (optimal densification).
 Bins are cut into bands; a band's value names a bucket. A bucket links its members to one hub,
 a star, never to each other, so pairs grow with members and not with their square. Every
-candidate is confirmed on the full shingle sets. Buckets whose members did not join their
-hub's class are dealt again with more hubs, until nothing is left to compare.
+candidate is confirmed on the full shingle sets. Buckets that hold two classes are dealt again
+with more hubs; a member leaves only once it has been a hub, and a bucket is closed when all that
+are left are one class, so that every pair across classes has been compared.
 """
 
 from __future__ import annotations
@@ -189,28 +190,43 @@ def _classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Data
     roots = _joined(roots, _confirm(docs, reps, best, words, percent))
     others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     roots = _joined(roots, _confirm(docs, reps, saved(_apart(others, roots)), words, percent))
-    rest = saved(_rest(members, heads, roots))
-    if rest.isEmpty():
-        return roots
-    full = saved(_load_sets(docs, rest.select(F.col("rep").alias("doc_id")), words)
-                 .join(reps.select(F.col("rep").alias("doc_id"), "n", "signs"), "doc_id"))
+    rest = saved(_rest(members.join(heads.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), roots))
     hubs = 1
     while not rest.isEmpty():
         hubs *= 64
-        heads = rest.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(hubs)).alias("s")).agg(F.min(F.struct("rep", "c")).alias("h"))
+        # Members of the bucket's largest class meet the hubs but need not be hubs themselves; up to `hubs` others are all hubs.
+        sizes = rest.groupBy("key", "c").agg(F.count("*").alias("m"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("l"), F.sum("m").alias("m")) \
+            .select("key", F.col("l.c").alias("l"), (F.col("m") - F.col("l.m")).alias("others"))
+        salt = F.when(F.col("others") <= hubs, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(hubs)))
+        heads = rest.join(largest, "key").where(F.col("c") != F.col("l")) \
+            .groupBy("key", salt.alias("s")).agg(F.min(F.struct("rep", "c")).alias("h"))
         heads = saved(heads.select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hub_c")))
-        mine = rest.join(full.withColumnRenamed("doc_id", "rep"), "rep")
-        hers = heads.join(full.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("signs").alias("hub_signs"),
-                                      F.col("items").alias("hub_items")), "hub").withColumnRenamed("key", "hub_key")
-        # The whole test stands in the join: `hubs` bounds the hubs a member meets, and only links become rows.
-        common = F.size(F.array_intersect("items", "hub_items"))
-        met = mine.join(hers, (F.col("key") == F.col("hub_key")) & (F.col("c") != F.col("hub_c")) & _fit("n", "hub_n", percent)
-                        & _alike(percent) & (common * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent))
-        roots = _joined(roots, met.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-        rest = saved(_rest(rest.select("key", "rep"), heads.select("key", "hub"), roots))
+        roots = _joined(roots, _met(docs, reps, rest, heads, words, percent))
+        rest = saved(_rest(rest.join(heads.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), roots))
     return roots
 
 
+def _met(docs: DataFrame, reps: DataFrame, rest: DataFrame, heads: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the members of a bucket and those of its hubs that lie in another class."""
+    light = reps.select("rep", "n", "signs")
+    mine = rest.join(light, "rep")
+    hers = heads.join(light.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("signs").alias("hub_signs")), "hub") \
+        .withColumnRenamed("key", "hub_key")
+    cheap = (F.col("key") == F.col("hub_key")) & (F.col("c") != F.col("hub_c")) & (F.col("rep") != F.col("hub")) \
+        & _fit("n", "hub_n", percent) & _alike(percent)
+    # Shingle sets travel only with members and hubs that the cheap bounds leave a partner.
+    mine = saved(mine.join(hers, cheap, "left_semi"))
+    hers = saved(hers.join(mine, cheap, "left_semi"))
+    sets = _load_sets(docs, mine.select(F.col("rep").alias("doc_id")).unionByName(hers.select(F.col("hub").alias("doc_id"))), words)
+    mine = mine.join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
+    hers = hers.join(sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("hub_items")), "hub")
+    # The whole test stands in the join: `hubs` bounds the hubs a member meets, and only links become rows.
+    common = F.size(F.array_intersect("items", "hub_items"))
+    met = mine.join(hers, cheap & (common * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent))
+    return met.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+
+
 def _fit(a: str, b: str, percent: int) -> Column:
     """Whether two set sizes allow the similarity."""
     return (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
@@ -241,15 +257,15 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
 
 
-def _rest(members: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, rep, c): members outside the classes of their bucket's hubs, where two classes or more are left."""
+def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, c): the members given, with their classes, where a bucket still holds two classes or more.
+
+    Members that have been hubs were compared with the whole bucket and are not given again. All others
+    stay, also those that joined a hub's class: they may be linked to members that did not.
+    """
     named = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("c"))
-    taken = (
-        heads.join(roots, F.col("hub") == F.col("node"), "left")
-        .select("key", F.coalesce("root", "hub").alias("c")).distinct())
-    rest = saved(named.join(taken, ["key", "c"], "left_anti"))
-    open_keys = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return rest.join(open_keys, "key", "left_semi")
+    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return named.join(open_keys, "key", "left_semi")
 
 
 def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:

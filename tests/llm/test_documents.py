@@ -60,6 +60,26 @@ def test_near_duplicates(docs, rows, nothing, n, percent):
     assert neardup.near_duplicates(nothing, n, percent).count() == 0
 
 
+def test_copies_meet_through_an_original_of_large_id(spark, nothing):
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(3):
+        original = [f"w{g}x{k}" for k in range(400)]
+        for i in range(30):
+            copy = list(original)
+            for k in rng.choice(400, 8, replace=False):
+                copy[k] = f"e{g}i{i}k{k}"
+            rows.append((100 * g + i, " ".join(copy), "en", "s", 0))
+        rows.append((9000 + g, " ".join(original), "en", "s", 0))
+    sets = {r[0]: set(neardup.shingles(r[1], 4).tolist()) for r in rows}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(near(9000 + g, 100 * g + i) for g in range(3) for i in range(30))
+    assert sum(near(i, j) for i in range(30) for j in range(i)) < 30
+    want = classes(rows, 4, 80)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, nothing.schema), 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
 def test_signatures_estimate_similarity():
     walks, rng = neardup._walks(), np.random.default_rng(1)
     for size in (5, 40, 2000):
