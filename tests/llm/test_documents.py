@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import inspect
 import math
 import re
 import zlib
@@ -250,6 +251,16 @@ def test_maxent_is_a_distribution():
     assert (n + 0.5).sum() + 0.5 == pytest.approx(n.sum() + 0.5 * (len(n) + 1))
 
 
+def test_maxent_classes_and_bias():
+    """The last but one byte tells classes apart, a text's first token has a bias row of its own, two rounds are the default."""
+    _, c = maxent.tokens("xab xbb xab b")
+    assert c[2] == c[4] and c[2] != c[3] and c.max() < maxent.CLASSES == 32
+    h = np.concatenate([maxent.tokens(t)[0] for t in ("one two three", "", "four five")])
+    _, rows = maxent.history(h)
+    assert rows[:, 3].tolist() == [1, 0, 0, 0, 1, 1, 0, 0] and rows[:, :3].min() >= 2 and rows.max() < maxent.ROWS
+    assert inspect.signature(maxent.score).parameters["rounds"].default == 2 and maxent.BATCH == 8192
+
+
 def test_licences(spark, docs, rows, nothing):
     more = [(900, "Some text.\nLICENCED under the Apache-License; version 2.0\nCopyright (c) 2020 Someone\nrest", None, None, 0),
             (901, "Copyright 1999 X\nReleased under the MIT   Licence!", None, None, 0), (902, "Copyright only", None, None, 0)]
