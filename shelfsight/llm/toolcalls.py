@@ -69,11 +69,13 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, needs: DataFrame | None = None) -> DataFrame:
-    """(conv_id, position, kind, call_id, name, status, message) for every call and result.
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, needs: DataFrame | None = None, messages: DataFrame | None = None) -> DataFrame:
+    """(conv_id, position, kind, call_id, name, status, message) for every call, result and plain message.
 
     calls: (conv_id, call_id, turn, name, arguments); results: (conv_id, call_id, turn, content);
-    needs: (conv_id, call_id, needs), calls that wait for other calls' results. A call's status is
+    needs: (conv_id, call_id, needs), calls that wait for other calls' results; messages: (conv_id, turn,
+    role, text), turns of any role that carry no call: they depend on nothing, stand by turn among the
+    rows without dependencies, and have kind `message`, status `ok` and no name. A call's status is
     `ok`, `pending` (no result) or its arguments' fault; a result's is `ok`, `orphan` (no call) or
     `repeated` (not the first for its call, by turn and content). Identifiers are unique within a
     conversation; of calls that repeat one, the first by turn and arguments counts and the others
@@ -98,7 +100,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, needs: DataFr
         "conv_id", F.lit("result").alias("kind"), "call_id", "turn", F.col("tool").alias("name"),
         F.when(F.col("called").isNull(), "orphan").when(F.col("nth") > 1, "repeated").otherwise("ok").alias("status"),
         F.to_json(F.struct(F.coalesce("content", F.lit("")).alias("content"))).alias("body"), "nth")
-    rows = saved(own.unionByName(back))
+    rows = own.unionByName(back)
+    if messages is not None:
+        text = F.struct(F.coalesce("text", F.lit("")).alias("content"), "role")
+        rows = rows.unionByName(own_columns(messages, ["conv_id", "turn", "role", "text"]).select(
+            "conv_id", F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), "turn",
+            F.lit(None).cast("string").alias("name"), F.lit("ok").alias("status"), F.to_json(text).alias("body"), F.lit(0).alias("nth")))
+    rows = saved(rows)
     # A result waits for its call; a call waits for the results it needs.
     nodes = rows.where("nth = 1").select("conv_id", F.concat_ws(":", "kind", "call_id").alias("node")).distinct()
     edges = back.where("nth = 1").select("conv_id", F.concat(F.lit("result:"), "call_id").alias("node"), F.concat(F.lit("call:"), "call_id").alias("needs"))
@@ -109,7 +117,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, needs: DataFr
     placed = rows.withColumn("node", F.concat_ws(":", "kind", "call_id")).join(level, ["conv_id", "node"], "left")
     cycle = (F.col("nth") == 1) & F.col("level").isNull()
     placed = placed.withColumn("status", F.when(cycle, "cycle").otherwise(F.col("status"))) \
-        .withColumn("rank", F.when(cycle, F.lit(2147483647)).otherwise(F.coalesce("level", F.lit(1))))
+        .withColumn("rank", F.when(cycle, F.lit(2147483647)).when(F.col("kind") == "message", 0).otherwise(F.coalesce("level", F.lit(1))))
     message = F.to_json(F.struct(F.col("call_id"), F.col("kind"), F.col("name")))
     body = F.concat(F.lit('{"body":'), "body", F.lit(","), F.substring(message, 2, F.length(message)))
     placed = placed.select("conv_id", "rank", "turn", "kind", "call_id", "name", "status", body.alias("message"))

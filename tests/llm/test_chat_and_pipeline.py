@@ -48,6 +48,21 @@ def test_order_follows_dependencies_and_cycles_come_last(spark):
     assert {r.call_id for r in got[8:]} == {"m", "n"} and {r.status for r in got[8:]} == {"cycle"}
 
 
+def test_plain_messages_keep_every_turn(spark):
+    plain = [(1, 0, "system", "be brief"), (1, 3, None, None), (1, 9, "tool", "x"), (2, 0, "system", "alone"), (None, None, "system", "lost")]
+    messages = spark.createDataFrame(plain, "conv_id long, turn long, role string, text string")
+    schemas = spark.createDataFrame(SCHEMAS, "name string, key string, type string, required boolean")
+    calls = spark.createDataFrame([(1, "a", 1, "say", '{"text": "t"}'), (1, "b", 4, "say", '{"text": "t"}')], CALL)
+    results = spark.createDataFrame([(1, "a", 2, "r")], RESULT)
+    got = toolcalls.link(calls, results, schemas, None, messages).collect()
+    assert len(got) == len(plain) + 3
+    one = [r for r in sorted(got, key=lambda r: r.position) if r.conv_id == 1]
+    assert [(r.position, r.kind, r.call_id) for r in one] == [
+        (0, "message", None), (1, "call", "a"), (2, "message", None), (3, "call", "b"), (4, "message", None), (5, "result", "a")]
+    assert one[0].message == '{"body":{"content":"be brief","role":"system"},"kind":"message"}'
+    assert one[2].message == '{"body":{"content":""},"kind":"message"}' and {r.status for r in got if r.kind == "message"} == {"ok"}
+
+
 def test_empty_tables(spark):
     assert linked(spark, [], []).count() == 0
 
