@@ -1,40 +1,40 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-The rank table is a literal of the plan. Distinct pieces of the corpus, not documents, are
+The rank map is a literal of the plan. Distinct pieces of the corpus, not documents, are
 encoded: a fold over a piece's bytes merges the adjacent pair of lowest rank until none has a
-rank. Documents then get their pieces' ids back, block by block of documents.
-
-Byte strings travel as Latin-1 text, one character for each byte.
+rank. Documents then get their pieces' ids back, block by block of documents. Pieces of more than
+LONG bytes, on which a fold would take the square of their length, are merged with a heap.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import arrow_rows, own_columns, saved
+from shelfsight.llm.common import arrow_rows, own_columns, saved, setting
 
-SLOTS = 1 << 14
+SLOTS = 1 << 15
 NONE = (1 << 31) - 1
-DICTIONARY = 1 << 19  # commonest pieces that are encoded once; with MAX_PIECE the bound of what is broadcast
+DICTIONARY = 1 << 20  # commonest pieces that are encoded once; with MAX_PIECE the bound of what is broadcast
 MAX_PIECE = 32
+LONG = 512  # bytes of a piece from which on the heap takes over
 BATCH_ROWS = 2000
 SLICE = 250_000  # pieces handled at a time in a Python task
 
 
-def load_ranks(path: str) -> dict[str, int]:
-    """A rank file (base64 token, rank) as Latin-1 text to rank."""
+def load_ranks(path: str) -> dict[bytes, int]:
+    """A rank file: base64 token and rank on each line."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (x.split() for x in f if x.strip())}
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
 def spark_pattern(pattern: str) -> str:
@@ -43,73 +43,108 @@ def spark_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{space}").replace(r"\s", f"[{space}]").replace(r"\S", f"[^{space}]")
 
 
-def rank_literal(spark: SparkSession, ranks: dict[str, int]) -> Column:
-    """The rank table as a literal: SLOTS small maps, so that a lookup scans a few keys only."""
-    tokens = spark.createDataFrame(pd.DataFrame({"t": list(ranks), "r": list(ranks.values())}), "t string, r int")
-    rows = tokens.groupBy(_slot(F.col("t")).alias("s")).agg(F.map_from_entries(F.collect_list(F.struct("t", "r"))).alias("m")).collect()
-    out: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-    for x in rows:
-        out[x["s"]] = x["m"]
-    return F.from_json(F.lit(json.dumps(out, ensure_ascii=False)), "array<map<string,int>>")
+def _slot(a, b):
+    return (a * 40503 + b) & (SLOTS - 1)
+
+
+def rank_literal(ranks: dict[bytes, int]) -> Column:
+    """The rank map as a literal: the ids of single bytes, and the rank of every pair of tokens that
+    make a token, dealt into SLOTS small lists so that a lookup scans a few keys only."""
+    slots: list[dict] = [{"k": [], "r": []} for _ in range(SLOTS)]
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                slot = slots[_slot(a, b)]
+                slot["k"].append(a << 32 | b)
+                slot["r"].append(rank)
+    table = {"single": [ranks[bytes([b])] for b in range(256)], "slots": slots}
+    return F.from_json(F.lit(json.dumps(table)), "single array<int>, slots array<struct<k:array<bigint>,r:array<int>>>")
 
 
-def _slot(piece: Column) -> Column:
-    return F.hash(piece).bitwiseAND(SLOTS - 1)
+def _with(value: Column, use) -> Column:
+    """use(value), the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def rank_of(piece: Column, table: Column) -> Column:
-    """A byte string's rank, null where it is no token."""
-    return F.element_at(F.get(table, _slot(piece)), piece)
+def pair_rank(a: Column, b: Column, table: Column) -> Column:
+    """The rank of the token that two tokens make, NONE where they make none."""
+    slot = F.get(table["slots"], (a * 40503 + b).bitwiseAND(SLOTS - 1).cast("int"))
+    return _with(slot, lambda s: F.coalesce(F.get(s["r"], F.array_position(s["k"], F.shiftleft(a, 32) + b).cast("int") - 1), F.lit(NONE)))
 
 
 def merged(piece: Column, table: Column) -> Column:
-    """The token ids of one Latin-1 piece of two bytes or more: ranked merges folded over its bytes.
+    """The token ids of one piece: ranked merges folded over its bytes.
 
-    The state is one number for each part, rank * 2^32 + start: the rank is that of the part
-    joined with its right neighbour, NONE where that is no token. Two entries without a rank,
-    for the last part and the end, close it. The least number names the leftmost pair of lowest
-    rank; a step joins it and looks up the two pairs that it made.
+    The state holds the parts' ids, -1 before the first and after the last, and the rank of each
+    part joined with its right neighbour, NONE where that is no token. The first place of the least
+    rank names the leftmost pair of lowest rank; a step joins it, the rank being the new part's id,
+    and looks up the two pairs that it made. At the end the ids are what is left.
     """
-    n = F.length(piece)
+    raw = F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")  # one character for each byte
 
-    def entry(start: Column, end: Column) -> Column:
-        rank = F.coalesce(rank_of(F.substring(piece, start + 1, end - start), table), F.lit(NONE))
-        return F.shiftleft(rank.cast("long"), 32) + start
-
-    def start(state: Column, i: Column) -> Column:
-        return F.get(state, i).bitwiseAND(0x7FFFFFFF).cast("int")
+    def opened(p: Column) -> Column:
+        single = F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.get(table["single"], F.ascii(F.substring(p, i, 1))).cast("long"))
+        edge = F.array(F.lit(-1).cast("long"))
+        ids = F.flatten(F.array(edge, single, edge))
+        ranks = F.transform(F.sequence(F.lit(0), F.length(p)), lambda i: F.lit(NONE))
+        return _with(ids, lambda t: F.struct(t.alias("t"), F.transform(
+            ranks, lambda _, i: pair_rank(F.get(t, i), F.get(t, i + 1), table)).alias("r")))
 
     def step(state: Column, _: Column) -> Column:
-        def join(j: Column) -> Column:
-            """j: the zero-based position of the pair's left part."""
-            here, end = start(state, j), start(state, j + 2)
-            left = F.when(j > 0, F.array(entry(start(state, j - 1), end))).otherwise(F.slice(state, 1, 0))
-            return F.concat(F.slice(state, 1, F.greatest(j - 1, F.lit(0))), left,
-                            F.array(entry(here, start(state, j + 3))), F.slice(state, j + 3, n))
-        at = F.array(F.array_position(state, F.array_min(state)).cast("int") - 1)
-        return F.get(F.transform(at, lambda j: F.when(F.get(state, j) >= NONE << 32, state).otherwise(join(j))), 0)
-
-    single = F.sequence(F.lit(0), n - 1)
-    opened = F.concat(F.transform(F.slice(single, 1, n - 1), lambda i: entry(i, i + 2)),
-                      F.transform(F.array(n - 1, n), lambda i: F.lit(NONE << 32) + i))
-    bounds = F.aggregate(F.slice(single, 2, n), opened, step)
-    starts = F.transform(bounds, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    return F.get(F.transform(F.array(starts), lambda xs: F.zip_with(
-        F.slice(xs, 1, F.size(xs) - 1), F.slice(xs, 2, F.size(xs)),
-        lambda x, y: rank_of(F.substring(piece, x + 1, y - x), table))), 0)
-
-
-def ids_of(piece: Column, table: Column) -> Column:
-    """The ids of one piece of text; a piece that is a token by itself needs no merging."""
-    def encode(p: Column) -> Column:
-        whole = rank_of(p, table)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(merged(p, table))
-    return F.get(F.transform(F.array(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")), encode), 0)
-
-
-def encode_pieces(pieces: DataFrame, table: Column) -> DataFrame:
-    """(piece) of distinct text pieces -> (piece, ids array<int>)."""
-    return pieces.select("piece", ids_of(F.col("piece"), table).alias("ids"))
+        t, r = state["t"], state["r"]
+
+        def join(m: Column, j: Column) -> Column:
+            """j: the one-based place of the pair's left part."""
+            new = F.array(pair_rank(F.get(t, j - 2), m, table), pair_rank(m, F.get(t, j + 1), table))
+            rest = F.size(t)
+            return F.struct(
+                F.flatten(F.array(F.slice(t, 1, j - 1), F.array(m), F.slice(t, j + 2, rest))).alias("t"),
+                F.flatten(F.array(F.slice(r, 1, j - 2), new, F.slice(r, j + 2, rest))).alias("r"))
+
+        least = F.array_min(r)
+        return _with(least, lambda m: F.when(m == NONE, state).otherwise(
+            _with(F.array_position(r, m).cast("int"), lambda j: join(m.cast("long"), j))))
+
+    def fold(p: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.length(p)), opened(p), step, lambda s: F.slice(s["t"], 2, F.size(s["t"]) - 2))
+    return _with(raw, fold).cast("array<int>")
+
+
+def folded(pieces: Column, table: Column) -> Column:
+    """The ids of each piece of an array, the rank map bound once."""
+    return _with(table, lambda t: F.transform(pieces, lambda p: merged(p, t)))
+
+
+def heap_merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The token ids of one piece: the same merges off a heap over a linked list of parts, O(n log n)."""
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part's end is the start of the next
+    live = bytearray(b"\1") * n
+
+    def pair(i: int) -> tuple[int, int, int] | None:
+        """(rank, start, end) of part i joined with the next."""
+        stop = end[end[i]] if end[i] < n else -1
+        rank = ranks.get(piece[i:stop]) if stop > 0 else None
+        return None if rank is None else (rank, i, stop)
+
+    heap = [x for x in map(pair, range(n)) if x]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if not live[i] or end[i] == n or end[end[i]] != stop:
+            continue  # one of its parts has changed since
+        live[end[i]] = 0
+        end[i] = stop
+        if stop < n:
+            before[stop] = i
+        for x in (before[i], i):
+            if x >= 0 and (p := pair(x)):
+                heapq.heappush(heap, p)
+    return [ranks[piece[i : end[i]]] for i in range(n) if live[i]]
 
 
 def pieces_of(text: Column, pattern: str) -> Column:
@@ -142,10 +177,14 @@ def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Record
         lo = hi
 
 
-def _look_up(dictionary):
-    """Each piece as an index into the dictionary, or as -1-k for the k-th rare piece of its document."""
+def _look_up(shipped):
+    """Each piece as an index into the dictionary, or as -1-k for the k-th rare piece of its document.
+
+    Long rare pieces are encoded here; `rare` holds "" in their place, `long_ids` their ids.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.ipc.open_file(dictionary.value).read_all().combine_chunks()["piece"].combine_chunks()
+        dictionary, ranks = shipped.value
+        known = pa.ipc.open_file(dictionary).read_all().combine_chunks()["piece"].combine_chunks()
         for batch in (part for whole in batches for part in _slices(whole, "pieces", 2 * SLICE)):
             lists = batch["pieces"]
             flat, parent = lists.flatten().cast(known.type), pc.list_parent_indices(lists).to_numpy()
@@ -159,18 +198,28 @@ def _look_up(dictionary):
             codes[rare] = -1 - (back - start[owner[back]]) if len(rare) else 0
             sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
             words = names.dictionary.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string())
+            big = pc.greater(pc.binary_length(words), LONG)
+            by_heap = [heap_merged(w.as_py().encode(), ranks) if x else [] for w, x in zip(words, big.to_pylist())] if pc.any(big).as_py() \
+                else [[]] * len(words)
+            words = pc.if_else(big, "", words)
+            starts = pa.array(start, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_sha256"],
                  pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(codes)),
-                 pa.ListArray.from_arrays(pa.array(start, pa.int32()), words)],
-                names=["doc_id", "text_sha256", "codes", "rare"])
+                 pa.ListArray.from_arrays(starts, words),
+                 pa.ListArray.from_arrays(starts, pa.array(by_heap, pa.list_(pa.int32())))],
+                names=["doc_id", "text_sha256", "codes", "rare", "long_ids"])
     return run
 
 
-def _assemble(dictionary, token_bytes: list[bytes]):
+def _assemble(shipped):
     """Token ids of each document, their digest, and the digest of the bytes that the ids decode to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.ipc.open_file(dictionary.value).read_all().combine_chunks()["ids"].combine_chunks()
+        dictionary, ranks = shipped.value
+        known = pa.ipc.open_file(dictionary).read_all().combine_chunks()["ids"].combine_chunks()
+        token_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            token_bytes[rank] = token
         spelled = pa.array([str(i) for i in range(len(token_bytes))])
         raw = pa.array(token_bytes, pa.binary())
         for batch in batches:
@@ -202,43 +251,61 @@ def _digests(part: pa.RecordBatch, known: pa.ListArray, spelled: pa.Array, raw:
         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
 
+def _dictionary(pieces: DataFrame, table: Column, ranks: dict[bytes, int]) -> bytes:
+    """An Arrow file of (piece, ids): the tokens that are text by themselves, then the pieces given."""
+    whole = {}
+    for token, rank in ranks.items():
+        try:
+            whole[token.decode()] = rank
+        except UnicodeDecodeError:
+            continue
+    schema = pa.schema([("piece", pa.large_string()), ("ids", pa.large_list(pa.int32()))])
+    # Many pieces to a row: the rank map is bound once for each row.
+    rows = pieces.groupBy(F.pmod(F.xxhash64("piece"), F.lit(1024)).alias("s")).agg(F.collect_list("piece").alias("piece"))
+    rows = saved(rows.select("piece", folded(F.col("piece"), table).alias("ids")))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, schema) as writer:
+        writer.write_table(pa.table([pa.array(whole.keys(), schema.types[0]), pa.array([[x] for x in whole.values()], schema.types[1])], schema=schema))
+        for batch in rows.toArrow().to_batches():
+            flat = [batch["piece"].flatten().cast(schema.types[0]), batch["ids"].flatten().cast(schema.types[1])]
+            writer.write_batch(pa.RecordBatch.from_arrays(flat, schema=schema).filter(
+                pc.invert(pc.is_in(flat[0], value_set=pa.array(whole.keys(), schema.types[0])))))
+    return sink.getvalue().to_pybytes()
+
+
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip) of documents (doc_id, text).
 
     ids_sha256 is over the decimal ids joined by commas; the ids are then decoded and hashed.
     A null or empty text has no tokens and the digests of the empty string. Pieces are the
-    matches of `pattern`, each encoded by itself, without special tokens. The rank file must
-    hold every single byte; ids are its ranks, gaps allowed.
+    matches of `pattern`, each encoded by itself, without special tokens; a piece that is a token
+    is that token. The rank file must hold every single byte; ids are its ranks, gaps allowed.
+    Repeated rows come back as often as they stand, an empty table gives no rows, and columns
+    other than doc_id and text are not read.
 
     The commonest pieces, at most `most`, are encoded once and shipped to the executors (a
-    bounded table); all others are encoded where they stand, so no document is shuffled. The
-    work of one piece grows with the square of its length.
+    bounded table); all others are encoded where they stand, so no document is shuffled. A piece's
+    work grows with n log n of its length beyond LONG bytes, and with its square below.
     """
     docs = own_columns(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     ranks = load_ranks(rank_path)
-    table = rank_literal(spark, ranks)
-    common = encode_pieces(frequent_pieces(docs, pattern, most), table)
-    packed = common.toArrow()
-    sink = pa.BufferOutputStream()
-    fixed = pa.table({"piece": packed["piece"].cast(pa.large_string()), "ids": packed["ids"].cast(pa.large_list(pa.int32()))})
-    del packed
-    with pa.ipc.new_file(sink, fixed.schema) as writer:
-        writer.write_table(fixed)
-    del fixed
-    dictionary = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    del sink
-    token_bytes = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        token_bytes[rank] = token.encode("latin-1")
-    whole = F.coalesce("text", F.lit("")).cast("binary")
-    found = (
-        docs.select("doc_id", F.sha2(whole, 256).alias("text_sha256"), pieces_of(F.col("text"), pattern).alias("pieces"))
-        .mapInArrow(_look_up(dictionary), "doc_id long, text_sha256 string, codes array<int>, rare array<string>"))
-    out = (
-        found.select("doc_id", "text_sha256", "codes", F.transform("rare", lambda p: ids_of(p, table)).alias("rare_ids"))
-        .mapInArrow(_assemble(dictionary, token_bytes),
-                    "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"))
-    # One small row for each document: kept, so that the batch size below holds while it is computed.
-    with arrow_rows(spark, BATCH_ROWS):
-        return saved(out)
+    table = rank_literal(ranks)
+    # The literal is left out of the plans' descriptions, which the driver keeps.
+    with setting(spark, "spark.sql.maxPlanStringLength", "100000"):
+        shipped = spark.sparkContext.broadcast((_dictionary(frequent_pieces(docs, pattern, most), table, ranks), ranks))
+        whole = F.coalesce("text", F.lit("")).cast("binary")
+        found = (
+            docs.select("doc_id", F.sha2(whole, 256).alias("text_sha256"), pieces_of(F.col("text"), pattern).alias("pieces"))
+            .mapInArrow(_look_up(shipped), "doc_id long, text_sha256 string, codes array<int>, rare array<string>, long_ids array<array<int>>"))
+        by_fold = _with(table, lambda t: F.zip_with(
+            "rare", "long_ids", lambda p, ids: F.when(F.size(ids) > 0, ids).otherwise(merged(p, t))))
+        out = (
+            found.select("doc_id", "text_sha256", "codes", by_fold.alias("rare_ids"))
+            .mapInArrow(_assemble(shipped),
+                        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"))
+        # One small row for each document: kept, so that the batch size below holds while it is computed.
+        with arrow_rows(spark, BATCH_ROWS):
+            out = saved(out)
+    shipped.destroy()
+    return out

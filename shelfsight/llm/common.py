@@ -46,17 +46,23 @@ def saved(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, most: int):
-    """Smaller Arrow batches for what is computed inside, where a row holds far more than its text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for what is computed inside."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, most: int):
+    """Smaller Arrow batches for what is computed inside, where a row holds far more than its text."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    return setting(spark, key, str(min(most, now) if now > 0 else most))
+
+
 def fold(doc_id: Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n: the fixed split into training and held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

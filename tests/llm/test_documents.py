@@ -5,6 +5,7 @@ import collections
 import hashlib
 import inspect
 import math
+import random
 import re
 import zlib
 
@@ -315,15 +316,17 @@ def test_proximity_matches_within_the_slop(spark):
     assert got == {1: (1, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0)}
 
 
-@pytest.mark.parametrize("most", [0, 50, 1 << 19])
-def test_bpe_round_trip(docs, rows, nothing, most):
+@pytest.mark.parametrize("most", [0, 50, 1 << 20])
+def test_bpe_round_trip(spark, docs, rows, nothing, most):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    got = bpe.encode_decode(docs.where("length(text) < 400 OR text IS NULL OR doc_id = 307"), path, P.PATTERN, most).collect()
-    assert len(got) > 30
-    text = {r[0]: r[1] or "" for r in rows}
+    huge = "".join(random.Random(5).choice("abcdefghij") for _ in range(50_000))
+    text = {r[0]: r[1] or "" for r in rows} | {400: huge, 401: "é" * 700, 402: " " * 2000 + "x" * 513, 403: "ß" * 256}
+    more = spark.createDataFrame([(k, text[k]) for k in range(400, 404)], "doc_id long, text string")
+    got = bpe.encode_decode(docs.select("doc_id", "text").unionByName(more), path, P.PATTERN, most).collect()
+    assert len(got) == len(rows) + 4
     for r in got:
         ids = enc.encode_ordinary(text[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, r.round_trip) == (len(ids), sha(",".join(map(str, ids))), sha(text[r.doc_id]), True), r.doc_id
