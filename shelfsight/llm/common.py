@@ -91,6 +91,29 @@ def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return ((bitmap[slots >> 6] >> (slots & 63).astype(np.int64)) & 1).astype(bool)
 
 
+FILTER_BITS = (20, 27)  # a filter takes 128 KiB at least, 16 MiB at most, whatever the number of keys
+
+
+def bit_filter(keys: DataFrame, col: str) -> np.ndarray:
+    """64-bit words of a bitmap over 64-bit hashes, eight bits or more for each key up to the size bound.
+
+    For a map-side semi-join ahead of an exact one: keys all pass, and a share of the others.
+    """
+    bits = min(max(FILTER_BITS[0], int(8 * keys.count()).bit_length()), FILTER_BITS[1])
+    slot = F.shiftrightunsigned(F.col(col), 64 - bits)
+    words = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")) \
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out
+
+
+def passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes a bit filter lets through."""
+    slot = hashes >> np.uint64(64 - int(len(words) * 64).bit_length() + 1)
+    return ((words[slot >> np.uint64(6)] >> (slot & np.uint64(63)).astype(np.int64)) & 1).astype(bool)
+
+
 def own_columns(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
     """Only the columns an operator reads, so that extra columns can never clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
