@@ -116,7 +116,7 @@ def document_failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Bits 0 to 3 as in `text_failures`; bit 4, E: the text is identical to that of any smaller doc_id.
     A null text is empty, and equal to an empty one; a null source is the part ''. Rows without a
-    doc_id never fail E and make no other fail it. Rows that repeat an id count one by one; of one
+    doc_id never fail E, make no other fail it and carry no label. Rows that repeat an id count one by one; of one
     id's label rows, any 1 counts. Other columns are not read.
     """
     docs, labels = own_columns(docs, ["doc_id", "text", "source"]), own_columns(labels, ["doc_id", "quality", "toxic"])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import audit, bpe, collocations, decontam, licences, maxent, neardup, quality, rules, secrets, sharding, toolcalls
+from shelfsight.llm import audit, bpe, collocations, debruijn, decontam, licences, maxent, neardup, quality, rules, secrets, sharding, toolcalls
 from shelfsight.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,6 +118,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+@query("op11_debruijn_substrings")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents"), size=13)
+
+
 @query("op12_setm_collocations", collocations.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), least=10, percent=50, top=2000)
