@@ -95,13 +95,14 @@ FILTER_BITS = (20, 27)  # a filter takes 128 KiB at least, 16 MiB at most, whate
 
 
 def bit_filter(keys: DataFrame, col: str) -> np.ndarray:
-    """64-bit words of a bitmap over 64-bit hashes, eight bits or more for each key up to the size bound.
+    """64-bit words of a two-probe Bloom filter over 64-bit hashes, 16 bits or more for each key up to the size bound.
 
     For a map-side semi-join ahead of an exact one: keys all pass, and a share of the others.
     """
-    bits = min(max(FILTER_BITS[0], int(8 * keys.count()).bit_length()), FILTER_BITS[1])
-    slot = F.shiftrightunsigned(F.col(col), 64 - bits)
-    words = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")) \
+    bits = min(max(FILTER_BITS[0], int(16 * keys.count()).bit_length()), FILTER_BITS[1])
+    high = F.shiftrightunsigned(F.col(col), 64 - bits)
+    low = F.col(col).bitwiseAND((1 << bits) - 1)
+    words = keys.select(F.explode(F.array(high, low)).alias("s")).groupBy(F.shiftright("s", 6).alias("w")) \
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 AS INT))")).alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     out[words["w"].to_numpy()] = words["b"].to_numpy()
@@ -110,8 +111,11 @@ def bit_filter(keys: DataFrame, col: str) -> np.ndarray:
 
 def passes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which 64-bit hashes a bit filter lets through."""
-    slot = hashes >> np.uint64(64 - int(len(words) * 64).bit_length() + 1)
-    return ((words[slot >> np.uint64(6)] >> (slot & np.uint64(63)).astype(np.int64)) & 1).astype(bool)
+    bits = int(len(words) * 64).bit_length() - 1
+
+    def held(slot: np.ndarray) -> np.ndarray:
+        return ((words[slot >> np.uint64(6)] >> (slot & np.uint64(63)).astype(np.int64)) & 1).astype(bool)
+    return held(hashes >> np.uint64(64 - bits)) & held(hashes & np.uint64((1 << bits) - 1))
 
 
 def own_columns(df: DataFrame, wanted: Iterable[str]) -> DataFrame:

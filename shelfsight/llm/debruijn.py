@@ -4,9 +4,9 @@ A window of k consecutive words is an edge from the node of its first k - 1 word
 its last. Only edges of two documents or more matter. Windows that may be such are found by their
 minimizer, the least hash of the shorter runs of words inside: equal windows have equal ones, so a
 window whose minimizer stays in one document is left out before any edge is shuffled. Repeated
-edges carry their source coordinate, the smallest doc_id and place that hold them. Edges that follow
-each other at their source and meet in a node without branches are compacted into paths, and the
-other documents' occurrences are joined to paths and become spans, held against the source.
+edges carry their source coordinate, the smallest doc_id and a place that hold them. Joined to these,
+the edges of later documents that go on with their source, edge by edge, are one path without
+branches: they are compacted into a span of the document, held against the span of the source.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from shelfsight.llm.common import bit_filter, own_columns, passes, saved, shared_folder
 
-SEED = 6  # words of the runs whose least hash is a window's minimizer
+SEED = 7  # words of the runs whose least hash is a window's minimizer
 CHUNK = 512  # documents handled at a time
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _Q1, _Q2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -92,7 +91,7 @@ def _seeds(size: int, copied):
 
 
 def _edges(size: int, repeated, copied):
-    """Windows whose minimizer two documents share: key of 128 bits, place, and end nodes."""
+    """Windows whose minimizer two documents share: a key of 96 bits and its place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             batch = _unique_rows(whole, copied and copied.value)
@@ -101,12 +100,11 @@ def _edges(size: int, repeated, copied):
                 h, of, first = _joined(part["text"])
                 at, least = _windows(h, of, size)
                 at = at[passes(repeated.value, least)]
-                node = [run_hash(h, at + k, size - 1).astype(np.uint32).view(np.int32) for k in (0, 1)]
+                ids, x = part["doc_id"].to_numpy(), part["x"].to_numpy().astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(run_hash(h, at, size).view(np.int64)), pa.array(run_hash(h, at, size, _Q1, _Q2).view(np.int64)),
-                     pa.array(part["doc_id"].to_numpy()[of[at]], pa.int64()), part["digest"].take(pa.array(of[at])),
-                     pa.array((at - first[of[at]]).astype(np.int32)), *map(pa.array, node)],
-                    names=["a", "b", "doc_id", "digest", "at", "left", "right"])
+                    [pa.array(run_hash(h, at, size).view(np.int64)), pa.array(run_hash(h, at, size, _Q1, _Q2).astype(np.uint32).view(np.int32)),
+                     pa.array(ids[of[at]], pa.int64()), pa.array(x[of[at]]), pa.array((at - first[of[at]]).astype(np.int32))],
+                    names=["a", "b", "doc_id", "variant", "at"])
     return run
 
 
@@ -136,21 +134,6 @@ def text_copies(rows: DataFrame) -> DataFrame:
     return saved(rows.where("doc_id IS NOT NULL").groupBy("digest", "x").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"))
 
 
-def compacted(edges: DataFrame) -> DataFrame:
-    """(a, b, source, path, off): repeated edges (a, b, source, at, left, right) compacted into paths.
-
-    `path` is the place at the source where the path starts, `off` the edge's place in it. A path goes on
-    while the next edge has its source at the next place and their node has one way in and one out.
-    """
-    branches = edges.groupBy(F.col("left").alias("node")).agg(F.count("*").alias("n")).unionAll(
-        edges.groupBy(F.col("right").alias("node")).agg(F.count("*").alias("n"))).where("n > 1").select("node").distinct()
-    marked = edges.join(branches.withColumn("branch", F.lit(True)), F.col("left") == F.col("node"), "left")
-    order = W.partitionBy("source").orderBy("at")
-    follows = (F.lag("at").over(order) == F.col("at") - 1) & F.col("branch").isNull()
-    start = F.max(F.when(F.coalesce(follows, F.lit(False)), F.lit(None)).otherwise(F.col("at"))).over(order)
-    return marked.select("a", "b", "source", start.alias("path"), (F.col("at") - start).alias("off"))
-
-
 def _islands(places: Column) -> Column:
     """Runs of consecutive numbers of a sorted array as (lo, hi) with hi exclusive."""
     lo = F.filter(places, lambda x, i: (i == 0) | (F.get(places, i - 1) != x - 1))
@@ -159,11 +142,12 @@ def _islands(places: Column) -> Column:
 
 
 def repeated_spans(rows: DataFrame, copies: DataFrame, size: int = 13) -> DataFrame:
-    """(doc_id, digest, lo, hi, source, source_lo): runs of windows that start in an earlier document too.
+    """(doc_id, variant, lo, hi, source, source_lo): runs of windows that start in an earlier document too.
 
-    rows come from `keyed`, copies from `text_copies`. lo and hi count windows by their first word, hi
-    exclusive; `source` is the smallest doc_id that holds the same windows, from its word `source_lo` on.
-    Of rows with one text only those of the smallest doc_id take part, once for each.
+    rows come from `keyed`, copies from `text_copies`; variant is the text's part of the row's key. lo and
+    hi count windows by their first word, hi exclusive; `source` is the smallest doc_id that holds the same
+    windows, from its word `source_lo` on. Of rows with one text only those of the smallest doc_id take
+    part, once for each.
     """
     spark = rows.sparkSession
     rows = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest", "x")
@@ -171,7 +155,8 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, size: int = 13) -> DataFr
     some = rows.mapInArrow(_suspect(copied), "doc_id long, text string, digest binary, x long")
     # Texts that only share a bit with copied ones are as good as unique.
     apart = some.join(copies.select("digest", "rep"), "digest", "left").where("rep IS NULL OR rep = doc_id")
-    apart = _stored(apart.dropDuplicates(["doc_id", "digest"]).select(*rows.columns))
+    apart = _stored(apart.dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "x"))
+    rows = rows.select("doc_id", "text", "x")
 
     def over_texts(make, schema: str) -> DataFrame:
         return rows.mapInArrow(make(copied), schema).unionAll(apart.mapInArrow(make(None), schema))
@@ -179,17 +164,15 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, size: int = 13) -> DataFr
     seeds = over_texts(lambda c: _seeds(size, c), "seed long, doc_id long").groupBy("seed") \
         .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
     repeated = spark.sparkContext.broadcast(bit_filter(_stored(seeds), "seed"))
-    found = over_texts(lambda c: _edges(size, repeated, c), "a long, b long, doc_id long, digest binary, at int, left int, right int")
-    source = F.min(F.struct("doc_id", "at"))
-    edges = found.groupBy("a", "b").agg(source.alias("s"), F.max("doc_id").alias("hi"), F.min("left").alias("left"), F.min("right").alias("right")) \
-        .where("s.doc_id < hi").select("a", "b", F.col("s.doc_id").alias("source"), F.col("s.at").alias("at"), "left", "right")
-    paths = compacted(_stored(edges))
-    later = found.select("a", "b", "doc_id", "digest", "at").join(paths, ["a", "b"]).where("doc_id > source")
-    # One row for each document, path and shift against the source.
-    shift = F.col("at") - F.col("off")
-    along = later.groupBy("doc_id", "digest", "source", "path", shift.alias("shift")).agg(F.array_sort(F.collect_set("at")).alias("places"))
-    spans = along.select("doc_id", "digest", "source", "path", "shift", F.explode(_islands(F.col("places"))).alias("s"))
-    return spans.select("doc_id", "digest", "s.lo", "s.hi", "source", (F.col("path") + F.col("s.lo") - F.col("shift")).alias("source_lo"))
+    found = over_texts(lambda c: _edges(size, repeated, c), "a long, b int, doc_id long, variant int, at int")
+    edges = found.groupBy("a", "b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at")) \
+        .where("source < last").drop("last")
+    later = found.join(edges, ["a", "b"]).where("doc_id > source")
+    # Edges that go on with their source stand at one shift against it.
+    shift = F.col("at") - F.col("source_at")
+    along = later.groupBy("doc_id", "variant", "source", shift.alias("shift")).agg(F.array_sort(F.collect_list("at")).alias("places"))
+    spans = along.select("doc_id", "variant", "source", "shift", F.explode(_islands(F.col("places"))).alias("s"))
+    return spans.select("doc_id", "variant", "s.lo", "s.hi", "source", (F.col("s.lo") - F.col("shift")).alias("source_lo"))
 
 
 def _remaining(size: int):
@@ -205,7 +188,7 @@ def _remaining(size: int):
                 gone.append(len(w) - int(keep.sum()))
                 sha.append(hashlib.sha256(b" ".join([x for x, k in zip(w, keep.tolist()) if k])).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["digest"], pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "digest", "gone", "sha"])
+                [batch["doc_id"], batch["variant"], pa.array(gone, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "variant", "gone", "sha"])
     return run
 
 
@@ -213,14 +196,14 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [words_of(t.as_py()) for t in batch["text"]]
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["digest"], pa.array([len(w) for w in rows], pa.int64()),
-             pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in rows], pa.string())], names=["doc_id", "digest", "n_words", "sha"])
+            [batch["doc_id"], batch["digest"], batch["variant"], pa.array([len(w) for w in rows], pa.int64()),
+             pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in rows], pa.string())], names=["doc_id", "digest", "variant", "n_words", "sha"])
 
 
 def _marked(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passes(wanted.value, batch["k"].to_numpy().view(np.uint64)))).select(["doc_id", "text", "digest"])
+            yield batch.filter(pa.array(passes(wanted.value, batch["k"].to_numpy().view(np.uint64)))).select(["doc_id", "text", "variant"])
     return run
 
 
@@ -232,22 +215,23 @@ def remove_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     is over the words left, joined by one space. Texts with fewer words, null and empty ones lose nothing.
     Rows without a doc_id lose nothing and take nothing from others. Rows that repeat a doc_id and text
     all get the same answer; two texts of one doc_id are judged apart and never against each other. An
-    empty table gives no rows; other columns are not read. Windows are compared as 128-bit hashes.
+    empty table gives no rows; other columns are not read. Windows are compared as 96-bit hashes.
     """
     rows = keyed(docs)
     spark = docs.sparkSession
     copies = text_copies(rows)
-    spans = _stored(repeated_spans(rows, copies, size).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    wanted = spark.sparkContext.broadcast(bit_filter(spans.select(F.xxhash64("doc_id", "digest").alias("k")), "k"))
-    texts = rows.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest")
-    texts = texts.withColumn("k", F.xxhash64("doc_id", "digest")).mapInArrow(_marked(wanted), "doc_id long, text string, digest binary")
-    partly = texts.join(spans, ["doc_id", "digest"]).mapInArrow(_remaining(size), "doc_id long, digest binary, gone long, sha string") \
-        .dropDuplicates(["doc_id", "digest"])
-    every = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "digest", "text").mapInArrow(
-        _whole, "doc_id long, digest binary, n_words long, sha string")
+    spans = _stored(repeated_spans(rows, copies, size).groupBy("doc_id", "variant").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    key = F.xxhash64("doc_id", "variant").alias("k")
+    wanted = spark.sparkContext.broadcast(bit_filter(spans.select(key), "k"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "digest", F.col("x").bitwiseAND(0xFFFFFFFF).alias("low")) \
+        .select("doc_id", "text", "digest", F.when(F.col("low") >= 1 << 31, F.col("low") - (1 << 32)).otherwise(F.col("low")).cast("int").alias("variant"))
+    texts = rows.where("doc_id IS NOT NULL").select("doc_id", "text", "variant", key).mapInArrow(_marked(wanted), "doc_id long, text string, variant int")
+    partly = texts.join(spans, ["doc_id", "variant"]).mapInArrow(_remaining(size), "doc_id long, variant int, gone long, sha string") \
+        .dropDuplicates(["doc_id", "variant"])
+    every = rows.mapInArrow(_whole, "doc_id long, digest binary, variant int, n_words long, sha string")
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     out = every.join(copies.select("digest", "rep"), "digest", "left") \
-        .join(partly.select("doc_id", "digest", "gone", F.col("sha").alias("left_sha")), ["doc_id", "digest"], "left")
+        .join(partly.select("doc_id", "variant", "gone", F.col("sha").alias("left_sha")), ["doc_id", "variant"], "left")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= size)
     return out.select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
