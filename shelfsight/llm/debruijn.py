@@ -167,6 +167,7 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, size: int = 13) -> DataFr
     found = over_texts(lambda c: _edges(size, repeated, c), "a long, b int, doc_id long, variant int, at int")
     edges = found.groupBy("a", "b").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("source_at")) \
         .where("source < last").drop("last")
+    edges = _stored(edges)  # so that the join below reads two shuffles, whose hot partitions can be split
     later = found.join(edges, ["a", "b"]).where("doc_id > source")
     # Edges that go on with their source stand at one shift against it.
     shift = F.col("at") - F.col("source_at")

@@ -4,9 +4,9 @@ One hash per shingle fills every bin of the signature (one-permutation hashing);
 borrow from a filled one along a fixed random walk of their own (optimal densification).
 Bins are cut into bands; a band's value names a bucket. A bucket links its members to one hub,
 a star, never to each other, so pairs grow with members and not with their square. Every
-candidate is confirmed on the full shingle sets. Buckets that hold two classes are dealt again
-with more hubs; a member leaves only once it has been a hub, and a bucket is closed when all that
-are left are one class, so that every pair across classes has been compared.
+candidate is confirmed on the full shingle sets. Members of buckets that still hold two classes
+meet once more, outside their buckets: an exact prefix join on their rarest shingles finds every
+link that is left, without pairing the members of a bucket.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from shelfsight.llm.components import components
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-SIGNS = -(-BINS // 64)  # 64-bit words of the one-bit signature
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PRIME2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -77,14 +76,6 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _packed(sig: np.ndarray) -> np.ndarray:
-    """One bit of each bin, in 64-bit words."""
-    out = np.zeros(SIGNS * 8, dtype=np.uint8)
-    packed = np.packbits((sig >> np.uint64(9)).astype(np.uint8) & 1)
-    out[: len(packed)] = packed
-    return out.view(np.int64)
-
-
 def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0)
@@ -95,7 +86,7 @@ def _fingerprints(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walks = _walks()
         for batch in batches:
-            size, digest, keys, bits, signs = [], [], [], [], []
+            size, digest, keys, bits = [], [], [], []
             for text in batch["text"]:
                 s = shingles(text.as_py(), n)
                 size.append(len(s))
@@ -103,11 +94,10 @@ def _fingerprints(n: int):
                 sig = signature(s, walks) if len(s) else None
                 keys.append(band_keys(sig) if len(s) else np.empty(0, dtype=np.int64))
                 bits.append((sig & np.uint64(255)).astype(np.uint8).tobytes() if len(s) else None)
-                signs.append(_packed(sig) if len(s) else np.empty(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"].cast(pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()),
-                 _lists(keys, pa.int64()), pa.array(bits, pa.binary()), _lists(signs, pa.int64())],
-                names=["doc_id", "n_shingles", "digest", "keys", "bits", "signs"])
+                 _lists(keys, pa.int64()), pa.array(bits, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "keys", "bits"])
     return run
 
 
@@ -160,13 +150,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     docs = own_columns(docs, ["doc_id", "text"])
     prints = saved(docs.mapInArrow(
-        _fingerprints(words), "doc_id long, n_shingles long, digest binary, keys array<long>, bits binary, signs array<long>"))
+        _fingerprints(words), "doc_id long, n_shingles long, digest binary, keys array<long>, bits binary"))
     classes = saved(
         prints.where("n_shingles > 0").groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
     reps = prints.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi") \
         .dropDuplicates(["doc_id"])
-    reps = saved(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "bits", "signs"))
+    reps = saved(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "bits"))
     roots = _classes(docs, reps, words, percent)
     rep_root = classes.join(roots, F.col("rep") == F.col("node"), "left") \
         .select("digest", F.coalesce("root", "rep").alias("component_id"))
@@ -181,7 +171,6 @@ def _classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Data
     dealt = reps.select("rep", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
     star = saved(dealt.join(shared.select("key", "hub"), "key"))
-    members, heads = star.select("key", "rep"), star.where("rep = hub").select("key", "hub")
     pairs = star.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
     pairs = saved(pairs.groupBy("a", "b").agg(F.count("*").alias("m")))
@@ -190,41 +179,46 @@ def _classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> Data
     roots = _joined(roots, _confirm(docs, reps, best, words, percent))
     others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
     roots = _joined(roots, _confirm(docs, reps, saved(_apart(others, roots)), words, percent))
-    rest = saved(_rest(members.join(heads.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), roots))
-    hubs = 1
-    while not rest.isEmpty():
-        hubs *= 64
-        # Members of the bucket's largest class meet the hubs but need not be hubs themselves; up to `hubs` others are all hubs.
-        sizes = rest.groupBy("key", "c").agg(F.count("*").alias("m"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("l"), F.sum("m").alias("m")) \
-            .select("key", F.col("l.c").alias("l"), (F.col("m") - F.col("l.m")).alias("others"))
-        salt = F.when(F.col("others") <= hubs, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(hubs)))
-        heads = rest.join(largest, "key").where(F.col("c") != F.col("l")) \
-            .groupBy("key", salt.alias("s")).agg(F.min(F.struct("rep", "c")).alias("h"))
-        heads = saved(heads.select("key", F.col("h.rep").alias("hub"), F.col("h.c").alias("hub_c")))
-        roots = _joined(roots, _met(docs, reps, rest, heads, words, percent))
-        rest = saved(_rest(rest.join(heads.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti"), roots))
-    return roots
-
-
-def _met(docs: DataFrame, reps: DataFrame, rest: DataFrame, heads: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between the members of a bucket and those of its hubs that lie in another class."""
-    light = reps.select("rep", "n", "signs")
-    mine = rest.join(light, "rep")
-    hers = heads.join(light.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("signs").alias("hub_signs")), "hub") \
-        .withColumnRenamed("key", "hub_key")
-    cheap = (F.col("key") == F.col("hub_key")) & (F.col("c") != F.col("hub_c")) & (F.col("rep") != F.col("hub")) \
-        & _fit("n", "hub_n", percent) & _alike(percent)
-    # Shingle sets travel only with members and hubs that the cheap bounds leave a partner.
-    mine = saved(mine.join(hers, cheap, "left_semi"))
-    hers = saved(hers.join(mine, cheap, "left_semi"))
-    sets = _load_sets(docs, mine.select(F.col("rep").alias("doc_id")).unionByName(hers.select(F.col("hub").alias("doc_id"))), words)
-    mine = mine.join(sets.select(F.col("doc_id").alias("rep"), "items"), "rep")
-    hers = hers.join(sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("hub_items")), "hub")
-    # The whole test stands in the join: `hubs` bounds the hubs a member meets, and only links become rows.
-    common = F.size(F.array_intersect("items", "hub_items"))
-    met = mine.join(hers, cheap & (common * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent))
-    return met.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    # Hubs have met their whole buckets; the other members of buckets that hold two classes have not met each other.
+    return _joined(roots, _left(docs, reps, _open(star.where("rep <> hub").select("key", "rep"), roots), words, percent))
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(rep, c): the members given, with their classes, of buckets in which they belong to two classes or more."""
+    named = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("c"))
+    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return saved(named.join(open_keys, "key", "left_semi").select("rep", "c").distinct())
+
+
+def _left(docs: DataFrame, reps: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
+    """Every link across classes among `rest` (rep, c), by an exact prefix join.
+
+    With its shingles ordered from the rarest among `rest` to the commonest, a set of n can only be linked
+    to another that shares one of its first n - ceil(n * percent / 100) + 1. Shingles that no other set holds come first
+    and meet nothing, so a text that was changed in many places hardly takes part. For each shingle the sets
+    outside its largest class meet all those of other classes.
+    """
+    if rest.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long")
+    sets = _load_sets(docs, rest.select(F.col("rep").alias("doc_id")), words)
+    each = sets.select(F.col("doc_id").alias("rep"), F.explode("items").alias("item"))
+    shared = each.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    known = each.join(shared, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("by_rarity"))
+    size = rest.join(reps.select("rep", "n", "bits"), "rep")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    room = prefix.cast("int") - (F.col("n").cast("int") - F.size("by_rarity"))  # what unshared shingles leave of it
+    first = known.join(size, "rep").where(room > 0).select("rep", "c", "n", F.explode(F.slice("by_rarity", 1, room)).alias("x")) \
+        .select("rep", "c", "n", F.col("x.item").alias("item"))
+    first = saved(first)
+    classes = first.groupBy("item", "c").agg(F.count("*").alias("m"))
+    largest = classes.groupBy(F.col("item").alias("of")).agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("k")).where("k > 1")
+    apart = saved(first.join(largest, F.col("item") == F.col("of")).select("rep", "c", "n", "item", "most"))
+    few = apart.where("c <> most").select(F.col("rep").alias("u"), F.col("c").alias("c_u"), F.col("n").alias("n_u"), "item")
+    met = few.join(apart, "item").where((F.col("c") != F.col("c_u")) & _fit("n", "n_u", percent)) \
+        .select(F.least("u", "rep").alias("a"), F.greatest("u", "rep").alias("b")).distinct()
+    side = {s: size.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"}
+    likely = met.join(side["a"], "a").join(side["b"], "b").mapInArrow(_plausible(percent), "a long, b long")
+    return _exact(saved(likely), sets, percent)
 
 
 def _fit(a: str, b: str, percent: int) -> Column:
@@ -232,14 +226,6 @@ def _fit(a: str, b: str, percent: int) -> Column:
     return (F.col(a) * percent <= F.col(b) * 100) & (F.col(b) * percent <= F.col(a) * 100)
 
 
-def _alike(percent: int) -> Column:
-    """Whether one-bit signatures agree often enough: as in `_plausible`, on (1 + similarity) / 2 of the bins."""
-    t = percent / 100
-    differ = sum((F.bit_count(F.get("signs", k).bitwiseXOR(F.get("hub_signs", k))) for k in range(SIGNS)), F.lit(0))
-    least = F.least("n", "hub_n", F.lit(BINS))
-    return differ <= BINS * (1 - t) / 2 + BINS / 2 * 6 * ((t * (1 - t)) ** 0.5 / F.sqrt(least) + 1 / BINS ** 0.5)
-
-
 def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
     """Classes after new links; old classes count as the stars they are."""
     found = saved(found)
@@ -257,17 +243,6 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
 
 
-def _rest(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, rep, c): the members given, with their classes, where a bucket still holds two classes or more.
-
-    Members that have been hubs were compared with the whole bucket and are not given again. All others
-    stay, also those that joined a hub's class: they may be linked to members that did not.
-    """
-    named = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return named.join(open_keys, "key", "left_semi")
-
-
 def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """Candidate pairs that hold on the full sets."""
     small = reps.select("rep", "n", "bits")
