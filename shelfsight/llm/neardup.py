@@ -25,6 +25,7 @@ from shelfsight.llm.components import components
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
+LIGHT = 16  # sets that share a shingle and are listed as pairs; more are tested inside their join
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PRIME2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -193,32 +194,52 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 def _left(docs: DataFrame, reps: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
     """Every link across classes among `rest` (rep, c), by an exact prefix join.
 
-    With its shingles ordered from the rarest among `rest` to the commonest, a set of n can only be linked
-    to another that shares one of its first n - ceil(n * percent / 100) + 1. Shingles that no other set holds come first
-    and meet nothing, so a text that was changed in many places hardly takes part. For each shingle the sets
-    outside its largest class meet all those of other classes.
+    Shingles are ordered from the rarest among `rest` to the commonest. Of two linked sets the smaller, of n,
+    shares one of its first n - ceil(2 p n / (100 + p)) + 1 with the first n - ceil(p n / 100) + 1 of the larger, p being
+    `percent`. Shingles that no other set holds come first and meet nothing, so texts that were each changed in a
+    few places hardly take part. For each shingle the sets outside its largest class meet all those of other
+    classes. Where more than LIGHT sets meet, the overlap is bounded by 32-bit hashes in the join itself, so that
+    few pairs but links become rows, however many near copies there are.
     """
     if rest.isEmpty():
         return docs.sparkSession.createDataFrame([], "a long, b long")
     sets = _load_sets(docs, rest.select(F.col("rep").alias("doc_id")), words)
     each = sets.select(F.col("doc_id").alias("rep"), F.explode("items").alias("item"))
     shared = each.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
-    known = each.join(shared, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("by_rarity"))
+    known = saved(each.join(shared, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("by_rarity")))
     size = rest.join(reps.select("rep", "n", "bits"), "rep")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    room = prefix.cast("int") - (F.col("n").cast("int") - F.size("by_rarity"))  # what unshared shingles leave of it
-    first = known.join(size, "rep").where(room > 0).select("rep", "c", "n", F.explode(F.slice("by_rarity", 1, room)).alias("x")) \
-        .select("rep", "c", "n", F.col("x.item").alias("item"))
-    first = saved(first)
-    classes = first.groupBy("item", "c").agg(F.count("*").alias("m"))
-    largest = classes.groupBy(F.col("item").alias("of")).agg(F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("k")).where("k > 1")
-    apart = saved(first.join(largest, F.col("item") == F.col("of")).select("rep", "c", "n", "item", "most"))
-    few = apart.where("c <> most").select(F.col("rep").alias("u"), F.col("c").alias("c_u"), F.col("n").alias("n_u"), "item")
-    met = few.join(apart, "item").where((F.col("c") != F.col("c_u")) & _fit("n", "n_u", percent)) \
-        .select(F.least("u", "rep").alias("a"), F.greatest("u", "rep").alias("b")).distinct()
+
+    def room(share: int, of: int) -> Column:
+        """What the unshared shingles leave of a prefix for an overlap of share / of."""
+        whole = F.col("n") - F.ceil(F.col("n") * share / of) + 1
+        return F.greatest(whole.cast("int") - (F.col("n").cast("int") - F.size("by_rarity")), F.lit(0))
+
+    first = known.join(size, "rep").select(
+        "rep", "c", "n", room(2 * percent, 100 + percent).alias("as_smaller"),
+        F.posexplode(F.slice("by_rarity", 1, room(percent, 100))).alias("i", "x"))
+    first = saved(first.select("rep", "c", "n", F.col("x.item").alias("item"), (F.col("i") < F.col("as_smaller")).alias("small")))
+    classes = first.groupBy("item", "c").agg(F.count("*").alias("m"), F.max("small").alias("small"))
+    groups = classes.groupBy(F.col("item").alias("of")).agg(
+        F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("k"), F.sum("m").alias("sets"), F.max("small").alias("any")) \
+        .where("k > 1 AND any").select("of", "most", "sets")
+    apart = saved(first.join(groups, F.col("item") == F.col("of")).select("rep", "c", "n", "item", "small", "most", "sets"))
+    smaller = (F.col("small") & (F.col("n") <= F.col("n_u"))) | (F.col("small_u") & (F.col("n_u") <= F.col("n")))
+
+    def met(some: DataFrame, test: Column) -> DataFrame:
+        few = some.where("c <> most").select(*[F.col(x).alias(f"{x}_u") for x in some.columns if x not in ("item", "most")], "item")
+        both = few.join(some, (few["item"] == some["item"]) & (F.col("c") != F.col("c_u")) & smaller & _fit("n", "n_u", percent) & test)
+        return both.select(F.least("rep_u", "rep").alias("a"), F.greatest("rep_u", "rep").alias("b")).distinct()
+
+    light = met(apart.where(F.col("sets") <= LIGHT).drop("sets"), F.lit(True))
     side = {s: size.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"}
-    likely = met.join(side["a"], "a").join(side["b"], "b").mapInArrow(_plausible(percent), "a long, b long")
-    return _exact(saved(likely), sets, percent)
+    light = light.join(side["a"], "a").join(side["b"], "b").mapInArrow(_plausible(percent), "a long, b long")
+    # Two shingles of one set with the same short hash meet as one.
+    common = F.size(F.array_intersect("h", "h_u")) + F.col("spare")
+    enough = common * (100 + percent) >= (F.col("n") + F.col("n_u")) * percent
+    short = known.select("rep", F.transform("by_rarity", lambda x: F.hash(x["item"])).alias("h"))
+    short = short.withColumn("spare", F.size("h") - F.size(F.array_distinct("h")))
+    heavy = met(apart.where(F.col("sets") > LIGHT).drop("sets").join(short, "rep"), enough)
+    return _exact(saved(light.unionAll(heavy).distinct()), sets, percent)
 
 
 def _fit(a: str, b: str, percent: int) -> Column:
