@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,6 +178,10 @@ def _slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Record
         lo = hi
 
 
+def _hashes(pieces: pa.Array) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(p.as_buffer()) for p in pieces), dtype=np.uint64, count=len(pieces))
+
+
 def _look_up(shipped):
     """Each piece as an index into the dictionary, or as -1-k for the k-th rare piece of its document.
 
@@ -184,20 +189,23 @@ def _look_up(shipped):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, ranks = shipped.value
-        known = pa.ipc.open_file(dictionary).read_all().combine_chunks()["piece"].combine_chunks()
+        table = pa.ipc.open_file(pa.py_buffer(dictionary)).get_batch(0)
+        hashes, known = table["h"].to_numpy(), table["piece"]
         for batch in (part for whole in batches for part in _slices(whole, "pieces", 2 * SLICE)):
             lists = batch["pieces"]
             flat, parent = lists.flatten().cast(known.type), pc.list_parent_indices(lists).to_numpy()
-            found = pc.index_in(flat, value_set=known)
-            codes = found.fill_null(-1).to_numpy().astype(np.int32)
+            distinct = flat.dictionary_encode()
+            words = distinct.dictionary
+            place = np.minimum(np.searchsorted(hashes, _hashes(words)), len(hashes) - 1)
+            same = pc.equal(known.take(pa.array(place)), words).to_numpy(zero_copy_only=False)
+            codes = np.where(same, place, -1).astype(np.int32)[distinct.indices.to_numpy()]
             rare = np.flatnonzero(codes < 0)
-            names = flat.take(pa.array(rare)).dictionary_encode()
-            key, back = np.unique(parent[rare].astype(np.int64) << 32 | names.indices.to_numpy(), return_inverse=True)
+            key, back = np.unique(parent[rare].astype(np.int64) << 32 | distinct.indices.to_numpy()[rare], return_inverse=True)
             owner = key >> 32
             start = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             codes[rare] = -1 - (back - start[owner[back]]) if len(rare) else 0
             sizes = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
-            words = names.dictionary.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string())
+            words = words.take(pa.array(key & 0xFFFFFFFF)).cast(pa.string())
             big = pc.greater(pc.binary_length(words), LONG)
             by_heap = [heap_merged(w.as_py().encode(), ranks) if x else [] for w, x in zip(words, big.to_pylist())] if pc.any(big).as_py() \
                 else [[]] * len(words)
@@ -216,7 +224,7 @@ def _assemble(shipped):
     """Token ids of each document, their digest, and the digest of the bytes that the ids decode to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, ranks = shipped.value
-        known = pa.ipc.open_file(dictionary).read_all().combine_chunks()["ids"].combine_chunks()
+        known = pa.ipc.open_file(pa.py_buffer(dictionary)).get_batch(0)["ids"]
         token_bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             token_bytes[rank] = token
@@ -251,26 +259,37 @@ def _digests(part: pa.RecordBatch, known: pa.ListArray, spelled: pa.Array, raw:
         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
 
-def _dictionary(pieces: DataFrame, table: Column, ranks: dict[bytes, int]) -> bytes:
-    """An Arrow file of (piece, ids): the tokens that are text by themselves, then the pieces given."""
+def _file(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _dictionary(pieces: DataFrame, table: Column, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """Two Arrow files of one batch, in the order of the pieces' hashes: (h, piece) and (ids).
+
+    They hold the tokens that are text by themselves and the pieces given.
+    """
     whole = {}
     for token, rank in ranks.items():
         try:
             whole[token.decode()] = rank
         except UnicodeDecodeError:
             continue
-    schema = pa.schema([("piece", pa.large_string()), ("ids", pa.large_list(pa.int32()))])
     # Many pieces to a row: the rank map is bound once for each row.
     rows = pieces.groupBy(F.pmod(F.xxhash64("piece"), F.lit(1024)).alias("s")).agg(F.collect_list("piece").alias("piece"))
-    rows = saved(rows.select("piece", folded(F.col("piece"), table).alias("ids")))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_file(sink, schema) as writer:
-        writer.write_table(pa.table([pa.array(whole.keys(), schema.types[0]), pa.array([[x] for x in whole.values()], schema.types[1])], schema=schema))
-        for batch in rows.toArrow().to_batches():
-            flat = [batch["piece"].flatten().cast(schema.types[0]), batch["ids"].flatten().cast(schema.types[1])]
-            writer.write_batch(pa.RecordBatch.from_arrays(flat, schema=schema).filter(
-                pc.invert(pc.is_in(flat[0], value_set=pa.array(whole.keys(), schema.types[0])))))
-    return sink.getvalue().to_pybytes()
+    rows = saved(rows.select("piece", folded(F.col("piece"), table).alias("ids"))).toArrow()
+    names = pa.concat_arrays([pa.array(whole.keys(), pa.large_string()), *[x.flatten().cast(pa.large_string()) for x in rows["piece"].chunks]])
+    kind = pa.large_list(pa.int32())
+    ids = pa.concat_arrays([pa.array([[x] for x in whole.values()], kind), *[x.flatten().cast(kind) for x in rows["ids"].chunks]])
+    del rows
+    h = _hashes(names)
+    # Stable: of a token and an equal piece the token comes first, and a search from the left finds it.
+    order = pa.array(np.argsort(h, kind="stable"))
+    shipped = _file(pa.RecordBatch.from_arrays([pa.array(h).take(order), names.take(order)], names=["h", "piece"]))
+    del names
+    return shipped, _file(pa.RecordBatch.from_arrays([ids.take(order)], names=["ids"]))
 
 
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
@@ -293,19 +312,20 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DIC
     table = rank_literal(ranks)
     # The literal is left out of the plans' descriptions, which the driver keeps.
     with setting(spark, "spark.sql.maxPlanStringLength", "100000"):
-        shipped = spark.sparkContext.broadcast((_dictionary(frequent_pieces(docs, pattern, most), table, ranks), ranks))
+        names, ids = (spark.sparkContext.broadcast((x, ranks)) for x in _dictionary(frequent_pieces(docs, pattern, most), table, ranks))
         whole = F.coalesce("text", F.lit("")).cast("binary")
         found = (
             docs.select("doc_id", F.sha2(whole, 256).alias("text_sha256"), pieces_of(F.col("text"), pattern).alias("pieces"))
-            .mapInArrow(_look_up(shipped), "doc_id long, text_sha256 string, codes array<int>, rare array<string>, long_ids array<array<int>>"))
+            .mapInArrow(_look_up(names), "doc_id long, text_sha256 string, codes array<int>, rare array<string>, long_ids array<array<int>>"))
         by_fold = _with(table, lambda t: F.zip_with(
             "rare", "long_ids", lambda p, ids: F.when(F.size(ids) > 0, ids).otherwise(merged(p, t))))
         out = (
             found.select("doc_id", "text_sha256", "codes", by_fold.alias("rare_ids"))
-            .mapInArrow(_assemble(shipped),
+            .mapInArrow(_assemble(ids),
                         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"))
         # One small row for each document: kept, so that the batch size below holds while it is computed.
         with arrow_rows(spark, BATCH_ROWS):
             out = saved(out)
-    shipped.destroy()
+    names.destroy()
+    ids.destroy()
     return out
