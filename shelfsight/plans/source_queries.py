@@ -22,15 +22,16 @@ TURN = "[Music] "
 
 def json3_bodies(spark, d):
     t = F.concat(F.when(F.col("turn") % 3 == 0, TURN).otherwise(""), "text")
-    segs = F.array(F.struct(F.concat(F.lit(" "), F.substring(t, 1, 10)).alias("utf8")), F.struct(F.substring(t, 11, 100000).alias("utf8")))
+    segs = F.array(F.struct(F.concat(F.lit(" "), F.substring(t, 1, 10)).alias("utf8")), F.struct(F.substring(t, F.lit(11), F.length(t)).alias("utf8")))
     ev = F.struct((F.col("turn") * 1500000).alias("tStartMs"), F.lit(29500).alias("dDurationMs"), segs.alias("segs"))
     c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("video_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", ev.alias("ev")))), lambda x: x["ev"]).alias("events"))
-    body = F.when(F.col("video_id") % 10 == 9, F.lit("{broken")).otherwise(F.to_json(F.struct("events")))
-    return c.select("video_id", body.alias("body"))
+    # Broken bodies stand beside the whole ones: a parser that does not skip them would give more rows.
+    broken = c.where("video_id % 10 = 9").select((-F.col("video_id")).alias("video_id"), F.lit("{broken").alias("body"))
+    return c.select("video_id", F.to_json(F.struct("events")).alias("body")).unionByName(broken)
 
 
-@query("a1_caption_json3", "SELECT conv_id AS video_id, turn*1500000 AS start_ms, 29500 AS duration_ms, regexp_replace(CASE WHEN turn%3=0 THEN '[Music] ' ELSE '' END||text,'^\\s+|\\s+$','','g') AS text FROM conversations WHERE conv_id%10<>9")
+@query("a1_caption_json3", "SELECT conv_id AS video_id, turn*1500000 AS start_ms, 29500 AS duration_ms, regexp_replace(CASE WHEN turn%3=0 THEN '[Music] ' ELSE '' END||text,'^\\s+|\\s+$','','g') AS text FROM conversations")
 def a1(spark, d):
     return captions.parse_json3(json3_bodies(spark, d)).drop("pos")
 
@@ -44,7 +45,7 @@ def a2(spark, d):
     return captions.parse_xml(c).drop("pos")
 
 
-NS = "ns AS (SELECT conv_id AS video_id, turn, turn*1500e0 AS start_s, regexp_replace(regexp_replace(text,'\\[[^\\n]*?\\]','','g'),'^\\s+|\\s+$','','g') AS text FROM conversations WHERE conv_id%10<>9)"
+NS = "ns AS (SELECT conv_id AS video_id, turn, turn*1500e0 AS start_s, regexp_replace(regexp_replace(text,'\\[[^\\n]*?\\]','','g'),'^\\s+|\\s+$','','g') AS text FROM conversations)"
 
 
 @query("a3_segment_normalise", m.with_(NS) + """SELECT video_id, start_s, 29.5e0 AS duration_s, text, CASE WHEN start_s>=3600 THEN lpad((start_s::BIGINT//3600)::VARCHAR,2,'0')||':' ELSE '' END
@@ -106,14 +107,45 @@ def a9(spark, d):
     return p.select("program_id", "name", "region", F.size("commission_groups").cast("long").alias("n_groups"), "cookie_days")
 
 
-@query("a11_extraction_ingest", f"SELECT doc_id AS video_id, lang AS entity, upper(source) AS category, {r('CASE WHEN doc_id%3=0 THEN 50 ELSE doc_id%101 END/100')} AS confidence FROM documents WHERE doc_id%8<>0")
-def a11(spark, d):
+def extractions(spark, d):
+    """One answer for each document, every sixteenth without optional parts, and broken answers beside them."""
     k = F.col("doc_id")
-    ok = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.struct(
-        F.col("lang").alias("name"), F.col("source").alias("category"), F.when(k % 3 != 0, (k % 101).cast("double")).alias("confidence"))).alias("entities"),
-        F.col("lang").alias("language"))), F.lit("\n```"))
-    raw = table(spark, d, "documents").select(k.alias("video_id"), F.when(k % 8 == 0, "```json {oops").otherwise(ok).alias("body"))
-    return feeds.extracted_entities(feeds.extraction_results(raw)).drop("pos").withColumn("confidence", half_up("confidence", 6))
+    full = k % 16 != 1
+    body = F.to_json(F.struct(
+        F.array(F.struct(F.col("lang").alias("name"), F.col("source").alias("category"), F.when(k % 3 != 0, (k % 101).cast("double")).alias("confidence"))).alias("entities"),
+        F.when(full, F.array(F.struct(F.concat(F.lit("item "), k).alias("name"), F.lit("tool").alias("category"), (k % 90).cast("double").alias("confidence")),
+                             F.struct(F.col("source").alias("name"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("double").alias("confidence")))).alias("commerceItems"),
+        F.when(full, F.array(F.struct(F.lit("prune").alias("keyword"), F.col("source").alias("category")))).alias("actions"),
+        F.col("lang").alias("language"), F.when(full, F.struct((k % 100).cast("double").alias("score"))).alias("commercialIntent")))
+    docs = table(spark, d, "documents")
+    raw = docs.select(k.alias("video_id"), F.concat(F.lit("```json\n"), body, F.lit("\n```")).alias("body"))
+    broken = docs.where("doc_id % 8 = 0").select((-1 - k).alias("video_id"), F.lit("```json {oops").alias("body"))
+    return feeds.extraction_results(raw.unionByName(broken))
+
+
+@query("a11_extraction_ingest", f"SELECT doc_id AS video_id, lang AS entity, upper(source) AS category, {r('CASE WHEN doc_id%3=0 THEN 50 ELSE doc_id%101 END/100')} AS confidence FROM documents")
+def a11(spark, d):
+    return feeds.extracted_entities(extractions(spark, d)).drop("pos").withColumn("confidence", half_up("confidence", 6))
+
+
+@query("a11_commerce_items", f"SELECT doc_id AS video_id, 0 AS pos, 'item '||doc_id AS item, 'TOOL' AS category, {r('(doc_id%90)/100')} AS confidence FROM documents WHERE doc_id%16<>1 UNION ALL SELECT doc_id, 1, source, NULL, 0.5e0 FROM documents WHERE doc_id%16<>1")
+def a11_items(spark, d):
+    return feeds.extracted_items(extractions(spark, d)).withColumn("confidence", half_up("confidence", 6))
+
+
+@query("a11_actions", "SELECT doc_id AS video_id, 0 AS pos, 'prune' AS keyword, source AS category FROM documents WHERE doc_id%16<>1")
+def a11_actions(spark, d):
+    return feeds.extracted_actions(extractions(spark, d))
+
+
+@query("a11_language_intent", "SELECT doc_id AS video_id, lang AS language, CASE WHEN doc_id%16<>1 THEN (doc_id%100)::DOUBLE END AS intent_score FROM documents")
+def a11_language_intent(spark, d):
+    return feeds.extracted_summary(extractions(spark, d))
+
+
+@query("a11_rejects", "SELECT -1-doc_id AS video_id, '{oops' AS body FROM documents WHERE doc_id%8=0")
+def a11_rejects(spark, d):
+    return feeds.rejected(extractions(spark, d))
 
 
 STORE = ("st AS (SELECT k AS video_id, CASE WHEN user_id%2=0 THEN 'deep' ELSE 'standard' END AS depth, event_type||event_id AS analysis_json, CAST(floor(epoch_us(ts)/1000000) AS BIGINT) AS created_at, CAST(floor(epoch_us(ts)/1000000) AS BIGINT)+604800 AS expires_at, user_id FROM us0), "

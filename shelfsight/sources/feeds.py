@@ -72,10 +72,11 @@ EXTRACTION = ("entities array<struct<name string, category string, confidence do
 
 
 def extraction_results(raw: DataFrame) -> DataFrame:
-    """raw(video_id, body): code fences stripped, JSON parsed; `ok` is false for rejects."""
+    """raw(video_id, body): code fences stripped, JSON parsed; `ok` is false for rejects, whose `body` stays."""
     body = F.trim(F.regexp_replace("body", r"```(?:json)?\s*", ""))
     r = raw.select("video_id", body.alias("_b")).withColumn("r", F.from_json("_b", EXTRACTION))
-    return r.withColumn("ok", F.try_parse_json("_b").isNotNull()).drop("_b")
+    ok = F.try_parse_json("_b").isNotNull()
+    return r.select("video_id", "r", ok.alias("ok"), F.when(~ok, F.col("_b")).alias("body"))
 
 
 def extracted_entities(results: DataFrame) -> DataFrame:
@@ -85,6 +86,29 @@ def extracted_entities(results: DataFrame) -> DataFrame:
                     (F.coalesce("e.confidence", F.lit(50.0)) / 100).alias("confidence"))
 
 
+def extracted_items(results: DataFrame) -> DataFrame:
+    """(video_id, pos, item, category, confidence): commerce items, confidence as for entities."""
+    e = results.where("ok").select("video_id", F.posexplode("r.commerceItems").alias("pos", "e"))
+    return e.select("video_id", "pos", F.col("e.name").alias("item"), F.upper("e.category").alias("category"),
+                    (F.coalesce("e.confidence", F.lit(50.0)) / 100).alias("confidence"))
+
+
+def extracted_actions(results: DataFrame) -> DataFrame:
+    """(video_id, pos, keyword, category) of the actions named."""
+    e = results.where("ok").select("video_id", F.posexplode("r.actions").alias("pos", "e"))
+    return e.select("video_id", "pos", "e.keyword", "e.category")
+
+
+def extracted_summary(results: DataFrame) -> DataFrame:
+    """(video_id, language, intent_score): one row for each answer that parses."""
+    return results.where("ok").select("video_id", F.col("r.language").alias("language"), F.col("r.commercialIntent.score").alias("intent_score"))
+
+
+def rejected(results: DataFrame) -> DataFrame:
+    """(video_id, body) of the answers that are no JSON."""
+    return results.where("NOT ok").select("video_id", "body")
+
+
 def dictionary_file(spark: SparkSession, path: str) -> DataFrame:
     """Dictionary JSON (an array of entries) with an explicit schema; bad rows keep `_corrupt`."""
     schema = ("latinName string, commonNames array<string>, synonyms array<string>, genus string, species string, variety string, "
