@@ -332,8 +332,7 @@ def detect_vertical(docs: DataFrame, terms: DataFrame, minimum: float = 0.15) ->
     size = use.groupBy("vertical").agg(F.count("*").alias("_size"))
     low = docs.select("video_id", F.lower("text").alias("_low"))
     hit = containment_join(low, use.select("vertical", "vertical_pos", "term"), "_low", "term", keep=["video_id"])
-    s = hit.groupBy("video_id", "vertical", "vertical_pos").agg(F.count("*").alias("_n")).join(
-        F.broadcast(size) if size.count() <= 10_000 else size, "vertical")
+    s = hit.groupBy("video_id", "vertical", "vertical_pos").agg(F.count("*").alias("_n")).join(size, "vertical")
     s = s.withColumn("_score", F.col("_n") / F.col("_size"))
     best = s.groupBy("video_id").agg(F.max_by(F.struct("vertical", "_score"), F.struct("_score", -F.col("vertical_pos"))).alias("b"))
     ok = F.col("b._score") > minimum

@@ -13,16 +13,16 @@ from shelfsight.operators.joins import containment_join
 INTENT_COLUMNS = ["intent", "intent_pos", "weight", "emotion", "cta"]
 
 
-def score_segments(segments: DataFrame, phrases: DataFrame, plan: str = "automaton") -> DataFrame:
+def score_segments(segments: DataFrame, phrases: DataFrame) -> DataFrame:
     """One row per (segment, intent) with at least one phrase in the text.
 
     segments(video_id, seg_no, text, ...); phrases(intent, intent_pos, phrase, weight,
-    emotion, cta). No shuffle is needed before the grouping; phrases travel in blocks of bounded size.
+    emotion, cta). Phrases are found through the substring index, any number of them.
     """
     seg = segments.withColumn("_lower", F.lower("text")).withColumn(
         "_words", F.size(F.split("text", r"\s+")))
     hits = containment_join(
-        seg, phrases.withColumn("phrase", F.lower("phrase")), "_lower", "phrase", plan=plan,
+        seg, phrases.withColumn("phrase", F.lower("phrase")), "_lower", "phrase",
         keep=["video_id", "seg_no", "_words"])
     m = F.col("matches")
     density = cap(m / (F.col("_words") / 100.0), 1.0)

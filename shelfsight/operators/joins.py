@@ -1,35 +1,20 @@
 """Join patterns that Catalyst does not derive on its own.
 
-What is shipped to the executors is bounded by a parameter; tables beyond it are worked off in
-blocks of that size, with the same rows.
+Nothing here is collected; the fixed tables of the substring index have sizes given by parameters.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_INLINE = 2000
-BLOCK_TERMS = 50_000
-GRAM = 3
-
-
-def inline_rows(df: DataFrame, limit: int = MAX_INLINE):
-    """The rows of a small table, or None when it holds more than `limit` rows."""
-    rows = df.limit(limit + 1).collect()
-    return None if len(rows) > limit else rows
-
-
-def rows_literal(rows, schema) -> Column:
-    """A foldable ARRAY<STRUCT> built from checked rows."""
-    body = json.dumps([r.asDict(recursive=True) for r in rows])
-    return F.from_json(F.lit(body), f"array<{schema.simpleString()}>")
+GRAM = 4
+#: Characters of a block of text; no row of the index search is longer than this and the longest term.
+PIECE = 256
+#: Sizes of the two fixed hash tables, powers of two.
+COUNT_SLOTS = 1 << 16
+ANCHOR_BITS = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -57,98 +42,113 @@ def ranked(df: DataFrame, lead: Column, text: Column, order: list[Column], name:
             .withColumn(name, (F.col("_own") + F.col("_off")).cast("long")).drop("_lead", "_px", "_own", "_off"))
 
 
-def _automaton_udf(terms: list[str]):
-    """Arrow UDF: indices of the terms contained in each text, in one pass over the text."""
-    @F.pandas_udf("array<int>")
-    def contained(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-        rows: dict[str, list[int]] = {}
-        for i, t in enumerate(terms):
-            rows.setdefault(t, []).append(i)
-        machine = ahocorasick.Automaton()
-        for t in rows:
-            machine.add_word(t, t)
-        machine.make_automaton()
-        for texts in batches:
-            yield pd.Series([[i for t in {w for _, w in machine.iter(x)} for i in rows[t]] if x else [] for x in texts])
-    return contained
-
-
-def _in_blocks(terms: DataFrame, limit: int):
-    """The rows of terms in lists of about `limit`: the number of blocks follows the table's size."""
-    blocks = max(1, -(-terms.count() // limit))
-    if blocks == 1:
-        yield terms.collect()
-        return
-    slot = F.pmod(F.xxhash64(*terms.columns), F.lit(blocks))
-    for b in range(blocks):
-        yield terms.where(slot == b).collect()
+def _slot(key: Column, size: int) -> Column:
+    """A place below `size`, a power of two, for a string."""
+    return F.xxhash64(key).bitwiseAND(F.lit(size - 1).cast("long"))
+
+
+def _pieces(docs: DataFrame, text: str, keep: list[str], tail: Column) -> DataFrame:
+    """Texts cut into blocks of PIECE characters, each with the next `tail` characters after it.
+
+    What starts in a block and is at most `tail` + 1 long lies inside its body, so the work on a
+    body is bounded and the work on a text grows with its length alone.
+    """
+    cut = docs.where(F.length(text) > 0).select(
+        *keep, F.xxhash64(*keep, text).alias("_id"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("_all"))
+    after = F.array_join(F.slice("_all", F.col("_i") + 2, F.ceil(tail / PIECE).cast("int")), "")
+    return cut.select(*keep, "_id", "_all", F.posexplode("_all").alias("_i", "_own")).select(
+        *keep, "_id", "_i", F.concat("_own", F.substr(after, F.lit(1), tail)).alias("_body"))
+
+
+def _places(pieces: DataFrame, *columns: str) -> DataFrame:
+    """One row for each character of a body, with the gram that begins there (shorter at the end)."""
+    at = F.explode(F.sequence(F.lit(0), F.length("_body") - 1)).alias("_pos")
+    return pieces.select(*columns, "_body", at).withColumn("_gram", F.substr("_body", F.col("_pos") + 1, F.lit(GRAM)))
+
+
+def gram_counts(docs: DataFrame, text: str, slots: int = COUNT_SLOTS) -> DataFrame:
+    """How often the grams of each hash slot occur in all texts: `slots` rows at most.
+
+    They can be stored and handed to any number of searches of the same texts.
+    """
+    pieces = _pieces(docs, text, [], F.lit(GRAM - 1))
+    grams = _places(pieces, "_i").where(F.length("_gram") == GRAM)
+    return grams.groupBy(_slot(F.col("_gram"), slots).alias("_slot")).agg(F.count("*").alias("_n"))
+
+
+def term_anchors(terms: DataFrame, term: str, counts: DataFrame, slots: int = COUNT_SLOTS) -> DataFrame:
+    """Each distinct term with its rarest gram and where that begins: (_term, _key, _off).
+
+    Ties go to the first place. A term shorter than a gram is its own anchor.
+    """
+    words = terms.select(F.col(term).alias("_term")).where(F.length("_term") > 0).distinct()
+    last = F.greatest(F.length("_term") - GRAM, F.lit(0))
+    grams = words.select("_term", F.explode(F.sequence(F.lit(0), last)).alias("_off")).withColumn(
+        "_key", F.substr("_term", F.col("_off") + 1, F.lit(GRAM)))
+    known = grams.withColumn("_slot", _slot(F.col("_key"), slots)).join(counts, "_slot", "left")
+    rare = F.min_by(F.struct("_key", "_off"), F.struct(F.coalesce("_n", F.lit(0)), "_off")).alias("_a")
+    return known.groupBy("_term").agg(rare).select("_term", "_a.*")
+
+
+def _bitmap(anchors: DataFrame, bits: int) -> DataFrame:
+    """One row, one ARRAY<BIGINT> of a fixed size: the hash slots of the anchors."""
+    slot = _slot(F.col("_key"), bits)
+    words = anchors.select(F.shiftright(slot, 6).alias("id"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int").alias("_b"))
+    words = words.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_w"))
+    every = anchors.sparkSession.range(bits // 64).join(words, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("_w", F.lit(0).cast("long")).alias("_w"))))
+    return every.agg(F.transform(ordered, lambda x: x["_w"]).alias("_bits"))
 
 
 def containment_join(
-    docs: DataFrame, terms: DataFrame, text: str, term: str,
-    plan: str = "automaton", limit: int = BLOCK_TERMS, keep: list[str] | None = None,
+    docs: DataFrame, terms: DataFrame, text: str, term: str, keep: list[str] | None = None,
+    counts: DataFrame | None = None, bits: int = ANCHOR_BITS,
 ) -> DataFrame:
     """One row for each document row and each term row whose term the text contains.
 
     `text` must already be lower-cased when terms are. `keep` lists the document columns of the
-    result (default: all but the text). Null and empty terms, and null texts, match nothing;
-    repeated rows on either side come out as often as they meet. The plans give the same rows:
-
-    automaton  blocks of at most about `limit` terms are shipped to the executors, each text is
-               searched once per block by an Arrow function (needs pyahocorasick on executors)
-    inline     the same blocks as literals, each term searched on its own: for a handful of terms
-    shuffle    no term reaches the driver: an equi-join on leading characters, then a check
+    result (default: all but the text; types that can be grouped). Null and empty terms, and null
+    and empty texts, match nothing; repeated rows on either side come out as often as they meet.
+
+    A substring index: every term is known by its rarest gram (`counts`, by default counted here
+    over all texts). The grams of the texts are probed in a bitmap of `bits` places that says which
+    anchors exist; what passes is joined with the terms on the anchor, and the whole term is
+    compared at its place. Texts are read once to count and once to probe, however many terms there
+    are. Only a stretch of twice the longest term's length is shuffled, never a text, and nothing
+    but the bitmap and two numbers passes through the driver, as scalar subqueries. Neither the
+    bitmap's size nor the counts change the rows.
     """
     keep = keep if keep is not None else [x for x in docs.columns if x != text]
-    terms = terms.where(F.length(term) > 0)
-    if plan == "shuffle":
-        return _gram_join(docs, terms, text, term, keep)
-    if plan not in ("automaton", "inline"):
-        raise ValueError(f"unknown plan {plan}")
-    found = []
-    for rows in _in_blocks(terms, limit):
-        if not rows:
-            continue
-        if plan == "automaton":
-            hit = _automaton_udf([r[term] for r in rows])(F.col(text))
-            # Bounded by `limit`, so this side may be broadcast.
-            numbered = docs.sparkSession.createDataFrame(
-                [(i, *r) for i, r in enumerate(rows)], f"_i int, {_ddl(terms)}")
-            at = spread(docs).select(*keep, F.explode_outer(hit).alias("_i")).where("_i IS NOT NULL")
-            found.append(at.join(F.broadcast(numbered), "_i").select(*keep, *terms.columns))
-        else:
-            arr = rows_literal(rows, terms.schema)
-            inside = F.filter(arr, lambda r: F.col(text).contains(r[term]))
-            # Outer explode: for an inner one the optimizer adds a size filter that runs the search twice.
-            out = docs.select(*keep, F.explode_outer(inside).alias("_t")).where("_t IS NOT NULL")
-            found.append(out.select(*keep, "_t.*"))
-    if not found:
-        return docs.select(*keep).join(terms, F.lit(False))
-    return reduce(DataFrame.unionAll, found)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def _gram_join(docs: DataFrame, terms: DataFrame, text: str, term: str, keep: list[str]) -> DataFrame:
-    """Distinct texts meet terms on a term's first GRAM characters; one check per text, not per pair."""
-    rows = docs.select(*keep, F.col(text).alias("_txt")).where("_txt IS NOT NULL").withColumn("_tk", F.xxhash64("_txt"))
-    texts = rows.select("_tk", "_txt").distinct()
-
-    def grams(chars: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
-        return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))).otherwise(
-            F.array().cast("array<string>"))
-    chars = texts.select("_tk", F.split("_txt", "").alias("_ch"))
-    every = F.array_distinct(F.concat(*[grams(F.col("_ch"), n) for n in range(1, GRAM + 1)]))
-    sized = terms.select(F.struct(*terms.columns).alias("_t"), F.substring(term, 1, GRAM).alias("_g"))
-    met = chars.select("_tk", F.explode(every).alias("_g")).distinct().join(sized, "_g")
-    met = met.groupBy("_tk").agg(F.collect_list("_t").alias("_ts"))
-    inside = F.filter("_ts", lambda t: F.contains(F.col("_txt"), t[term]))
-    hits = texts.join(met, "_tk").select("_tk", "_txt", F.explode_outer(inside).alias("_t")).where("_t IS NOT NULL")
-    return rows.join(hits, ["_tk", "_txt"]).select(*keep, "_t.*")
+    words = terms.where(F.length(term) > 0)
+    anchors = term_anchors(words, term, counts if counts is not None else gram_counts(docs, text))
+    known = _bitmap(anchors, bits).scalar()
+    reach = words.agg(F.coalesce(F.max(F.length(term)), F.lit(1))).scalar()
+    short = words.where(F.length(term) < GRAM).agg(
+        F.coalesce(F.bit_or(F.expr(f"shiftleft(1, length(`{term}`))")), F.lit(0))).scalar()
+
+    def anchored(key: Column) -> Column:
+        slot = _slot(key, bits)
+        return F.getbit(F.get(known, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    places = _places(_pieces(docs, text, keep, reach - 1), *keep, "_id", "_i")
+    shorter = [(F.getbit(short, F.lit(n)) == 1, F.substr("_gram", F.lit(1), F.lit(n))) for n in range(1, GRAM)]
+    passed = anchored(F.col("_gram"))
+    for used, key in shorter:
+        passed = passed | (used & anchored(key))
+    keys = F.array_distinct(F.array("_gram", *[F.when(used, key) for used, key in shorter]))
+    begin = F.greatest(F.col("_pos") - reach, F.lit(0))
+    found = places.where(passed).select(
+        *keep, "_id", "_i", "_pos", (F.col("_pos") - begin).alias("_in"),
+        F.substr("_body", begin + 1, reach * 2).alias("_near"), F.explode(keys).alias("_key"))
+    start, local = F.col("_pos") - F.col("_off"), F.col("_in") - F.col("_off")
+    # An occurrence belongs to the block in which it starts.
+    hits = found.join(anchors, "_key").where(
+        (local >= 0) & (start < PIECE) & (F.substr("_near", local + 1, F.length("_term")) == F.col("_term")))
+    place = F.struct("_i", start.alias("_s"))
+    each = hits.groupBy("_id", *keep, "_term", place.alias("_at")).agg(F.count("*").alias("_n"))
+    once = each.groupBy("_id", *keep, "_term").agg(F.min_by("_n", "_at").alias("_n"))
+    rows = once.select(*keep, "_term", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_c"))
+    return rows.join(words.withColumn("_term", F.col(term)), "_term").select(*keep, *terms.columns)
 
 
 def any_contained(text, terms: list[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfsight.functions import text as tx
 from shelfsight.operators import preprocess as p
-from shelfsight.operators.joins import containment_join
+from shelfsight.operators.joins import PIECE, containment_join, gram_counts
 
 
 def one(spark, text, fn):
@@ -82,18 +82,44 @@ def test_partitioning_does_not_change_results(spark):
     assert outs[0] == outs[1] == outs[2]
 
 
-@pytest.mark.parametrize("plan,limit", [("automaton", 1000), ("automaton", 7), ("inline", 1000), ("inline", 7), ("shuffle", 0)])
-def test_containment_plans_agree(spark, plan, limit):
+def meets(docs, terms):
+    return sorted((i, t, k) for i, x in docs for t, k in terms if t and x and t in x)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_containment_join(spark, bits):
     """Repeated ids and rows, short and null texts, repeated, empty and null terms: equal multisets."""
     rng = random.Random(5)
     docs = [(i % 20, "".join(rng.choice("abcé ") for _ in range(rng.choice([0, 1, 2, 3, 30])))) for i in range(60)]
-    docs += docs[:5] + [(1, None), (1, ""), (2, "abcabc")]
+    docs += docs[:5] + [(1, None), (1, ""), (2, "abcabc"), (3, "a😀b😀😀c\n😀ab")]
     terms = [("".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))), i % 3) for i in range(40)]
-    terms += terms[:3] + [("", 1), (None, 2), ("abc", 0), ("abc", 1)]
+    terms += terms[:3] + [("", 1), (None, 2), ("abc", 0), ("abc", 1), ("😀", 0), ("b😀😀c", 1), ("c\n😀ab", 2)]
+    d = spark.createDataFrame(docs, "id long, text string")
+    t = spark.createDataFrame(terms, "term string, kind long")
+    got = sorted(map(tuple, containment_join(d, t, "text", "term", bits=bits).collect()))
+    assert got == meets(docs, terms)
+
+
+def test_containment_join_over_block_ends(spark):
+    """Terms across the ends of blocks, longer than a block, at the very end, and repeated in a long text."""
+    rng = random.Random(6)
+    long = "".join(rng.choice("abcd😀 ") for _ in range(3 * PIECE + 17))
+    docs = [(1, long), (1, long), (2, long[: PIECE]), (3, long[PIECE - 3:]), (4, "xyzzy " * 400)]
+    terms = [(long[i:i + n], n) for n in (2, 4, 5, 40, PIECE, PIECE + 9, 2 * PIECE + 1) for i in
+             (0, PIECE - n // 2, PIECE - 1, PIECE, 2 * PIECE - 3, len(long) - n) if 0 <= i <= len(long) - n]
+    terms += [("xyzzy", 0), ("zy xy", 0), ("nowhere", 0)]
     d = spark.createDataFrame(docs, "id long, text string")
     t = spark.createDataFrame(terms, "term string, kind long")
-    got = sorted(map(tuple, containment_join(d, t, "text", "term", plan=plan, limit=limit).collect()))
-    assert got == sorted((i, t, k) for i, x in docs for t, k in terms if t and x and t in x)
+    assert sorted(map(tuple, containment_join(d, t, "text", "term").collect())) == meets(docs, terms)
+
+
+def test_containment_join_of_empty_tables_and_stored_counts(spark):
+    d = spark.createDataFrame([(1, "garden soil")], "id long, text string")
+    t = spark.createDataFrame([("soil", 0)], "term string, kind long")
+    assert containment_join(d.where("id > 1"), t, "text", "term").count() == 0
+    assert containment_join(d, t.where("kind > 1"), "text", "term").count() == 0
+    counts = gram_counts(d.where("id > 1"), "text")
+    assert [tuple(x) for x in containment_join(d, t, "text", "term", counts=counts).collect()] == [(1, "soil", 0)]
 
 
 def test_alternation_prefers_the_longest():
