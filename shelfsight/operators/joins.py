@@ -1,14 +1,21 @@
 """Join patterns that Catalyst does not derive on its own.
 
-Nothing here is collected; the fixed tables of the substring index have sizes given by parameters.
+What reaches the driver is a bitmap of the substring index, whose size is bounded by a parameter.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from shelfsight.session import checkpoint_dir
+
 GRAM = 4
 #: Characters of a block of text; no row of the index search is longer than this and the longest term.
 PIECE = 256
@@ -47,7 +54,7 @@ def _slot(key: Column, size: int) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit(size - 1).cast("long"))
 
 
-def _pieces(docs: DataFrame, text: str, keep: list[str], tail: Column) -> DataFrame:
+def _pieces(docs: DataFrame, text: str, keep: list[str], tail: int) -> DataFrame:
     """Texts cut into blocks of PIECE characters, each with the next `tail` characters after it.
 
     What starts in a block and is at most `tail` + 1 long lies inside its body, so the work on a
@@ -55,9 +62,9 @@ def _pieces(docs: DataFrame, text: str, keep: list[str], tail: Column) -> DataFr
     """
     cut = docs.where(F.length(text) > 0).select(
         *keep, F.xxhash64(*keep, text).alias("_id"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("_all"))
-    after = F.array_join(F.slice("_all", F.col("_i") + 2, F.ceil(tail / PIECE).cast("int")), "")
+    after = F.substring(F.array_join(F.slice("_all", F.col("_i") + 2, -(-tail // PIECE)), ""), 1, tail)
     return cut.select(*keep, "_id", "_all", F.posexplode("_all").alias("_i", "_own")).select(
-        *keep, "_id", "_i", F.concat("_own", F.substr(after, F.lit(1), tail)).alias("_body"))
+        *keep, "_id", "_i", F.concat("_own", after).alias("_body"))
 
 
 def _places(pieces: DataFrame, *columns: str) -> DataFrame:
@@ -71,33 +78,76 @@ def gram_counts(docs: DataFrame, text: str, slots: int = COUNT_SLOTS) -> DataFra
 
     They can be stored and handed to any number of searches of the same texts.
     """
-    pieces = _pieces(docs, text, [], F.lit(GRAM - 1))
+    pieces = _pieces(docs, text, [], GRAM - 1)
     grams = _places(pieces, "_i").where(F.length("_gram") == GRAM)
     return grams.groupBy(_slot(F.col("_gram"), slots).alias("_slot")).agg(F.count("*").alias("_n"))
 
 
 def term_anchors(terms: DataFrame, term: str, counts: DataFrame, slots: int = COUNT_SLOTS) -> DataFrame:
-    """Each distinct term with its rarest gram and where that begins: (_term, _key, _off).
+    """The rows of terms with their rarest gram and where in the term it begins (_key, _off).
 
-    Ties go to the first place. A term shorter than a gram is its own anchor.
+    Ties go to the first place. A term shorter than a gram is its own anchor. Null and empty terms
+    have none and fall out.
     """
-    words = terms.select(F.col(term).alias("_term")).where(F.length("_term") > 0).distinct()
+    words = terms.where(F.length(term) > 0)
+    each = words.select(F.col(term).alias("_term")).distinct()
     last = F.greatest(F.length("_term") - GRAM, F.lit(0))
-    grams = words.select("_term", F.explode(F.sequence(F.lit(0), last)).alias("_off")).withColumn(
+    grams = each.select("_term", F.explode(F.sequence(F.lit(0), last)).alias("_off")).withColumn(
         "_key", F.substr("_term", F.col("_off") + 1, F.lit(GRAM)))
     known = grams.withColumn("_slot", _slot(F.col("_key"), slots)).join(counts, "_slot", "left")
     rare = F.min_by(F.struct("_key", "_off"), F.struct(F.coalesce("_n", F.lit(0)), "_off")).alias("_a")
-    return known.groupBy("_term").agg(rare).select("_term", "_a.*")
+    found = known.groupBy("_term").agg(rare).select("_term", "_a.*")
+    return words.withColumn("_term", F.col(term)).join(found, "_term").drop("_term")
 
 
-def _bitmap(anchors: DataFrame, bits: int) -> DataFrame:
-    """One row, one ARRAY<BIGINT> of a fixed size: the hash slots of the anchors."""
-    slot = _slot(F.col("_key"), bits)
-    words = anchors.select(F.shiftright(slot, 6).alias("id"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int").alias("_b"))
-    words = words.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, _b)")).alias("_w"))
-    every = anchors.sparkSession.range(bits // 64).join(words, "id", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("_w", F.lit(0).cast("long")).alias("_w"))))
-    return every.agg(F.transform(ordered, lambda x: x["_w"]).alias("_bits"))
+class SubstringIndex:
+    """Terms with their anchors, written once to the shared folder and searched any number of times.
+
+    What reaches the driver is one row: the number of terms, the longest length, the lengths below
+    a gram and a bitmap of at most `bits` places, sized by the number of terms, that says which
+    anchors exist. Neither the bitmap's size nor the counts change what a search finds.
+    """
+
+    def __init__(self, terms: DataFrame, term: str, counts: DataFrame, bits: int = ANCHOR_BITS) -> None:
+        spark = terms.sparkSession
+        path = f"{checkpoint_dir(spark)}/substring-index-{uuid.uuid4().hex}"
+        term_anchors(terms, term, counts).write.parquet(path)
+        self.rows, self.term, self.columns = spark.read.parquet(path), term, terms.columns
+        size = F.length(term)
+        n, reach, short = self.rows.agg(
+            F.count("*"), F.max(size), F.bit_or(F.when(size < GRAM, F.expr(f"shiftleft(1, length(`{term}`))")))).head()
+        self.reach = reach or 1
+        self.short = [k for k in range(1, GRAM) if (short or 0) >> k & 1]
+        self.bits = min(bits, max(64, 1 << (32 * n).bit_length()))
+        slot = _slot(F.col("_key"), self.bits)
+        word = self.rows.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(
+            F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))).alias("b"))
+        full = dict(map(tuple, word.collect()))  # self.bits / 64 rows at most
+        self._bitmap = F.from_json(F.lit(json.dumps([full.get(i, 0) for i in range(self.bits // 64)])), "array<bigint>")
+
+    def _anchored(self, key: Column) -> Column:
+        slot = _slot(key, self.bits)
+        return F.getbit(F.get(self._bitmap, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
+
+    def search(self, docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+        """One row for each row of docs and each term row that its text contains."""
+        reach, columns = self.reach, [F.col(f"_t.{c}").alias(c) for c in self.columns]
+        keys = [F.col("_gram"), *[F.substring("_gram", 1, k) for k in self.short]]
+        places = _places(_pieces(docs, text, keep, reach - 1), *keep, "_id", "_i").where(
+            reduce(or_, [self._anchored(k) for k in keys]))
+        begin = F.greatest(F.col("_pos") - reach, F.lit(0))
+        key = F.explode(F.array_distinct(F.array(*keys))) if self.short else F.col("_gram")
+        found = places.select(
+            *keep, "_id", "_i", "_pos", (F.col("_pos") - begin).alias("_in"),
+            F.substr("_body", begin + 1, F.lit(2 * reach)).alias("_near"), key.alias("_key"))
+        anchors = self.rows.select("_key", "_off", F.col(self.term).alias("_term"), F.struct(*self.columns).alias("_t"))
+        start, local = F.col("_pos") - F.col("_off"), F.col("_in") - F.col("_off")
+        # An occurrence belongs to the block in which it starts.
+        hits = found.join(anchors, "_key").where(
+            (local >= 0) & (start < PIECE) & (F.substr("_near", local + 1, F.length("_term")) == F.col("_term")))
+        each = hits.groupBy("_id", *keep, "_t", F.struct("_i", start.alias("_s")).alias("_at")).agg(F.count("*").alias("_n"))
+        once = each.groupBy("_id", *keep, "_t").agg(F.min_by("_n", "_at").alias("_n"))
+        return once.select(*keep, "_t", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*keep, *columns)
 
 
 def containment_join(
@@ -107,48 +157,19 @@ def containment_join(
     """One row for each document row and each term row whose term the text contains.
 
     `text` must already be lower-cased when terms are. `keep` lists the document columns of the
-    result (default: all but the text; types that can be grouped). Null and empty terms, and null
-    and empty texts, match nothing; repeated rows on either side come out as often as they meet.
+    result (default: all but the text); these and the term columns must be of types that can be
+    grouped. Null and empty terms, and null and empty texts, match nothing; repeated rows on either
+    side come out as often as they meet. Empty tables give no rows.
 
     A substring index: every term is known by its rarest gram (`counts`, by default counted here
-    over all texts). The grams of the texts are probed in a bitmap of `bits` places that says which
-    anchors exist; what passes is joined with the terms on the anchor, and the whole term is
-    compared at its place. Texts are read once to count and once to probe, however many terms there
-    are. Only a stretch of twice the longest term's length is shuffled, never a text, and nothing
-    but the bitmap and two numbers passes through the driver, as scalar subqueries. Neither the
-    bitmap's size nor the counts change the rows.
+    over all texts). The grams of the texts are probed in a bitmap of the anchors; what passes is
+    joined with the terms on the anchor, and the whole term is compared at its place. Texts are read
+    once to count and once to probe, however many terms there are, and no text is shuffled: only a
+    stretch of twice the longest term's length around an anchor is.
     """
     keep = keep if keep is not None else [x for x in docs.columns if x != text]
-    words = terms.where(F.length(term) > 0)
-    anchors = term_anchors(words, term, counts if counts is not None else gram_counts(docs, text))
-    known = _bitmap(anchors, bits).scalar()
-    reach = words.agg(F.coalesce(F.max(F.length(term)), F.lit(1))).scalar()
-    short = words.where(F.length(term) < GRAM).agg(
-        F.coalesce(F.bit_or(F.expr(f"shiftleft(1, length(`{term}`))")), F.lit(0))).scalar()
-
-    def anchored(key: Column) -> Column:
-        slot = _slot(key, bits)
-        return F.getbit(F.get(known, F.shiftright(slot, 6).cast("int")), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1
-
-    places = _places(_pieces(docs, text, keep, reach - 1), *keep, "_id", "_i")
-    shorter = [(F.getbit(short, F.lit(n)) == 1, F.substr("_gram", F.lit(1), F.lit(n))) for n in range(1, GRAM)]
-    passed = anchored(F.col("_gram"))
-    for used, key in shorter:
-        passed = passed | (used & anchored(key))
-    keys = F.array_distinct(F.array("_gram", *[F.when(used, key) for used, key in shorter]))
-    begin = F.greatest(F.col("_pos") - reach, F.lit(0))
-    found = places.where(passed).select(
-        *keep, "_id", "_i", "_pos", (F.col("_pos") - begin).alias("_in"),
-        F.substr("_body", begin + 1, reach * 2).alias("_near"), F.explode(keys).alias("_key"))
-    start, local = F.col("_pos") - F.col("_off"), F.col("_in") - F.col("_off")
-    # An occurrence belongs to the block in which it starts.
-    hits = found.join(anchors, "_key").where(
-        (local >= 0) & (start < PIECE) & (F.substr("_near", local + 1, F.length("_term")) == F.col("_term")))
-    place = F.struct("_i", start.alias("_s"))
-    each = hits.groupBy("_id", *keep, "_term", place.alias("_at")).agg(F.count("*").alias("_n"))
-    once = each.groupBy("_id", *keep, "_term").agg(F.min_by("_n", "_at").alias("_n"))
-    rows = once.select(*keep, "_term", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_c"))
-    return rows.join(words.withColumn("_term", F.col(term)), "_term").select(*keep, *terms.columns)
+    index = SubstringIndex(terms, term, counts if counts is not None else gram_counts(docs, text), bits)
+    return index.search(docs, text, keep)
 
 
 def any_contained(text, terms: list[str]) -> Column:
