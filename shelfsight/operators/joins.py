@@ -18,7 +18,7 @@ from shelfsight.session import checkpoint_dir
 
 GRAM = 4
 #: Characters of a block of text; no row of the index search is longer than this and the longest term.
-PIECE = 256
+PIECE = 128
 #: Sizes of the two fixed hash tables, powers of two.
 COUNT_SLOTS = 1 << 16
 ANCHOR_BITS = 1 << 20
@@ -69,8 +69,9 @@ def _pieces(docs: DataFrame, text: str, keep: list[str], tail: int) -> DataFrame
 
 def _places(pieces: DataFrame, *columns: str) -> DataFrame:
     """One row for each character of a body, with the gram that begins there (shorter at the end)."""
-    at = F.explode(F.sequence(F.lit(0), F.length("_body") - 1)).alias("_pos")
-    return pieces.select(*columns, "_body", at).withColumn("_gram", F.substr("_body", F.col("_pos") + 1, F.lit(GRAM)))
+    # Each match takes one code point, so places count as substring does; one pass over a body.
+    grams = F.regexp_extract_all("_body", F.lit(f"(?s)(?=(.{{1,{GRAM}}}))."), F.lit(1))
+    return pieces.select(*columns, "_body", F.posexplode(grams).alias("_pos", "_gram"))
 
 
 def gram_counts(docs: DataFrame, text: str, slots: int = COUNT_SLOTS) -> DataFrame:

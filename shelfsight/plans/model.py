@@ -26,9 +26,9 @@ DOC = "doc AS (SELECT doc_id AS video_id, text, lang, source AS channel FROM doc
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select(
+    return spread(table(spark, d, "conversations").select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("seg_no"),
-        (F.col("turn") * 30.0).alias("start_s"), "role", "text")
+        (F.col("turn") * 30.0).alias("start_s"), "role", "text"))
 
 
 SEG = ("seg AS (SELECT conv_id AS video_id, turn AS seg_no, turn*30e0 AS start_s, role, text "
