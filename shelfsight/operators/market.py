@@ -192,7 +192,13 @@ def affinity(categories: DataFrame, **overlaps: DataFrame) -> DataFrame:
     for name, wt in AFFINITY_WEIGHTS.items():
         if name in overlaps:
             score = score + F.coalesce(F.col(name), F.lit(0.0)) * wt
-    d = d.withColumn("score", score)
+    # The sample is the sum of the three overlaps that come from facts; 100 and more is full confidence.
+    sample = F.lit(0.0)
+    for name in ("video", "commerce", "creator"):
+        if name in overlaps:
+            sample = sample + F.coalesce(F.col(name), F.lit(0.0))
+    d = d.withColumn("score", score).withColumn("sample_size", half_up(sample).cast("long")).withColumn(
+        "confidence", cap(sample / 100, 1.0))
     relation = cascade([
         ((F.col("pa") == F.col("b")) | (F.col("pb") == F.col("a")), "parent_child"),
         (F.col("pa") == F.col("pb"), "sibling"), (F.col("score") >= 50, "adjacent")], "unrelated")

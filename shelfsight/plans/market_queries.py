@@ -206,9 +206,12 @@ def f12(spark, d):
 AB = [m.PROD, CAT, KWS, AFF]
 
 
-@query("f13_affinity", m.with_(*AB) + f"SELECT a, b, {r('score')} AS score, relation, {r('video')} AS video, {r('audience')} AS audience FROM aff")
+@query("f13_affinity", m.with_(*AB) + f"SELECT a, b, {r('score')} AS score, relation, {r('video')} AS video, {r('audience')} AS audience, "
+       f"{r('least((coalesce(video,0)+coalesce(commerce,0)+coalesce(creator,0))/100,1e0)')} AS confidence, "
+       "CAST(floor(coalesce(video,0)+coalesce(commerce,0)+coalesce(creator,0)+0.5e0) AS BIGINT) AS sample_size FROM aff")
 def f13(spark, d):
-    return _r6(pairs(spark, d).select("a", "b", "score", "relation", "video", "audience"), "score", "video", "audience")
+    x = pairs(spark, d).select("a", "b", "score", "relation", "video", "audience", "confidence", "sample_size")
+    return _r6(x, "score", "video", "audience", "confidence")
 
 
 @query("f14_estimated_overlap", m.with_(CAT, KWS, _ov("kw", "SELECT category, member FROM ckw")) + f"""SELECT a, b, {r('least(100,k*0.8e0+bo)')} AS video, {r('least(100,k*0.6e0+bo)')} AS commerce, {r('least(100,k*0.5e0+bo*0.5e0)')} AS creator, {r('least(100,k*0.7e0+bo)')} AS audience FROM (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfsight.functions import text as tx
 from shelfsight.operators import preprocess as p
+from shelfsight.operators import market as mk
 from shelfsight.operators.joins import PIECE, containment_join, gram_counts
 
 
@@ -122,6 +123,18 @@ def test_containment_join_of_empty_tables_and_stored_counts(spark):
     assert [tuple(x) for x in containment_join(d, t, "text", "term", counts=counts).collect()] == [(1, "soil", 0)]
 
 
+def test_affinity_sample_and_confidence(spark):
+    """The sum of video, commerce and creator overlaps; missing ones count 0, confidence stops at 1."""
+    c = spark.createDataFrame([("a", None), ("b", "a"), ("c", None)], "category string, parent string")
+
+    def part(name, rows):
+        return spark.createDataFrame(rows, f"a string, b string, {name} double")
+    got = mk.affinity(c, video=part("video", [("a", "b", 60.0), ("a", "c", 10.25)]), commerce=part("commerce", [("a", "b", 70.0)]),
+                      creator=part("creator", [("a", "c", 0.25)]), audience=part("audience", [("b", "c", 90.0)]))
+    assert {(r.a, r.b): (r.sample_size, r.confidence) for r in got.collect()} == {
+        ("a", "b"): (130, 1.0), ("a", "c"): (11, 0.105), ("b", "c"): (0, 0.0)}
+
+
 def test_alternation_prefers_the_longest():
     terms = ["rose", "rosemary", "ros", "tea rose", "a.b", "a"]
     pattern = re.compile(tx.alternation(terms))
