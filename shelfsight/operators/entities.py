@@ -14,7 +14,7 @@ from shelfsight.functions import fixed
 from shelfsight.functions import similarity as sim
 from shelfsight.functions import text as tx
 from shelfsight.functions.num import cap, cascade, clamp, half_up
-from shelfsight.operators.joins import containment_join, coverage_spans, within_spans_join
+from shelfsight.operators.joins import containment_join, coverage_spans, edit_ratio_join, salted_join, within_spans_join
 
 STAGES = [  # (stage, alias kind, match type, confidence)
     (1, "latin", "exact", 1.0), (2, "common", "exact", 0.95), (3, "synonym", "synonym", 0.9),
@@ -89,26 +89,30 @@ def fuzzy_candidates(queries: DataFrame, dictionary: DataFrame, threshold: float
     The score weighs word overlap .2, edit ratio .5 and Jaro-Winkler .3. Without a shared
     word it is at most .8, and reaches .8 only for equal strings, so for thresholds from .8
     up a shared word is a necessary condition and the equi-join on words loses nothing.
-    Lower thresholds (down to .55) also join on shared characters: an edit ratio above one
-    half leaves at least one character in common.
+    Below, pairs without a shared word need an edit ratio of (threshold - .3) / .5, which a
+    prefix-filter join on grams finds; thresholds go down to .55, where that ratio is one half.
+    Null names pair with nothing; words that many targets hold are split over tasks.
     """
     if threshold < 0.55:
         raise ValueError("thresholds below 0.55 have no exact blocking rule")
     al = alias_table(dictionary).where("kind IN ('latin','common','variety')").withColumn(
         "target", F.when(F.col("kind") == "variety", tx.normalise_name(F.col("alias"))).otherwise(F.col("alias")))
+    al = al.select("entry_pos", "kind", "alias_no", "target")
 
-    def keys(c):
-        words = F.split(c, " ")
-        return F.array_distinct(words if threshold >= 0.8 else F.concat(words, F.split(c, "")))
-    q = queries.select("query", "norm", F.explode(keys(F.col("norm"))).alias("_w"))
-    t = al.select("entry_pos", "kind", "alias_no", "target", F.explode(keys(F.col("target"))).alias("_w"))
+    def words(c):
+        return F.explode(F.array_distinct(F.split(c, " "))).alias("_w")
+    q = queries.select("norm").distinct().select("norm", words(F.col("norm")))
+    t = al.select("target").distinct().select("target", words(F.col("target")))
     a, b = F.col("norm"), F.col("target")
     word, edit = sim.word_overlap(a, b), sim.edit_ratio(a, b)
     whole = sim.contained_as_words(a, b)
     # The length band bounds the edit ratio and is tested inside the join.
     need = (threshold - 0.2 - 0.3) / 0.5
     band = (F.least(F.length(a), F.length(b)) >= F.greatest(F.length(a), F.length(b)) * need) | F.contains(b, a)
-    pairs = q.join(t, "_w").where(band).drop("_w").distinct()
+    pairs = salted_join(q, t, "_w").where(band).select("norm", "target")
+    if threshold < 0.8:
+        pairs = pairs.unionByName(edit_ratio_join(queries, al, "norm", "target", (threshold - 0.3) / 0.5 - 1e-9 if threshold > 0.55 else 0.5))
+    pairs = pairs.distinct()
     pairs = pairs.withColumn("_whole", whole).withColumn("_part", word * 0.2 + edit * 0.5)
     # Jaro-Winkler is at most 1: pairs that cannot reach the threshold never meet the UDF.
     pairs = pairs.where(F.col("_whole") | (F.col("_part") + 0.3 >= threshold - 1e-9))
@@ -117,6 +121,8 @@ def fuzzy_candidates(queries: DataFrame, dictionary: DataFrame, threshold: float
         equal_or_whole, F.col("_part") + sim.jaro_winkler(a, b) * 0.3)).where(F.col("score") >= threshold)
     # Per entry: latin, else the first common name, else the variety at 0.95 of its score.
     kind_rank = cascade([(F.col("kind") == "latin", 0), (F.col("kind") == "common", 1)], 2)
+    # Strings are scored once, then carried to every query and alias that has them.
+    pairs = pairs.select("norm", "target", "score").join(queries.select("query", "norm"), "norm").join(al, "target")
     best = pairs.groupBy("query", "entry_pos").agg(
         F.min(F.struct(kind_rank.alias("k"), "alias_no", "score")).alias("b"))
     return best.select("query", "entry_pos", F.when(

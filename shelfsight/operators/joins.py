@@ -222,3 +222,67 @@ def trailing_blocks(df: DataFrame, epoch: str, block: int) -> DataFrame:
         df.withColumn("_blk", F.explode(F.array(b, b + 1)))
         .withColumn("_own", F.col("_blk") == b)
     )
+
+
+#: Rows of one key on the split side of a salted join that go to one task.
+SALT_ROWS = 50_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, rows: int = SALT_ROWS) -> DataFrame:
+    """Inner equi-join on one key; a key with more than `rows` rows on the right is split.
+
+    The rows of such a key are dealt over as many places as it needs, and the left rows of the key
+    are copied to each. Null keys match nothing. The result equals that of a plain join. The place
+    is a hash of the row, the same when a task is run again; equal rows stay together.
+    """
+    sizes = right.groupBy(key).agg(F.ceil(F.count("*") / rows).cast("int").alias("_salts"))
+    a = left.join(sizes, key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    b = right.join(sizes, key).withColumn("_salt", F.pmod(F.xxhash64(*right.columns), F.col("_salts")).cast("int"))
+    return a.join(b.drop("_salts"), [key, "_salt"]).drop("_salt")
+
+
+def _numbered_grams(strings: DataFrame, text: str, key: str) -> DataFrame:
+    """(text, gram, occurrence, place, single): the padded two-character grams of each string."""
+    pad = F.concat(F.lit("\u0001"), F.col(text), F.lit("\u0001"))
+    each = strings.select(text, F.posexplode(F.transform(
+        F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substr(pad, i, F.lit(2)))).alias("_at", "_gram"))
+    # Occurrences of a gram inside one string; a group is as long as the string at most.
+    per = each.groupBy(text, "_gram").agg(F.array_sort(F.collect_list("_at")).alias("_ats"))
+    return per.select(text, (F.size("_ats") == 1).alias("_single"), "_gram", F.posexplode("_ats").alias("_nth", "_at")).withColumn(
+        key, F.concat_ws("\u0001", "_gram", F.col("_nth").cast("string"))).drop("_gram", "_nth")
+
+
+def edit_ratio_join(left: DataFrame, right: DataFrame, a: str, b: str, ratio: float, rows: int = SALT_ROWS) -> DataFrame:
+    """Distinct string pairs (a, b) with 1 - edit distance / longer length >= ratio, for ratio >= .5.
+
+    A prefix-filter join. An edit spoils two of a string's length + 1 padded grams at most, so a pair
+    shares at least longer * (2 * ratio - 1) + 1 of them. Grams are ordered by how many strings of both
+    sides hold them, the rarest first; then the first length + 1 - ceil(length * (2 * ratio - 1))
+    grams of each string hold a shared one, and only these are joined. Repeated grams of a string are
+    numbered. Lengths must allow the ratio, and a gram that both strings hold once must not have
+    moved further than the edits allow. What passes is compared in full before pairs are made
+    distinct, so only true pairs are shuffled again; frequent grams are split.
+
+    Null and empty strings pair with nothing; repeated rows count once; empty tables give no rows.
+    """
+    if ratio < 0.5:
+        raise ValueError("ratios below 0.5 share no gram for certain")
+    one = left.select(F.col(a).alias("_s")).where(F.length(a) > 0).distinct()
+    two = right.select(F.col(b).alias("_s")).where(F.length(b) > 0).distinct()
+    grams = [_numbered_grams(x, "_s", "_key") for x in (one, two)]
+    held = grams[0].select("_key").unionByName(grams[1].select("_key")).groupBy("_key").agg(F.count("*").alias("_held"))
+
+    def prefix(side: DataFrame, name: str) -> DataFrame:
+        size = F.length("_s")
+        first = size + 1 - F.ceil(size * (2 * ratio - 1) - 1e-9).cast("int")
+        order = F.array_sort(F.collect_list(F.struct("_held", "_key", "_at", "_single")))
+        kept = side.join(held, "_key").groupBy("_s").agg(order.alias("_all")).select(
+            F.col("_s").alias(name), F.explode(F.slice("_all", F.lit(1), first)).alias("_g"))
+        return kept.select(name, F.col("_g._key").alias("_key"), F.col("_g._at").alias(f"{name}_at"), F.col("_g._single").alias(f"{name}_single"))
+
+    pairs = salted_join(prefix(grams[0], "_a"), prefix(grams[1], "_b"), "_key", rows)
+    longer, shorter = F.greatest(F.length("_a"), F.length("_b")), F.least(F.length("_a"), F.length("_b"))
+    edits = longer * (1 - ratio) + 1e-9
+    moved = F.col("_a_single") & F.col("_b_single") & (F.abs(F.col("_a_at") - F.col("_b_at")) > edits)
+    near = pairs.where((longer - shorter <= edits) & ~moved).select("_a", "_b")
+    return near.where(F.levenshtein("_a", "_b") <= edits).distinct().select(F.col("_a").alias(a), F.col("_b").alias(b))

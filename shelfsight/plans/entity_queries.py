@@ -116,6 +116,27 @@ def c5(spark, d):
     return en.fuzzy_candidates(_rest(spark, d), m.dictionary(spark, d)).withColumn("score", half_up("score", 6))
 
 
+# The engine's own Jaro rounds an odd number of transposed characters down, so at .6 it is spelled out:
+# used characters of b turn into chr(1), matched ones of a are kept in order.
+JARO = (
+    "jr AS (SELECT DISTINCT a, b, greatest(length(a),length(b))//2-1 AS reach FROM ps WHERE a<>b AND "
+    "len(list_filter(wa, lambda w: list_contains(wb,w)))/greatest(len(wa),len(wb))*0.2e0+(1e0-levenshtein(a,b)/greatest(length(a),length(b)))*0.5e0+0.3e0>=0.59e0), "
+    "jm AS (SELECT a, b, list_reduce(list_prepend({'i':0,'c':'','s':b,'m':'','lo':0::BIGINT,'hi':0::BIGINT}, list_transform(range(1,length(a)+1), lambda i: "
+    "{'i':i::INT,'c':a[i:i],'s':'','m':'','lo':greatest(1,i-reach)::BIGINT,'hi':(i+reach)::BIGINT})), lambda x, e: CASE WHEN instr(x.s[e.lo:e.hi],e.c)>0 AND e.hi>=e.lo "
+    "THEN {'i':0,'c':'','s':x.s[1:e.lo+instr(x.s[e.lo:e.hi],e.c)-2]||chr(1)||x.s[e.lo+instr(x.s[e.lo:e.hi],e.c):],'m':x.m||e.c,'lo':0::BIGINT,'hi':0::BIGINT} ELSE x END) AS z FROM jr), "
+    "jt AS (SELECT a, b, z.m AS ma, array_to_string(list_transform(list_filter(range(1,length(b)+1), lambda k: z.s[k:k]=chr(1)), lambda k: b[k:k]),'') AS mb FROM jm), "
+    "jx AS (SELECT a, b, CASE WHEN ma='' THEN 0e0 ELSE (length(ma)/length(a)+length(ma)/length(b)+(length(ma)-len(list_filter(range(1,length(ma)+1), "
+    "lambda k: ma[k:k]<>mb[k:k]))/2e0)/length(ma))/3e0 END AS j FROM jt), "
+    "pt AS (SELECT ps.* EXCLUDE (j), coalesce(jx.j, 0e0) AS j FROM ps LEFT JOIN jx USING (a, b)), ")
+LOW = FUZZY.replace("s>=0.8e0", "s>=0.6e0").replace("FROM ps)", "FROM pt)").replace("sc AS (", JARO + "sc AS (")
+
+
+@query("c5_fuzzy_score_low", m.with_(*CB, LOW) + f"SELECT query, entry_pos, {r('score')} AS score FROM fz")
+def c5_low(spark, d):
+    """Every pair from .6 up, most of them without a shared word."""
+    return en.fuzzy_candidates(_rest(spark, d), m.dictionary(spark, d), threshold=0.6).withColumn("score", half_up("score", 6))
+
+
 @query("c6_batch_resolve", m.with_(*CB, FUZZY, RES) + f"SELECT query, entry_pos, match_type, {r('confidence')} AS confidence FROM res")
 def c6(spark, d):
     return en.resolve(name_queries(spark, d), m.dictionary(spark, d)).select(

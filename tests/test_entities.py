@@ -76,3 +76,35 @@ def test_co_occurrence_counts_mentions_at_one_second(spark):
     m = spark.createDataFrame(rows, "mention_id long, video_id long, entity string, t double, in_dictionary boolean")
     got = {r.key: (r.co_occurrences, r.with_known) for r in en.co_occurrence(m.withColumn("latin", F.lit(None).cast("string"))).collect()}
     assert got == {"rose": (2, False), "mint": (1, True), "fern": (0, False)}
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_edit_ratio_join_agrees_with_all_pairs(spark):
+    from shelfsight.operators.joins import edit_ratio_join
+    rng = random.Random(7)
+    made = ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 14))) for _ in range(90)]
+    made += ["aaaaaaaaaa", "aaaaaab", "baaaaaa", "abababab", "babababa", "x", "xy", "\U0001f339 rose", "rose \U0001f339"]
+    left, right = made[::2] + ["", None, made[0]], made[1::2] + made[:20] + ["", None]
+    a = spark.createDataFrame([(x, 1) for x in left], "name string, _key int")
+    b = spark.createDataFrame([(x, 2) for x in right], "target string, _salt int")
+    for ratio in (0.5, 0.6, 0.75, 1.0):
+        want = {(x, y) for x in left if x for y in right if y if _edits(x, y) <= max(len(x), len(y)) * (1 - ratio) + 1e-9}
+        got = [tuple(r) for r in edit_ratio_join(a, b, "name", "target", ratio, rows=5).collect()]
+        assert sorted(got) == sorted(want)
+    assert edit_ratio_join(a.limit(0), b, "name", "target", 0.6).count() == 0
+
+
+def test_salted_join_splits_a_hot_key_and_keeps_repeats(spark):
+    from shelfsight.operators.joins import salted_join
+    left = spark.createDataFrame([("hot", 1), ("hot", 1), ("cold", 2), (None, 3)], "k string, l int")
+    right = spark.createDataFrame([("hot", i % 7) for i in range(40)] + [("cold", 9), (None, 9)], "k string, r int")
+    got, want = salted_join(left, right, "k", rows=3), left.join(right, "k")
+    assert sorted(got.collect()) == sorted(want.collect())
