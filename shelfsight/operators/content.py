@@ -355,6 +355,20 @@ def vertical_lists(terms: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), ",").alias("keywords"))
 
 
+def vertical_terms(terms: DataFrame) -> DataFrame:
+    """terms(vertical, kind, cat_pos, pos, term): all keywords or brands of a vertical, one after the other.
+
+    Rows (vertical, kind, n, term), the lists of the categories in category order, repeats kept. Rows
+    are numbered inside a category and moved by the sizes of the categories before.
+    """
+    own = F.row_number().over(W.partitionBy("vertical", "kind", "cat_pos").orderBy("pos", "term"))
+    before = W.partitionBy("vertical", "kind").orderBy("cat_pos").rowsBetween(W.unboundedPreceding, -1)
+    sizes = terms.groupBy("vertical", "kind", "cat_pos").agg(F.count("*").alias("_n")).withColumn(
+        "_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return terms.withColumn("_own", own).join(sizes, ["vertical", "kind", "cat_pos"]).select(
+        "vertical", "kind", (F.col("_own") + F.col("_off")).cast("long").alias("n"), "term")
+
+
 def collect_feedback(entities: DataFrame, items: DataFrame) -> DataFrame:
     """Per video: counts, mean confidence, confident shoppable names and commerce counts."""
     e = entities.groupBy("video_id").agg(
@@ -414,8 +428,11 @@ def merged_names(rows: DataFrame, keep: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).drop("_o")
 
 
-def vertical_insights(folded: DataFrame, categories: DataFrame) -> DataFrame:
-    """folded(vertical, uses, videos, entities, items, avg_confidence); categories(vertical, category, n)."""
+def vertical_insights(folded: DataFrame, categories: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """folded(vertical, uses, videos, entities, items, avg_confidence); categories(vertical, category, n).
+
+    With names(vertical, rank, name) also the first ten shoppable names. Most used verticals first.
+    """
     w = W.partitionBy("vertical").orderBy(F.desc("n"), "category")
     top = categories.withColumn("_r", F.row_number().over(w)).where("_r <= 5").groupBy("vertical").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "category"))), lambda x: x["category"]), ",").alias("top_categories"))
@@ -428,4 +445,9 @@ def vertical_insights(folded: DataFrame, categories: DataFrame) -> DataFrame:
         (F.col("commercial_potential") == "low", "commerce extraction needs improvement")])
     text = F.concat_ws(" — ", F.concat(F.initcap("commercial_potential"), F.lit(" commerce yield")),
                        F.concat(F.col("videos").cast("string"), F.when(F.col("videos") == 1, " video analyzed").otherwise(" videos analyzed")), advice)
-    return d.withColumn("opportunity", text).join(top, "vertical", "left")
+    d = d.withColumn("opportunity", text).join(top, "vertical", "left")
+    if names is not None:
+        ten = names.where("rank <= 10").groupBy("vertical").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ",").alias("top_entities"))
+        d = d.join(ten, "vertical", "left")
+    return d.orderBy(F.desc("uses"), "vertical")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -205,6 +207,28 @@ def affinity(categories: DataFrame, **overlaps: DataFrame) -> DataFrame:
     return d.withColumn("relation", relation)
 
 
+def find_categories(wanted: DataFrame, categories: DataFrame) -> DataFrame:
+    """wanted(wanted) with the category meant, or null: categories(category, key, name).
+
+    A category is found by its key (the text in lower case, blanks as hyphens), by its name in any
+    case or by its id as written; the first by id where several match. One equi-join.
+    """
+    def forms(**columns):
+        return F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("form")) for k, c in columns.items()])).alias("_f")
+    w = F.col("wanted")
+    asked = wanted.select("wanted").distinct().select("wanted", forms(
+        key=F.regexp_replace(F.lower(w), r"\s+", "-"), name=F.lower(w), id=w)).select("wanted", "_f.*")
+    known = categories.select("category", forms(key=F.col("key"), name=F.lower("name"), id=F.col("category"))).select("category", "_f.*")
+    return asked.join(known, ["kind", "form"], "left").groupBy("wanted").agg(F.min("category").alias("category"))
+
+
+def category_affinity(wanted: DataFrame, categories: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges(source, target, score, relation) of the categories wanted; a row without target where
+    the category is unknown or has no relationship."""
+    found = find_categories(wanted, categories).withColumnRenamed("category", "source")
+    return found.join(edges, "source", "left").select("wanted", "source", "target", "score", "relation")
+
+
 def estimated_overlaps(pairs: DataFrame) -> DataFrame:
     """Fallback without facts: pairs(keyword, related) -> overlaps from keyword similarity."""
     bonus = F.when(F.col("related"), 25.0).otherwise(0.0)
@@ -432,6 +456,25 @@ def route_stats(routed: DataFrame) -> DataFrame:
     return routed.groupBy("route").agg(F.count("*").alias("n"), F.sum(F.when(F.col("route") == "keyword", 0.001).otherwise(0.0)).alias("cost_saved"))
 
 
+def preset_stats(scored: DataFrame, presets: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """What each preset of thresholds would cost: one row for each, also over no programs.
+
+    Programs are counted by their relevance first, so presets multiply a hundred rows at most.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("preset"), F.lit(h).alias("_high"), F.lit(lo).alias("_low"))
+                               for k, (h, lo) in (presets or fixed.HYBRID_PRESETS).items()]))
+    per = scored.groupBy("relevance").agg(F.count("*").alias("_n"))
+    names = scored.sparkSession.range(1).select(each.alias("_p")).select("_p.*")
+    d = names.join(per.withColumnRenamed("relevance", "_rel").hint("broadcast"), F.lit(True), "left")
+    sure = (F.col("_rel") >= F.col("_high")) | (F.col("_rel") <= F.col("_low"))
+    d = d.groupBy("preset").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("processed"),
+        F.coalesce(F.sum(F.when(sure, F.col("_n"))), F.lit(0)).alias("keyword_only"))
+    d = d.withColumn("ai_calls", F.col("processed") - F.col("keyword_only")).withColumn("cost_saved", F.col("keyword_only") * 0.001)
+    return d.withColumn("ai_percentage", F.coalesce(half_up(ratio("ai_calls", "processed") * 100, 1), F.lit(0.0))).withColumn(
+        "cost_per_scan", F.col("ai_calls") * 0.001)
+
+
 def discover(scored: DataFrame, minimum: int = 50) -> DataFrame:
     """commission_groups ARRAY<STRUCT<min,max>>; the minimum includes 0, the true floor is kept too."""
     zero = F.array(F.lit(0.0))
@@ -453,6 +496,34 @@ def coverage_report(programs: DataFrame, keys: list[str]) -> DataFrame:
         *[F.count_if(F.element_at("category_flags", F.lit(k))).alias(f"n_{k}") for k in keys])
 
 
+def top_programs(programs: DataFrame, keep: int = 10) -> DataFrame:
+    """The `keep` most relevant programs (ties to the lower id) with their line of the report."""
+    best = programs.orderBy(F.desc("relevance"), "program_id").limit(keep)
+    best = best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("relevance"), "program_id")))  # `keep` rows
+    place = F.coalesce("country", F.lit("Location unknown"))
+    return best.select("rank", "program_id", F.concat(
+        F.col("rank").cast("string"), F.lit(". "), "name", F.lit(" ("), F.col("relevance").cast("string"), F.lit("/100) - "), place).alias("line"))
+
+
+def coverage_text(programs: DataFrame, keys: list[str], keep: int = 10) -> DataFrame:
+    """The coverage report as one text; without programs a single sentence."""
+    report = coverage_report(programs, keys)
+    top = top_programs(programs, keep).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("_top"))
+    label = lambda k: re.sub(r"(?<=[a-z])(?=[A-Z])", " ", k).title()
+    share = half_up(F.col("located") / F.col("programs") * 100).cast("long").cast("string")
+    text = lambda col: F.col(col).cast("string")
+    lines = [F.lit("AFFILIATE DISCOVERY REPORT"), F.lit("=========================="), F.lit(""),
+             F.concat(F.lit("Total Programs Discovered: "), text("programs")),
+             F.concat(F.lit("Programs with Location Data: "), text("located"), F.lit(" ("), share, F.lit("%)")),
+             F.concat(F.lit("Average Relevance Score: "), half_up("avg_relevance", 1).cast("string"), F.lit("/100")),
+             F.lit(""), F.lit("Coverage by Vertical:"),
+             *[F.concat(F.lit(f"- {label(k)}: "), text(f"n_{k}")) for k in keys],
+             F.lit(""), F.lit("Top Programs:"), F.col("_top")]
+    return report.crossJoin(top).select(  # one row each
+        F.when(F.col("programs") == 0, "No programs discovered.").otherwise(F.concat_ws("\n", *lines)).alias("report"))
+
+
 def select_programs(programs: DataFrame, category: str) -> DataFrame:
     """Programs whose terms or description hold any word of the category; all when none does."""
     words = [w for w in category.lower().replace(",", " ").split() if len(w) > 2]

@@ -304,6 +304,18 @@ def e21(spark, d):
     return ct.vertical_lists(t)
 
 
+@query("e21_vertical_brands", """WITH c AS (SELECT p_type AS vertical, p_size%7 AS cat_pos, min(p_partkey) AS pos, 'brand' AS kind, p_brand AS term FROM part GROUP BY ALL
+ UNION ALL SELECT p_type, p_size%7, min(p_partkey), 'keyword', p_name FROM part GROUP BY p_type, p_size%7, p_name)
+SELECT vertical, kind, row_number() OVER (PARTITION BY vertical, kind ORDER BY cat_pos, pos, term) AS n, term FROM c""")
+def e21_brands(spark, d):
+    """Categories of a vertical: parts by p_size % 7; each knows its brands and its keywords."""
+    part = table(spark, d, "part").select(
+        F.col("p_type").alias("vertical"), (F.col("p_size") % 7).alias("cat_pos"), F.col("p_partkey"), F.explode(F.array(
+            F.struct(F.lit("brand").alias("kind"), F.col("p_brand").alias("term")),
+            F.struct(F.lit("keyword").alias("kind"), F.col("p_name").alias("term")))).alias("t"))
+    return ct.vertical_terms(part.groupBy("vertical", "t.kind", "cat_pos", "t.term").agg(F.min("p_partkey").alias("pos")))
+
+
 FB = ("fbe AS (SELECT video_id, count(*) AS entity_count, avg(0.5e0+discount*4e0) AS avg_confidence, string_agg(DISTINCT CASE WHEN l_quantity>20 AND 0.5e0+discount*4e0>0.7e0 THEN name END, ',' ORDER BY CASE WHEN l_quantity>20 AND 0.5e0+discount*4e0>0.7e0 THEN name END) AS names FROM prod GROUP BY video_id), "
       "fbi AS (SELECT video_id, sum(n)::BIGINT AS item_count, string_agg(category||'='||n, ',' ORDER BY category) AS cats FROM (SELECT video_id, category, count(*) AS n FROM prod WHERE l_quantity>30 GROUP BY ALL) GROUP BY video_id)")
 
@@ -343,13 +355,16 @@ def e23k(spark, d):
     return ct.merged_names(rows, 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("e24_vertical_insights", m.with_(m.PROD, FB) + """, f AS (SELECT o_orderpriority AS vertical, count(*) AS uses, sum(entity_count) AS en, sum(coalesce(item_count,0)) AS it FROM fbe LEFT JOIN fbi USING (video_id) JOIN orders ON o_orderkey=video_id GROUP BY ALL),
+INSIGHTS = m.with_(m.PROD, FB) + """, f AS (SELECT o_orderpriority AS vertical, count(*) AS uses, sum(entity_count) AS en, sum(coalesce(item_count,0)) AS it FROM fbe LEFT JOIN fbi USING (video_id) JOIN orders ON o_orderkey=video_id GROUP BY ALL),
  c AS (SELECT o_orderpriority AS vertical, category, count(*) AS n FROM prod JOIN orders ON o_orderkey=video_id WHERE l_quantity>30 GROUP BY ALL),
  t AS (SELECT vertical, string_agg(category, ',' ORDER BY n DESC, category) AS tc FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY vertical ORDER BY n DESC, category)<=5) GROUP BY vertical),
  i AS (SELECT *, CASE WHEN uses>=10 THEN 'stable' WHEN uses>=3 THEN 'developing' ELSE 'emerging' END AS mat, floor(it/uses*10+0.5e0)/10 AS ai, floor(en/uses*10+0.5e0)/10 AS ae FROM f)
 SELECT vertical, mat AS maturity, ai AS avg_items, ae AS avg_entities, CASE WHEN ai>=3 THEN 'high' WHEN ai>=1 THEN 'medium' ELSE 'low' END AS commercial_potential,
  CASE WHEN ai>=3 THEN 'High' WHEN ai>=1 THEN 'Medium' ELSE 'Low' END||' commerce yield — '||uses||' videos analyzed'||CASE WHEN mat='emerging' THEN ' — needs more data to stabilize' WHEN ai>=3 AND mat='developing' THEN ' — consider building a dedicated vertical config' WHEN ai<1 THEN ' — commerce extraction needs improvement' ELSE '' END AS opportunity,
- tc AS top_categories FROM i LEFT JOIN t USING (vertical)""")
+ tc AS top_categories FROM i LEFT JOIN t USING (vertical)"""
+
+
+@query("e24_vertical_insights", INSIGHTS)
 def e24(spark, d):
     f = vertical_feedback(spark, d)
     folded = f.groupBy("vertical").agg(F.count("*").alias("uses"), F.countDistinct("video_id").alias("videos"),
@@ -358,3 +373,23 @@ def e24(spark, d):
     cats = m.products(spark, d).where("l_quantity > 30").join(o, "video_id").groupBy("vertical", "category").agg(F.count("*").alias("n"))
     return ct.vertical_insights(folded, cats).select(
         "vertical", "maturity", "avg_items", "avg_entities", "commercial_potential", "opportunity", "top_categories")
+
+
+# The same with uses, the mean confidence and the first ten confident shoppable names of each vertical.
+REPORT = INSIGHTS.replace("sum(entity_count) AS en,", "sum(entity_count) AS en, floor(sum(entity_count*avg_confidence)/sum(entity_count)*1000+0.5e0)/1000 AS avg_confidence,").replace(
+    "\nSELECT vertical,", """,
+ nm AS (SELECT o_orderpriority AS vertical, name, min(video_id) AS o FROM prod JOIN orders ON o_orderkey=video_id WHERE l_quantity>20 AND 0.5e0+discount*4e0>0.7e0 GROUP BY ALL),
+ ten AS (SELECT vertical, string_agg(name, ',' ORDER BY o, name) AS top_entities FROM (SELECT * FROM nm QUALIFY row_number() OVER (PARTITION BY vertical ORDER BY o, name)<=10) GROUP BY vertical)
+SELECT uses, avg_confidence, top_entities, vertical,""") + " LEFT JOIN ten USING (vertical)"
+
+
+@query("e24_vertical_report", REPORT)
+def e24_report(spark, d):
+    folded = ct.fold_feedback(vertical_feedback(spark, d)).withColumn("videos", F.col("uses"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("video_id"), F.col("o_orderpriority").alias("vertical"))
+    p = m.products(spark, d).join(o, "video_id")
+    cats = p.where("l_quantity > 30").groupBy("vertical", "category").agg(F.count("*").alias("n"))
+    sure = p.where((F.col("l_quantity") > 20) & (F.col("discount") * 4.0 + 0.5 > 0.7))
+    names = ct.merged_names(sure.select("vertical", F.col("video_id").alias("ord"), "name"), 50)
+    return ct.vertical_insights(folded, cats, names).select(
+        "uses", "avg_confidence", "top_entities", "vertical", "maturity", "avg_items", "avg_entities", "commercial_potential", "opportunity", "top_categories")

@@ -228,6 +228,19 @@ def f15(spark, d):
     return _r6(x.select("target", "score", "relation"), "score").orderBy(F.desc("score"), "target")
 
 
+WANTED = ("nm AS (SELECT category, 'brand-number-'||category[7:] AS key, 'Brand Number '||category[7:] AS name FROM cat), "
+          "wt AS (SELECT category AS wanted, category FROM nm UNION ALL SELECT upper(name), category FROM nm UNION ALL SELECT key, category FROM nm UNION ALL SELECT 'no '||key, NULL FROM nm)")
+
+
+@query("f15_affinity_lookup", m.with_(*AB, WANTED) + f"SELECT wanted, category AS source, target, {r('score')} AS score, relation FROM wt LEFT JOIN ed ON source=category")
+def f15_lookup(spark, d):
+    """Every brand by id, by name in capitals and by key, and as many names that no brand has."""
+    number = F.substring("category", 7, 9)
+    known = categories(spark, d).select("category", F.concat(F.lit("brand-number-"), number).alias("key"), F.concat(F.lit("Brand Number "), number).alias("name"))
+    wanted = known.select(F.explode(F.array(F.col("category"), F.upper("name"), F.col("key"), F.concat(F.lit("no "), "key"))).alias("wanted"))
+    return _r6(mk.category_affinity(wanted, known, mk.oriented(pairs(spark, d))), "score")
+
+
 @query("f16_expansion_paths", m.with_(*AB) + f""", d1 AS (SELECT source, target, score, row_number() OVER (PARTITION BY source ORDER BY floor(score*1e9+0.5e0) DESC, target) AS rank FROM ed WHERE score>=20 QUALIFY rank<=5),
  h2 AS (SELECT d1.source, d1.rank, e.target AS nxt, row_number() OVER (PARTITION BY d1.source, d1.rank ORDER BY floor(e.score*1e9+0.5e0) DESC, e.target) AS o FROM d1 JOIN ed e ON e.source=d1.target AND e.score>=15 AND e.target<>d1.source)
 SELECT d1.source, d1.rank, d1.source||'>'||d1.target||coalesce('>'||nxt,'') AS path, {r('score')} AS score,
@@ -410,6 +423,13 @@ def f29(spark, d):
     return _r6(mk.route_stats(mk.route(mk.keyword_relevance(programs(spark, d)), 70, 30)), "cost_saved")
 
 
+@query("f29_filter_presets", m.with_(PRG, REL) + f"""SELECT preset, count(*) AS processed, count_if(s) AS keyword_only, count_if(NOT s) AS ai_calls, {r('count_if(s)*0.001e0')} AS cost_saved,
+ floor(count_if(NOT s)/count(*)*1000+0.5e0)/10 AS ai_percentage, {r('count_if(NOT s)*0.001e0')} AS cost_per_scan FROM (SELECT preset, relevance>=hi OR relevance<=lo AS s FROM rel,
+ (VALUES ('aggressive-cost-saving',70,30),('balanced',80,20),('quality-first',90,10)) v(preset,hi,lo)) GROUP BY preset""")
+def f29_presets(spark, d):
+    return _r6(mk.preset_stats(mk.keyword_relevance(programs(spark, d))), "cost_saved", "cost_per_scan")
+
+
 @query("f30_program_discovery", m.with_(PRG, REL) + """SELECT program_id, relevance, CASE WHEN program_id%4=0 THEN 0e0 ELSE least(program_id%7+1,5,0)::DOUBLE END AS commission_min,
  CASE WHEN program_id%4=0 THEN 0e0 ELSE greatest(program_id%13+8,9,0)::DOUBLE END AS commission_max, CASE WHEN program_id%4<>0 THEN least(program_id%7+1,5)::DOUBLE END AS commission_floor FROM rel WHERE relevance>=60""")
 def f30(spark, d):
@@ -428,6 +448,28 @@ def f32(spark, d):
     return _r6(x, "avg_relevance")
 
 
+TOP = ("top AS (SELECT row_number() OVER (ORDER BY relevance DESC, program_id) AS rank, program_id, name||' ('||relevance||'/100) - '||coalesce(country,'Location unknown') AS l "
+       "FROM rel WHERE relevance>=50 ORDER BY rank LIMIT 10)")
+
+
+@query("f32_top_programs", m.with_(PRG, REL, TOP) + "SELECT rank, program_id, rank||'. '||l AS line FROM top")
+def f32_top(spark, d):
+    best = mk.top_programs(mk.keyword_relevance(programs(spark, d)).where("relevant"))
+    return best.withColumn("rank", F.col("rank").cast("long"))
+
+
+def _title(key):
+    return "".join(f" {x}" if x.isupper() else x for x in key).strip().title()
+
+
+@query("f32_coverage_text", m.with_(PRG, REL, TOP) + "SELECT array_to_string(['AFFILIATE DISCOVERY REPORT','==========================','','Total Programs Discovered: '||count(*),"
+       "'Programs with Location Data: '||count(country)||' ('||floor(count(country)/count(*)*100+0.5e0)::BIGINT||'%)','Average Relevance Score: '||(floor(avg(relevance)*10+0.5e0)/10)||'/100','',"
+       "'Coverage by Vertical:'," + ",".join(f"'- {_title(k)}: '||count_if(n_{k}>0)" for k in _N) +
+       ",'','Top Programs:',(SELECT string_agg(rank||'. '||l, chr(10) ORDER BY rank) FROM top)],chr(10)) AS report FROM rel WHERE relevance>=50")
+def f32_text(spark, d):
+    return mk.coverage_text(mk.keyword_relevance(programs(spark, d)).where("relevant"), list(fixed.PROGRAM_KEYWORDS))
+
+
 @query("a10_program_selection", m.with_(PRG) + "SELECT program_id, name FROM prg WHERE contains(lower(description),'seed') OR contains(lower(description),'tools') OR contains(lower(terms),'seed')")
 def a10(spark, d):
     return mk.select_programs(programs(spark, d), "Seed, tools of").select("program_id", "name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shelfsight.functions import fixed
@@ -14,6 +16,7 @@ from shelfsight.operators.content import hemisphere_of, season_of
 from shelfsight.plans import entity_queries as eq
 from shelfsight.plans import model as m
 from shelfsight.plans.registry import query, r, table
+from shelfsight.session import checkpoint_dir
 from shelfsight.sources import captions, feeds, store
 
 # Caption bodies are built from conversation turns, then parsed back.
@@ -355,3 +358,36 @@ def h5(spark, d):
     pick = lambda ok: F.transform(F.filter("_t", lambda x: x["ok"] == ok), lambda x: x["s"])
     runs = table(spark, d, "documents").select("doc_id", tagged.alias("_t")).select("doc_id", pick(True).alias("completed"), pick(False).alias("failed"))
     return ql.stage_rates(runs).withColumn("completion_rate", half_up("completion_rate", 6))
+
+
+FILE_ENTRIES = 500
+BROKEN_FILE, BROKEN_ENTRY = '[{"latinName":', '{"usageCount":"many"}'
+
+
+def dictionary_folder(spark, d):
+    """The parts as dictionary files of FILE_ENTRIES keys each, a broken element after every 50th
+    entry and a broken file after every file."""
+    path = f"{checkpoint_dir(spark)}/dictionary-files-{uuid.uuid4().hex}"
+    entry = F.to_json(F.struct(
+        F.col("p_name").alias("latinName"), F.array("p_brand").alias("commonNames"), F.array("p_type").alias("synonyms"), F.col("p_size").alias("usageCount")))
+    bodies = F.when(F.col("p_partkey") % 50 == 0, F.array(entry, F.lit(BROKEN_ENTRY))).otherwise(F.array(entry))
+    chunk = F.lpad(F.floor(F.col("p_partkey") / FILE_ENTRIES).cast("string"), 18, "0")
+    files = table(spark, d, "part").groupBy(chunk.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", bodies.alias("b")))).alias("_all"))
+    text = F.concat(F.lit("["), F.array_join(F.flatten(F.transform("_all", lambda x: x["b"])), ","), F.lit("]"))
+    each = F.array(F.struct(F.lit("a").alias("part"), text.alias("value")), F.struct(F.lit("b").alias("part"), F.lit(BROKEN_FILE).alias("value")))
+    out = files.select("chunk", F.explode(each).alias("f")).select(F.concat_ws("-", "chunk", "f.part").alias("file"), "f.value")
+    out.write.partitionBy("file").text(path)
+    return path
+
+
+@query("a7_dictionary_files", """SELECT row_number() OVER (ORDER BY p_partkey) AS entry_pos, p_name AS latin, p_brand AS common, p_type AS synonyms, p_size::BIGINT AS usage_count FROM part""")
+def a7_files(spark, d):
+    e = feeds.dictionary_entries(feeds.dictionary_files(spark, dictionary_folder(spark, d)))
+    return e.select("entry_pos", "latin", F.array_join("common", ",").alias("common"), F.array_join("synonyms", ",").alias("synonyms"), "usage_count")
+
+
+@query("a7_dictionary_rejects", f"""SELECT body, whole_file, count(*) AS n FROM (SELECT '{BROKEN_ENTRY}' AS body, false AS whole_file FROM part WHERE p_partkey%50=0
+ UNION ALL SELECT DISTINCT ON (p_partkey//{FILE_ENTRIES}) '{BROKEN_FILE}', true FROM part) GROUP BY ALL""")
+def a7_rejects(spark, d):
+    x = feeds.dictionary_rejects(feeds.dictionary_files(spark, dictionary_folder(spark, d)))
+    return x.groupBy(F.rtrim("body").alias("body"), F.col("place").isNull().alias("whole_file")).agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from shelfsight.functions.num import c
 
@@ -109,15 +110,48 @@ def rejected(results: DataFrame) -> DataFrame:
     return results.where("NOT ok").select("video_id", "body")
 
 
-def dictionary_file(spark: SparkSession, path: str) -> DataFrame:
-    """Dictionary JSON (an array of entries) with an explicit schema; bad rows keep `_corrupt`."""
-    schema = ("latinName string, commonNames array<string>, synonyms array<string>, genus string, species string, variety string, "
-              "tradeNames array<string>, taxonomyLevel string, usageCount bigint, ambiguityScore double, _corrupt string")
-    d = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    pos = F.monotonically_increasing_id() + 1  # file order
+DICTIONARY_ENTRY = (
+    "latinName string, commonNames array<string>, synonyms array<string>, genus string, species string, variety string, "
+    "tradeNames array<string>, taxonomyLevel string, usageCount bigint, ambiguityScore double, _corrupt string")
+
+
+def dictionary_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, body, entry, ok): the elements of every dictionary file below a folder.
+
+    A file is one JSON array of entries and is parsed whole in one row. An element is ok when it is an
+    object of the expected types with a Latin name. A file that is no array gives one row that is not
+    ok, without a place; an empty array gives none.
+    """
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"), F.from_json("value", "array<string>").alias("_items"))
+    kinds = {"columnNameOfCorruptRecord": "_corrupt"}
+    each = raw.where("_items IS NOT NULL").select("file", F.posexplode("_items").alias("place", "body")).withColumn(
+        "entry", F.from_json("body", DICTIONARY_ENTRY, kinds))
+    ok = F.col("entry").isNotNull() & F.col("entry._corrupt").isNull() & (F.length(F.trim("entry.latinName")) > 0)
+    each = each.withColumn("ok", F.coalesce(ok, F.lit(False)))
+    broken = raw.where("_items IS NULL").select(
+        "file", F.lit(None).cast("int").alias("place"), "body", F.lit(None).cast(each.schema["entry"].dataType).alias("entry"), F.lit(False).alias("ok"))
+    return each.unionByName(broken)
+
+
+def dictionary_entries(elements: DataFrame) -> DataFrame:
+    """The entries of `dictionary_files` as a dictionary, numbered from 1 in file order.
+
+    Files are ordered by path. The number is the place among the good entries of the file plus the
+    sizes of the files before, so only one row for each file is ordered as a whole.
+    """
+    good = elements.where("ok")
+    own = F.row_number().over(W.partitionBy("file").orderBy("place"))
+    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    sizes = good.groupBy("file").agg(F.count("*").alias("_n")).select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     empty = F.array().cast("array<string>")
-    return d.where("_corrupt IS NULL").select(
-        pos.alias("entry_pos"), F.col("latinName").alias("latin"), "genus", "species", "variety",
-        F.coalesce("commonNames", empty).alias("common"), F.coalesce("synonyms", empty).alias("synonyms"),
-        F.coalesce("tradeNames", empty).alias("trade"), F.coalesce("usageCount", F.lit(0)).alias("usage_count"),
-        F.coalesce("ambiguityScore", F.lit(0.0)).alias("ambiguity"), F.col("taxonomyLevel").alias("level"))
+    return good.withColumn("_own", own).join(sizes, "file").select(
+        (F.col("_own") + F.col("_off")).cast("long").alias("entry_pos"), F.col("entry.latinName").alias("latin"), "entry.genus", "entry.species",
+        "entry.variety", F.coalesce("entry.commonNames", empty).alias("common"), F.coalesce("entry.synonyms", empty).alias("synonyms"),
+        F.coalesce("entry.tradeNames", empty).alias("trade"), F.coalesce("entry.usageCount", F.lit(0)).alias("usage_count"),
+        F.coalesce("entry.ambiguityScore", F.lit(0.0)).alias("ambiguity"), F.col("entry.taxonomyLevel").alias("level"))
+
+
+def dictionary_rejects(elements: DataFrame) -> DataFrame:
+    """(file, place, body) of what is no entry; a null place marks a whole file."""
+    return elements.where("NOT ok").select("file", "place", "body")
