@@ -390,4 +390,4 @@ def a7_files(spark, d):
  UNION ALL SELECT DISTINCT ON (p_partkey//{FILE_ENTRIES}) '{BROKEN_FILE}', true FROM part) GROUP BY ALL""")
 def a7_rejects(spark, d):
     x = feeds.dictionary_rejects(feeds.dictionary_files(spark, dictionary_folder(spark, d)))
-    return x.groupBy(F.rtrim("body").alias("body"), F.col("place").isNull().alias("whole_file")).agg(F.count("*").alias("n"))
+    return x.groupBy(F.regexp_replace("body", r"\n$", "").alias("body"), F.col("place").isNull().alias("whole_file")).agg(F.count("*").alias("n"))
