@@ -122,8 +122,23 @@ def word_count(text: Column) -> Column:
 
 
 def keywords_found(text: Column, keywords: list[str]) -> Column:
-    """Distinct keywords lying inside a word of the text, in list order."""
-    return let(F.lower(text), lambda t: F.filter(F.lit(single_words(keywords)), lambda k: F.contains(t, k)))
+    """Distinct keywords lying inside a word of the text, in list order.
+
+    One pass takes the longest keyword at each place; the keywords that begin another one are
+    found by it as well.
+    """
+    words = [k for k in dict.fromkeys(single_words(keywords)) if k]
+    if not words:
+        return F.lit([]).cast("array<string>")
+    known = set(words)
+    begins = sorted({k[:n] for k in words for n in range(1, len(k)) if k[:n] in known})
+    longest = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?=(" + alternation(words) + "))."), F.lit(1)))
+
+    def every(hit):
+        if not begins:
+            return hit
+        return F.array_union(hit, F.filter(F.lit(begins), lambda k: F.exists(hit, lambda x: F.startswith(x, k))))
+    return let(let(longest, every), lambda hit: F.filter(F.lit(words), lambda k: F.array_contains(hit, k)))
 
 
 def entity_focus(text: Column, keywords: list[str], min_density: float = 0.02, aggressive: bool = True) -> Column:
@@ -140,9 +155,32 @@ def entity_focus(text: Column, keywords: list[str], min_density: float = 0.02, a
     return let(F.struct(text.alias("t"), keywords_found(text, keywords).alias("found")), build)
 
 
-def context_windows(text: Column, keywords: list[str], window: int = 200, slack: int = 50) -> Column:
+def doubled(keywords: list[str]) -> list[str]:
+    """The shortest strings in which a keyword overlaps itself, such as `banana` + `na` of `anana`."""
+    return sorted({k + k[b:] for k in keywords for b in range(1, len(k)) if k[:b] == k[-b:]})
+
+
+def _pieces_apart(t: Column, keywords: list[str]) -> Column:
+    """t cut where a keyword starts; of a keyword's overlapping hits the leftmost ones that lie apart count."""
+    found = F.filter(F.lit(keywords), lambda k: F.contains(F.lower(t), k))
+
+    def places(k):
+        between = F.split(t, F.concat(F.lit("(?iu)\\Q"), k, F.lit("\\E")), -1)
+        return let(F.transform(between, F.length), lambda n: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(n) - 1, F.lit(1))),
+            lambda i: F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * F.length(k)))
+    starts = F.array_sort(F.array_union(F.array(F.lit(0)), F.flatten(F.transform(found, places))))
+    return let(starts, lambda at: F.transform(at, lambda p, i: F.substr(
+        t, p + 1, F.coalesce(F.get(at, i + 1), F.length(t)) - p)))
+
+
+def context_windows(text: Column, keywords: list[str], window: int = 200, slack: int = 50, overlapping: bool = True) -> Column:
     """Text within `window` characters of a keyword hit, gaps marked by ' ... '.
 
+    A keyword may overlap itself (`ana` in `banana`): each of its places is a hit, or, unless
+    `overlapping`, only the leftmost ones that lie apart. Few texts hold such a place; these are
+    cut keyword by keyword, the others as follows.
+
     The text is cut at every position where a keyword starts (a zero-width lookahead finds
     overlapping hits too). Two hits share a window unless the piece between their starts is
     longer than 2*window + slack, so only piece lengths matter and the job is one linear
@@ -150,6 +188,13 @@ def context_windows(text: Column, keywords: list[str], window: int = 200, slack:
     """
     alt = "(?iu)(?:" + alternation(keywords) + ")"
     limit = 2 * window + slack
+    twice = [] if overlapping else doubled(keywords)
+
+    def cut(t):
+        at_each = F.split(t, "(?=" + alt + ")")
+        if not twice:
+            return at_each
+        return F.when(t.rlike("(?iu)(?:" + alternation(twice) + ")"), _pieces_apart(t, keywords)).otherwise(at_each)
 
     def join(pieces):
         n = F.size(pieces)
@@ -166,7 +211,7 @@ def context_windows(text: Column, keywords: list[str], window: int = 200, slack:
         return F.array_join(F.transform(F.split(glued, MARK), strip_ws), " ... ")
 
     def build(t):
-        out = F.when(t.rlike(alt), let(F.split(t, "(?=" + alt + ")"), join)).otherwise(F.lit(""))
+        out = F.when(t.rlike(alt), let(cut(t), join)).otherwise(F.lit(""))
         return let(out, lambda o: F.when(F.length(o) > F.length(t), t).otherwise(o))
     return let(text, build)
 

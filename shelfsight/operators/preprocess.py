@@ -21,6 +21,7 @@ class Options:
     window: int = 200
     aggressive: bool = True
     aggressiveness: float = 0.5  # below 0.3 stages 2-4 are skipped
+    overlapping: bool = True  # whether hits of a keyword that overlap each other all count
 
 
 def preprocess(docs: DataFrame, keywords: list[str] | None = None, options: Options = Options()) -> DataFrame:
@@ -47,7 +48,7 @@ def preprocess(docs: DataFrame, keywords: list[str] | None = None, options: Opti
         d = step(d.withColumn("sentences_removed", F.col("_x.dropped")), F.col("_x.text"))
         d = d.withColumn("_x", tx.entity_focus(F.col("_t"), keywords, options.min_density, options.aggressive))
         d = step(d.withColumn("keywords_found", F.size("_x.found").cast("long")), F.col("_x.text"))
-        d = step(d, tx.context_windows(F.col("_t"), keywords, options.window))
+        d = step(d, tx.context_windows(F.col("_t"), keywords, options.window, overlapping=options.overlapping))
         ran += [2, 3, 4]
     else:
         d = d.withColumn("sentences_removed", zero).withColumn("keywords_found", zero)

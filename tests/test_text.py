@@ -60,6 +60,39 @@ def test_context_windows_against_brute_force(spark, seed):
     assert got == {i: windows_by_hand(t, kws, 20) for i, t in rows}
 
 
+def test_context_windows_of_hits_that_lie_apart(spark):
+    # anana at 0 overlaps itself at 2; kayak at 33 ends where kayak at 37 begins.
+    texts = ["ananana" + "x" * 60 + "anana", "x" * 30 + "zz kayakayak " + "y" * 50, "rose", ""]
+    kws = ["anana", "kayak", "rose"]
+
+    def apart(text, w, slack=50):
+        hits = sorted({x.start() for k in kws for x in re.finditer(k, text)})
+        spans = []
+        for h in hits:
+            s, e = max(0, h - w), min(len(text), h + w)
+            if spans and s <= spans[-1][1] + slack:
+                spans[-1][1] = max(e, spans[-1][1])
+            else:
+                spans.append([s, e])
+        out = " ... ".join(text[s:e].strip() for s, e in spans)
+        return text if len(out) > len(text) else out
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r.o for r in df.select(tx.context_windows(F.col("text"), kws, 5, overlapping=False).alias("o")).collect()]
+    assert got == [apart(t, 5) for t in texts]
+    full = [r.o for r in df.select(tx.context_windows(F.col("text"), kws, 5).alias("o")).collect()]
+    assert full == [windows_by_hand(t, kws, 5) for t in texts] and full != got
+    docs = spark.createDataFrame([(1, "The kayakayak " + "y" * 50)], "video_id long, text string")
+    two = [p.preprocess(docs, kws, p.Options(window=5, overlapping=o)).head().processed for o in (True, False)]
+    assert two[0] != two[1]
+
+
+def test_keywords_found_keeps_the_beginnings_of_longer_ones(spark):
+    kws = ["rosemary", "mary", "rose", "two words", "ros", "aa", "aaa", "z"]
+    for text in ("a ROSEMARY bush", "roses", "aaaa", "two words", "", "\nrose\nz"):
+        assert one(spark, text, lambda c: tx.keywords_found(c, kws)) == [k for k in kws if " " not in k and k in text.lower()]
+    assert one(spark, "x", lambda c: tx.keywords_found(c, [])) == []
+
+
 def test_dedupe_limit_and_idempotence(spark):
     r = one(spark, "a ... b ...  ... a... c", tx.dedupe_pieces)
     assert (r.text, r.repeats) == ("a ... b ... c", 1)
