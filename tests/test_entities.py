@@ -108,3 +108,12 @@ def test_salted_join_splits_a_hot_key_and_keeps_repeats(spark):
     right = spark.createDataFrame([("hot", i % 7) for i in range(40)] + [("cold", 9), (None, 9)], "k string, r int")
     got, want = salted_join(left, right, "k", rows=3), left.join(right, "k")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_nearby_entities_with_shared_mention_ids(spark):
+    # rose and oak share id 7, ten seconds apart: no others to each other, but ash is to both.
+    rows = [(7, 1, 0.0, "rose"), (7, 1, 10.0, "oak"), (8, 1, 20.0, "ash"), (9, 2, 0.0, "rose"), (9, 2, 30.0, "oak"), (10, 2, 80.0, "rose")]
+    df = spark.createDataFrame(rows, "mention_id long, video_id long, t double, entity string")
+    got = sorted((r.mention_id, r.entity, r.nearby) for r in en.nearby_entities(df).collect())
+    want = {(a[0], a[3], b[3]) for a in rows for b in rows if a[1] == b[1] and a[0] != b[0] and abs(a[2] - b[2]) <= 60}
+    assert got == sorted(want)
