@@ -51,28 +51,37 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
         F.array_sort(F.collect_set("tool_name")).alias("tools"))
 
 
-def free_tier_admission(events: DataFrame, limit: int = 5, late: str = "10 minutes", zone: str = "UTC") -> DataFrame:
-    """Admission per (agent, day of the zone) with state; a day's state expires after the watermark passes it."""
+def free_tier_admission(events: DataFrame, limit: int = 5, late: str = "10 minutes", zone: str = "UTC", slots: int = 64) -> DataFrame:
+    """Admission per (agent, day of the zone) with state; a day's state expires after the watermark passes it.
+
+    The agents of a day are dealt over `slots` groups, so that Python is called once for many
+    agents with few calls each; the state of a group is the count of every agent it has seen.
+    """
     out = "event_id long, agent_id string, day string, granted boolean, remaining long"
-    state = "used long"
+    state = "agents array<string>, used array<long>"
 
     def admit(key, batches, st):
-        agent, day = key
+        day = key[0]
         if st.hasTimedOut:
             st.remove()
             return
-        used = st.get[0] if st.exists else 0
+        before = pd.Series(*reversed(st.get), dtype="int64") if st.exists else pd.Series(dtype="int64")
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        n = pd.Series(range(used + 1, used + len(rows) + 1), index=rows.index)
-        st.update((used + len(rows),))
+        agent = rows["agent_id"]
+        # A null agent is one agent too, with a name of its own in the state.
+        name = ("a" + agent).fillna("")
+        n = rows.groupby(name).cumcount() + 1 + name.map(before).fillna(0).astype("int64")
+        after = before.add(name.value_counts(), fill_value=0).astype("int64")
+        st.update((after.index.tolist(), after.tolist()))
         # A day may be reopened only until the watermark is past its end.
         end_ms = int((pd.Timestamp(day, tz=zone) + pd.Timedelta(days=1)).timestamp() * 1000)
         st.setTimeoutTimestamp(max(end_ms, st.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], "agent_id": agent, "day": day,
                             "granted": n <= limit, "remaining": (limit - n).clip(lower=0)})
 
-    e = events.withWatermark("ts", late).withColumn("day", local_day(_seconds("ts"), zone))
-    return e.groupBy("agent_id", "day").applyInPandasWithState(admit, out, state, "append", "EventTimeTimeout")
+    e = events.withWatermark("ts", late).withColumn("day", local_day(_seconds("ts"), zone)).withColumn(
+        "slot", F.pmod(F.xxhash64("agent_id"), F.lit(slots)))
+    return e.groupBy("day", "slot").applyInPandasWithState(admit, out, state, "append", "EventTimeTimeout")
 
 
 def token_bucket_admission(events: DataFrame, rate: float, late: str = "10 minutes") -> DataFrame:

@@ -162,3 +162,26 @@ def test_days_do_not_follow_the_session_zone(spark, session_zone):
         assert days == {1: "1970-01-01", 2: "1970-01-01", 3: "1970-01-01"}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_free_tier_state_is_kept_by_slots_of_a_day(spark, tmp_path):
+    """Two batches of one day: counts go on from the first, and agents share a few states."""
+    def part(k):
+        rows = [(100 * k + i, f"2024-03-01 0{k}:{i // 60:02d}:{i % 60:02d}", None if i % 31 == 0 else f"a{i % 31}") for i in range(62)]
+        spark.createDataFrame(rows, "event_id long, ts string, agent_id string").withColumn(
+            "ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    part(1)
+    part(2)
+    raw = spark.readStream.schema("event_id long, ts timestamp, agent_id string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.free_tier_admission(raw, 3, late="1 day", slots=4).writeStream.format("memory").queryName("free_tier_slots").outputMode(
+        "append").option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.event_id: (r.agent_id, r.granted, r.remaining) for r in spark.table("free_tier_slots").collect()}
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 4
+    want, seen = {}, {}
+    for k in (1, 2):
+        for i in range(62):
+            a = None if i % 31 == 0 else f"a{i % 31}"
+            seen[a] = seen.get(a, 0) + 1
+            want[100 * k + i] = (a, seen[a] <= 3, max(3 - seen[a], 0))
+    assert got == want
