@@ -156,6 +156,19 @@ def test_containment_join_of_empty_tables_and_stored_counts(spark):
     assert [tuple(x) for x in containment_join(d, t, "text", "term", counts=counts).collect()] == [(1, "soil", 0)]
 
 
+def test_containment_join_carries_wide_columns_and_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "rose rose oak", "x"), (1, "rose rose oak", "x"), (1, "rose", "y"), (None, "oak", "z"), (None, "oak", "z"), (2, None, "w")],
+                                 "id long, text string, wide string")
+    terms = spark.createDataFrame([("rose", 1), ("rose", 1), ("oak", 2)], "term string, k long")
+    hit = containment_join(docs, terms, "text", "term", keep=["id"], carry=["wide"])
+    got = sorted(tuple(str(x) for x in r) for r in hit.collect())
+    want = sorted(tuple(map(str, (i, w, t, k))) for i, x, w in docs.collect() if x for t, k in map(tuple, terms.collect()) if t in x)
+    assert got == want
+    # What nothing reads is not taken through the search.
+    plan = hit.select("id", "term")._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(wide" not in plan and "Aggregate [_id" in plan
+
+
 def test_affinity_sample_and_confidence(spark):
     """The sum of video, commerce and creator overlaps; missing ones count 0, confidence stops at 1."""
     c = spark.createDataFrame([("a", None), ("b", "a"), ("c", None)], "category string, parent string")
