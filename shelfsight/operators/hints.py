@@ -159,11 +159,29 @@ def detect_categories(docs: DataFrame, category_terms: DataFrame, minimum: int =
     return hit.groupBy("video_id", "category").agg(F.count("*").alias("n")).where(F.col("n") >= minimum)
 
 
+def hinted_categories(hints: DataFrame, category_terms: DataFrame, minimum: int = 3) -> DataFrame:
+    """detect_categories over each document's distinct hint terms, sorted and joined by blanks.
+
+    A category term without a blank lies in that text exactly when it lies in one hint term without
+    a blank, or in one word of the others; so the distinct hint terms are searched once, not every
+    document's list. Terms with a blank may reach over two hints and are searched in the lists.
+    """
+    ct = category_terms.select("term", "category").distinct()
+    plain, wide = ct.where(~F.contains("term", F.lit(" "))), ct.where(F.contains("term", F.lit(" ")))
+    names = hints.select(F.col("term").alias("_hint")).distinct().withColumn("_text", F.col("_hint"))
+    inside = containment_join(names, plain, "_text", "term", keep=["_hint"])
+    each = hints.select("video_id", F.col("term").alias("_hint"))
+    hit = each.join(inside, "_hint").select("video_id", "term", "category")
+    if not wide.isEmpty():
+        joined = hints.groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("text"))
+        hit = hit.unionByName(containment_join(joined, wide, "text", "term", keep=["video_id"]))
+    return hit.distinct().groupBy("video_id", "category").agg(F.count("*").alias("n")).where(F.col("n") >= minimum)
+
+
 def multi_category_keywords(hints: DataFrame, category_terms: DataFrame, cap: int = 150, per_category: int = 20) -> DataFrame:
     """High and medium hint terms (capped), plus the first words of each category that the
     hint terms themselves indicate. category_terms(term, category, pos)."""
     base = adaptive_keywords(hints, cap=cap, lineage=False)
-    joined = hints.groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("text"))
-    cats = detect_categories(joined, category_terms).select("video_id", "category")
+    cats = hinted_categories(hints, category_terms).select("video_id", "category")
     first = category_terms.where(F.col("pos") <= per_category).select("category", F.col("term").alias("keyword"))
     return base.unionByName(cats.join(first, "category").select("video_id", "keyword")).distinct()

@@ -117,3 +117,20 @@ def test_nearby_entities_with_shared_mention_ids(spark):
     got = sorted((r.mention_id, r.entity, r.nearby) for r in en.nearby_entities(df).collect())
     want = {(a[0], a[3], b[3]) for a in rows for b in rows if a[1] == b[1] and a[0] != b[0] and abs(a[2] - b[2]) <= 60}
     assert got == sorted(want)
+
+
+def test_disambiguation_searches_the_segments_once(spark):
+    from shelfsight.plans import catalog
+    df = catalog.QUERIES["c10_disambiguation"](spark, "/root/testdata/sf0.001")
+    indexes = {p for f in df.inputFiles() for p in f.split("/") if p.startswith("substring-index-")}
+    assert len(indexes) == 2  # mentions and candidates
+
+
+def test_hinted_categories_equal_the_search_of_joined_hints(spark):
+    from shelfsight.operators import hints as h
+    hints = spark.createDataFrame([(1, t) for t in ("rosemary", "oak tree", "elm", "elm")] + [(2, "rose"), (2, "oak"), (3, "elm oak")], "video_id long, term string")
+    terms = spark.createDataFrame([("rose", "a"), ("mary", "a"), ("oak", "a"), ("tree", "b"), ("elm oak", "b"), ("tree rosemary", "b"), ("elm", "b"), ("elm", "c")], "term string, category string")
+    joined = hints.groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("text"))
+    got = sorted(map(tuple, h.hinted_categories(hints, terms, 1).select("video_id", "category", "n").collect()))
+    assert got == sorted(map(tuple, h.detect_categories(joined, terms, 1).select("video_id", "category", "n").collect()))
+    assert (1, "b", 4) in got
