@@ -1,6 +1,7 @@
 """Resolution confidences, similarity, disambiguation helpers and sweep joins."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -102,6 +103,23 @@ def test_edit_ratio_join_agrees_with_all_pairs(spark):
     assert edit_ratio_join(a.limit(0), b, "name", "target", 0.6).count() == 0
 
 
+def test_signatures_reject_most_pairs_and_no_near_one(spark):
+    from shelfsight.operators import joins
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(40)]
+    near = [w[:3] + "x" + w[4:] for w in words]
+    a, b = (joins._signed(spark.createDataFrame([(w,) for w in x], "_s string"), "_s", n) for x, n in ((words, "_a"), (near, "_b")))
+    got = a.crossJoin(b).select("_a", "_b", *[joins._lacking("_a", "_b", k).alias(f"l{k}") for k in (1, 2)]).collect()
+    assert len(got) == 1600
+    for r in got:
+        for k, lacking in ((1, r.l1), (2, r.l2)):
+            x, y = ("\1" * (k - 1) + s + "\1" * (k - 1) for s in (r._a, r._b))
+            left = Counter(x[i : i + k] for i in range(len(x) - k + 1)) - Counter(y[i : i + k] for i in range(len(y) - k + 1))
+            assert lacking <= sum(left.values())
+    # Of unrelated pairs, next to none may reach the full comparison.
+    assert sum(r.l2 <= 2 * 12 * 0.4 for r in got) < 80
+
+
 def test_salted_join_splits_a_hot_key_and_keeps_repeats(spark):
     from shelfsight.operators.joins import salted_join
     left = spark.createDataFrame([("hot", 1), ("hot", 1), ("cold", 2), (None, 3)], "k string, l int")
