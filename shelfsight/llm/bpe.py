@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +27,8 @@ NONE = (1 << 31) - 1
 DICTIONARY = 1 << 20  # commonest pieces that are encoded once; with MAX_PIECE the bound of what is broadcast
 MAX_PIECE = 32
 LONG = 512  # bytes of a piece from which on the heap takes over
-BATCH_ROWS = 2000
-SLICE = 250_000  # pieces handled at a time in a Python task
+BATCH_ROWS = 500
+SLICE = 60_000  # pieces handled at a time in a Python task
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,16 +50,21 @@ def _slot(a, b):
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The rank map as a literal: the ids of single bytes, and the rank of every pair of tokens that
     make a token, dealt into SLOTS small lists so that a lookup scans a few keys only."""
-    slots: list[dict] = [{"k": [], "r": []} for _ in range(SLOTS)]
+    made = []
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                slot = slots[_slot(a, b)]
-                slot["k"].append(a << 32 | b)
-                slot["r"].append(rank)
-    table = {"single": [ranks[bytes([b])] for b in range(256)], "slots": slots}
-    return F.from_json(F.lit(json.dumps(table)), "single array<int>, slots array<struct<k:array<bigint>,r:array<int>>>")
+                made.append((a, b, rank))
+    # Written as text at once: objects for each slot would take the driver some ten times as much.
+    made = np.array(made, dtype=np.int64).reshape(-1, 3)
+    slot = _slot(made[:, 0], made[:, 1])
+    made = made[np.argsort(slot, kind="stable")]
+    ends = np.cumsum(np.bincount(slot, minlength=SLOTS)).tolist()
+    keys = made[:, 0] << 32 | made[:, 1]
+    slots = ",".join(f'{{"k":{keys[lo:hi].tolist()},"r":{made[lo:hi, 2].tolist()}}}' for lo, hi in zip([0, *ends], ends))
+    table = f'{{"single":{[ranks[bytes([b])] for b in range(256)]},"slots":[{slots}]}}'
+    return F.from_json(F.lit(table), "single array<int>, slots array<struct<k:array<bigint>,r:array<int>>>")
 
 
 def _with(value: Column, use) -> Column:
@@ -189,9 +193,9 @@ def _look_up(shipped):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, ranks = shipped.value
-        table = pa.ipc.open_file(pa.py_buffer(dictionary)).get_batch(0)
+        table = pa.ipc.open_file(dictionary).get_batch(0)
         hashes, known = table["h"].to_numpy(), table["piece"]
-        for batch in (part for whole in batches for part in _slices(whole, "pieces", 2 * SLICE)):
+        for batch in (part for whole in batches for part in _slices(whole, "pieces", SLICE)):
             lists = batch["pieces"]
             flat, parent = lists.flatten().cast(known.type), pc.list_parent_indices(lists).to_numpy()
             distinct = flat.dictionary_encode()
@@ -224,7 +228,8 @@ def _assemble(shipped):
     """Token ids of each document, their digest, and the digest of the bytes that the ids decode to."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary, ranks = shipped.value
-        known = pa.ipc.open_file(pa.py_buffer(dictionary)).get_batch(0)["ids"]
+        known = pa.ipc.open_file(dictionary).get_batch(0)["ids"]
+        known = known.values.to_numpy(), known.offsets.to_numpy()
         token_bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             token_bytes[rank] = token
@@ -236,16 +241,26 @@ def _assemble(shipped):
     return run
 
 
-def _digests(part: pa.RecordBatch, known: pa.ListArray, spelled: pa.Array, raw: pa.Array) -> pa.RecordBatch:
+def _digests(part: pa.RecordBatch, known: tuple[np.ndarray, np.ndarray], spelled: pa.Array, raw: pa.Array) -> pa.RecordBatch:
     codes = part["codes"].flatten().to_numpy()
     parent = pc.list_parent_indices(part["codes"]).to_numpy()
     rare = part["rare_ids"]
     first = np.concatenate(([0], np.cumsum(pc.list_value_length(rare).to_numpy())))
-    at = np.where(codes >= 0, codes, len(known) + first[parent] - 1 - codes)
-    both = pa.concat_arrays([known, rare.flatten().cast(known.type)])
-    lists = both.take(pa.array(at))
-    ids = lists.flatten()
-    per_piece = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
+    words = rare.flatten()
+    rare = words.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(words).to_numpy())))
+    # The dictionary is read in place: a copy for each slice would outweigh the slice.
+    common = codes >= 0
+    at, start, size = np.where(common, codes, first[parent] - 1 - codes), np.empty(len(codes), np.int64), np.empty(len(codes), np.int64)
+    for (_, offsets), own in ((known, common), (rare, ~common)):
+        start[own] = offsets[at[own]]
+        size[own] = offsets[at[own] + 1] - start[own]
+    per_piece = np.concatenate(([0], np.cumsum(size)))
+    place = np.arange(per_piece[-1]) + np.repeat(start - per_piece[:-1], size)
+    common = np.repeat(common, size)
+    ids = np.empty(len(place), np.int32)
+    for (values, _), own in ((known, common), (rare, ~common)):
+        ids[own] = values[place[own]]
+    ids = pa.array(ids)
     piece_ends = np.concatenate(([0], np.cumsum(pc.list_value_length(part["codes"]).to_numpy())))
     offsets = pa.array(per_piece[piece_ends], pa.int32())
     text = pc.binary_join(pa.ListArray.from_arrays(offsets, spelled.take(ids)), ",")
@@ -259,14 +274,14 @@ def _digests(part: pa.RecordBatch, known: pa.ListArray, spelled: pa.Array, raw:
         names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
 
-def _file(batch: pa.RecordBatch) -> bytes:
+def _file(batch: pa.RecordBatch) -> pa.Buffer:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_file(sink, batch.schema) as writer:
         writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    return sink.getvalue()
 
 
-def _dictionary(pieces: DataFrame, table: Column, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+def _dictionary(pieces: DataFrame, table: Column, ranks: dict[bytes, int]) -> Iterator[pa.Buffer]:
     """Two Arrow files of one batch, in the order of the pieces' hashes: (h, piece) and (ids).
 
     They hold the tokens that are text by themselves and the pieces given.
@@ -287,9 +302,10 @@ def _dictionary(pieces: DataFrame, table: Column, ranks: dict[bytes, int]) -> tu
     h = _hashes(names)
     # Stable: of a token and an equal piece the token comes first, and a search from the left finds it.
     order = pa.array(np.argsort(h, kind="stable"))
-    shipped = _file(pa.RecordBatch.from_arrays([pa.array(h).take(order), names.take(order)], names=["h", "piece"]))
-    del names
-    return shipped, _file(pa.RecordBatch.from_arrays([ids.take(order)], names=["ids"]))
+    # One after the other, so that the driver never holds both files and what they are made of.
+    yield _file(pa.RecordBatch.from_arrays([pa.array(h).take(order), names.take(order)], names=["h", "piece"]))
+    del names, h
+    yield _file(pa.RecordBatch.from_arrays([ids.take(order)], names=["ids"]))
 
 
 def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
@@ -313,6 +329,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DIC
     # The literal is left out of the plans' descriptions, which the driver keeps.
     with setting(spark, "spark.sql.maxPlanStringLength", "100000"):
         names, ids = (spark.sparkContext.broadcast((x, ranks)) for x in _dictionary(frequent_pieces(docs, pattern, most), table, ranks))
+        pa.default_memory_pool().release_unused()
         whole = F.coalesce("text", F.lit("")).cast("binary")
         found = (
             docs.select("doc_id", F.sha2(whole, 256).alias("text_sha256"), pieces_of(F.col("text"), pattern).alias("pieces"))

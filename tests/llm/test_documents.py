@@ -337,3 +337,19 @@ def test_bpe_round_trip(spark, docs, rows, nothing, most):
 def test_fold_is_the_crc_of_the_text_form(spark):
     got = {r.id: r.f for r in spark.range(50).select("id", fold(F.col("id")).alias("f")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)}
+
+
+def test_bpe_digests_read_the_dictionary_in_place():
+    import numpy as np
+    import pyarrow as pa
+    spelled, raw = pa.array([str(i) for i in range(9)]), pa.array([bytes([65 + i]) for i in range(9)], pa.binary())
+    known = np.array([1, 2, 3, 4], np.int32), np.array([0, 1, 3, 4])  # pieces [1] [2 3] [4]
+    kind = pa.list_(pa.list_(pa.int32()))
+    part = pa.RecordBatch.from_arrays(
+        [pa.array([7, 8, 9]), pa.array(["", "", ""]), pa.array([[1, -1, 0, -2, -1], [], [2, -1]], pa.list_(pa.int32())),
+         pa.array([[[5, 6], []], [], [[8]]], kind)], names=["doc_id", "text_sha256", "codes", "rare_ids"])
+    got = bpe._digests(part, known, spelled, raw)
+    want = [[2, 3, 5, 6, 1, 5, 6], [], [4, 8]]
+    assert got["n_tokens"].to_pylist() == [7, 0, 2]
+    assert got["ids_sha256"].to_pylist() == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want]
+    assert got["decoded_sha256"].to_pylist() == [hashlib.sha256(bytes(65 + i for i in x)).hexdigest() for x in want]
