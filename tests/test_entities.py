@@ -152,3 +152,10 @@ def test_hinted_categories_equal_the_search_of_joined_hints(spark):
     got = sorted(map(tuple, h.hinted_categories(hints, terms, 1).select("video_id", "category", "n").collect()))
     assert got == sorted(map(tuple, h.detect_categories(joined, terms, 1).select("video_id", "category", "n").collect()))
     assert (1, "b", 4) in got
+
+
+def test_mentions_are_searched_once_for_calibration_and_co_occurrence(spark):
+    from shelfsight.plans import catalog
+    for name in ("c13_calibration", "c16_co_occurrence"):
+        files = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and all("/stored-" in f for f in files)
