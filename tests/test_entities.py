@@ -159,3 +159,14 @@ def test_mentions_are_searched_once_for_calibration_and_co_occurrence(spark):
     for name in ("c13_calibration", "c16_co_occurrence"):
         files = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert files and all("/stored-" in f for f in files)
+
+
+def test_single_topic_of_mentions_that_share_an_id(spark, tmp_path):
+    """Turn 0 with the word of rank 1000 + i and turn 1 with that of rank i share an id: the commoner word, whatever comes first."""
+    from shelfsight.plans import catalog
+    words = sorted(f"{a}{b}{c}qqqq" for a in "bcdfghjklm" for b in "bcdfghjklm" for c in "bcdfghjklmn")
+    spark.createDataFrame([(" ".join(words),)], "text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    turns = [x for i in range(40) for x in ((i, 0, "user", words[1000 + i]), (i, 1, "assistant", words[i]))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [x.topic for x in catalog.QUERIES["e17_single_topics"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == words[:40]
