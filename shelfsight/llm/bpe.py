@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-The rank map is a literal of the plan. Distinct pieces of the corpus, not documents, are
+The rank map is a scalar subquery. Distinct pieces of the corpus, not documents, are
 encoded: a fold over a piece's bytes merges the adjacent pair of lowest rank until none has a
 rank. Documents then get their pieces' ids back, block by block of documents. Pieces of more than
 LONG bytes, on which a fold would take the square of their length, are merged with a heap.
@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import arrow_rows, own_columns, saved, setting
@@ -47,24 +48,27 @@ def _slot(a, b):
     return (a * 40503 + b) & (SLOTS - 1)
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as a literal: the ids of single bytes, and the rank of every pair of tokens that
-    make a token, dealt into SLOTS small lists so that a lookup scans a few keys only."""
-    made = []
+def rank_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The rank map as a one-row relation's value: the ids of single bytes, and the rank of every pair of tokens
+    that make a token, dealt into SLOTS small lists so that a lookup scans a few keys only."""
+    made = array("q")
     for token, rank in ranks.items():
         for i in range(1, len(token)):
             a, b = ranks.get(token[:i]), ranks.get(token[i:])
             if a is not None and b is not None:
-                made.append((a, b, rank))
-    # Written as text at once: objects for each slot would take the driver some ten times as much.
-    made = np.array(made, dtype=np.int64).reshape(-1, 3)
+                made.extend((a, b, rank))
+    # Arrow buffers, not objects or text for each slot: a literal of the plan would take the driver some hundred times as much.
+    made = np.frombuffer(made, dtype=np.int64).reshape(-1, 3)
     slot = _slot(made[:, 0], made[:, 1])
     made = made[np.argsort(slot, kind="stable")]
-    ends = np.cumsum(np.bincount(slot, minlength=SLOTS)).tolist()
-    keys = made[:, 0] << 32 | made[:, 1]
-    slots = ",".join(f'{{"k":{keys[lo:hi].tolist()},"r":{made[lo:hi, 2].tolist()}}}' for lo, hi in zip([0, *ends], ends))
-    table = f'{{"single":{[ranks[bytes([b])] for b in range(256)]},"slots":[{slots}]}}'
-    return F.from_json(F.lit(table), "single array<int>, slots array<struct<k:array<bigint>,r:array<int>>>")
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=SLOTS)))), pa.int32())
+    keys = pa.ListArray.from_arrays(ends, pa.array(made[:, 0] << 32 | made[:, 1]))
+    slots = pa.StructArray.from_arrays([keys, pa.ListArray.from_arrays(ends, pa.array(made[:, 2], pa.int32()))], names=["k", "r"])
+    single = pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int32()))
+    row = pa.StructArray.from_arrays([single, pa.ListArray.from_arrays(pa.array([0, SLOTS], pa.int32()), slots)], names=["single", "slots"])
+    # Spark takes no subquery inside a higher-order function: it stands in a column that one such function reads,
+    # and the optimizer puts it in there, so that no row ever holds it.
+    return spark.createDataFrame(pa.table({"table": row})).scalar()
 
 
 def _with(value: Column, use) -> Column:
@@ -294,7 +298,7 @@ def _dictionary(pieces: DataFrame, table: Column, ranks: dict[bytes, int]) -> It
             continue
     # Many pieces to a row: the rank map is bound once for each row.
     rows = pieces.groupBy(F.pmod(F.xxhash64("piece"), F.lit(1024)).alias("s")).agg(F.collect_list("piece").alias("piece"))
-    rows = saved(rows.select("piece", folded(F.col("piece"), table).alias("ids"))).toArrow()
+    rows = saved(rows.select("piece", table.alias("_ranks")).select("piece", folded(F.col("piece"), F.col("_ranks")).alias("ids"))).toArrow()
     names = pa.concat_arrays([pa.array(whole.keys(), pa.large_string()), *[x.flatten().cast(pa.large_string()) for x in rows["piece"].chunks]])
     kind = pa.large_list(pa.int32())
     ids = pa.concat_arrays([pa.array([[x] for x in whole.values()], kind), *[x.flatten().cast(kind) for x in rows["ids"].chunks]])
@@ -325,8 +329,8 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DIC
     docs = own_columns(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     ranks = load_ranks(rank_path)
-    table = rank_literal(ranks)
-    # The literal is left out of the plans' descriptions, which the driver keeps.
+    table = rank_table(spark, ranks)
+    # Long plans: their descriptions, which the driver keeps, are cut.
     with setting(spark, "spark.sql.maxPlanStringLength", "100000"):
         names, ids = (spark.sparkContext.broadcast((x, ranks)) for x in _dictionary(frequent_pieces(docs, pattern, most), table, ranks))
         pa.default_memory_pool().release_unused()
@@ -334,10 +338,10 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, most: int = DIC
         found = (
             docs.select("doc_id", F.sha2(whole, 256).alias("text_sha256"), pieces_of(F.col("text"), pattern).alias("pieces"))
             .mapInArrow(_look_up(names), "doc_id long, text_sha256 string, codes array<int>, rare array<string>, long_ids array<array<int>>"))
-        by_fold = _with(table, lambda t: F.zip_with(
+        by_fold = _with(F.col("_ranks"), lambda t: F.zip_with(
             "rare", "long_ids", lambda p, ids: F.when(F.size(ids) > 0, ids).otherwise(merged(p, t))))
         out = (
-            found.select("doc_id", "text_sha256", "codes", by_fold.alias("rare_ids"))
+            found.withColumn("_ranks", table).select("doc_id", "text_sha256", "codes", by_fold.alias("rare_ids"))
             .mapInArrow(_assemble(ids),
                         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"))
         # One small row for each document: kept, so that the batch size below holds while it is computed.

@@ -353,3 +353,13 @@ def test_bpe_digests_read_the_dictionary_in_place():
     assert got["n_tokens"].to_pylist() == [7, 0, 2]
     assert got["ids_sha256"].to_pylist() == [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in want]
     assert got["decoded_sha256"].to_pylist() == [hashlib.sha256(bytes(65 + i for i in x)).hexdigest() for x in want]
+
+
+def test_bpe_rank_map_is_no_literal_of_the_plan(spark):
+    """It is a subquery that the optimizer puts where it is read: no row holds it, no task's code carries it as objects."""
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    df = spark.createDataFrame([(["the", " tokens"],)], "p array<string>").withColumn("_ranks", bpe.rank_table(spark, ranks))
+    df = df.select(bpe.folded(F.col("p"), F.col("_ranks")).alias("ids"))
+    assert df.first().ids == [bpe.heap_merged(w, ranks) for w in (b"the", b" tokens")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\nProject") + plan.startswith("Project") == 1 and "scalar-subquery" in plan and len(plan) < 50_000
