@@ -363,3 +363,22 @@ def test_bpe_rank_map_is_no_literal_of_the_plan(spark):
     assert df.first().ids == [bpe.heap_merged(w, ranks) for w in (b"the", b" tokens")]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("\nProject") + plan.startswith("Project") == 1 and "scalar-subquery" in plan and len(plan) < 50_000
+
+
+def test_maxent_steps_equal_plain_sums():
+    """One batch: each kind's rows move by their summed gradient over the root of its count; large sums stay finite."""
+    rng = np.random.default_rng(5)
+    text = " ".join(rng.choice(["aa", "ba", "cab", "dabe", "x"], 400))
+    w = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    h, c = maxent.tokens(text)
+    at, rows = maxent.history(h)
+    z = w[rows].astype(float).sum(axis=1)
+    g = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    g[np.arange(len(at)), c[at]] -= 1
+    want = w.astype(float)
+    for k in range(maxent.FEATURES):
+        for r in set(rows[:, k].tolist()):
+            own = rows[:, k] == r
+            want[r] -= 0.5 / maxent.FEATURES * g[own].sum(axis=0) / math.sqrt(own.sum())
+    assert maxent.descend(w, iter([text]), 0.5) == 401 and np.allclose(w, want, atol=1e-4)
+    assert np.allclose(maxent._softmax(w * 1000, rows).sum(axis=1), 1, atol=1e-5)
