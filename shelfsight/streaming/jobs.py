@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ from shelfsight.operators import intent
 from shelfsight.operators.usage import refusal
 from shelfsight.session import checkpoint_dir
 
+SLICE = 10_000  # rows that a stateful function hands back at a time
+NO_DAY = -(1 << 31)  # the day of an event without a time
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -114,19 +118,31 @@ def budget_admission(calls: DataFrame, budget: dict, zone: str = "UTC") -> DataF
 
     def admit(key, batches, st):
         day, day_cost, month_cost = st.get if st.exists else ("", 0.0, 0.0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        why = []
-        for d, cost in zip(rows["day"], rows["cost"]):
-            if d != day:
-                day, day_cost = d, 0.0
-            w = refusal(day_cost, month_cost, cost, budget)
-            if w is None:
-                day_cost, month_cost = day_cost + cost, month_cost + cost
-            why.append(w)
+        # A batch of a group is kept as four numbers a row; names stand in the key only.
+        kept = [[b[x].to_numpy() for x in ("at", "event_id", "date", "cost")] for b in batches]
+        at, ids, dates, costs = (np.concatenate(x) for x in zip(*kept))
+        del kept
+        order = np.lexsort((ids, at))
+        del at
+        name, now = None, None
+        for lo in range(0, len(order), SLICE):
+            part = order[lo : lo + SLICE]
+            why = []
+            for d, cost in zip(dates[part].tolist(), costs[part].tolist()):
+                if d != now:
+                    now, name = d, str(np.datetime64(d, "D")) if d != NO_DAY else None
+                if name != day:
+                    day, day_cost = name, 0.0
+                w = refusal(day_cost, month_cost, cost, budget)
+                if w is None:
+                    day_cost, month_cost = day_cost + cost, month_cost + cost
+                why.append(w)
+            yield pd.DataFrame({"event_id": ids[part], "service": key[0], "refused_by": why})
         st.update((day, float(day_cost), float(month_cost)))
-        yield pd.DataFrame({"event_id": rows["event_id"], "service": key[0], "refused_by": why})
 
-    c = calls.withColumn("day", local_day(_seconds("ts"), zone)).withColumn("month", F.substring("day", 1, 7))
+    day_ = local_day(_seconds("ts"), zone)
+    c = calls.select("event_id", "service", "cost", F.substring(day_, 1, 7).alias("month"), F.coalesce(F.unix_micros("ts"), F.lit(0)).alias("at"),
+                     F.coalesce(F.unix_date(day_.cast("date")), F.lit(NO_DAY)).alias("date"))
     return c.groupBy("service", "month").applyInPandasWithState(
         admit, out, "day string, day_cost double, month_cost double", "append", "NoTimeout")
 
