@@ -64,17 +64,26 @@ def assign(items: DataFrame, versions: DataFrame, bucket) -> DataFrame:
     return items.withColumn("_b", bucket).join(F.broadcast(owner), "_b", "left").drop("_b")
 
 
+CASES = 100_000  # cases to a task
 EVAL_WEIGHTS = {"recall": 0.3, "specificity": 0.15, "monetisation": 0.2, "stages": 0.2, "cost": 0.15}
 
 
 def evaluate(expected: DataFrame, actual: DataFrame, cases: DataFrame) -> DataFrame:
     """expected(case_id, entity); actual(case_id, entity, has_species);
     cases(case_id, score, score_lo, score_hi, stages_done, stages, cost, cost_cap): per-case scores and total."""
-    got = actual.select("case_id", F.lower("entity").alias("entity"), "has_species").groupBy("case_id", "entity").agg(F.bool_or("has_species").alias("sp"))
-    want = expected.select("case_id", F.lower("entity").alias("entity")).distinct()
-    rec = want.join(got, ["case_id", "entity"], "left").groupBy("case_id").agg((F.count("sp") / F.count("*") * 100).alias("recall"))
-    spec = got.groupBy("case_id").agg((F.count_if("sp") / F.count("*") * 100).alias("specificity"))
-    d = cases.join(rec, "case_id", "left").join(spec, "case_id", "left").fillna(0.0, ["recall", "specificity"])
+    # Both sides in one relation, dealt by case once: an entity of a case is one row, without a join of names.
+    named = F.lower("entity").alias("entity")
+    each = expected.select("case_id", named, F.lit(True).alias("want"), F.lit(None).cast("boolean").alias("sp"), F.lit(False).alias("got")).unionByName(
+        actual.select("case_id", named, F.lit(False).alias("want"), F.col("has_species").alias("sp"), F.lit(True).alias("got")))
+    # More tasks for more cases, so that what one task holds does not grow with the table.
+    least = int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = each.repartition(max(least, -(-cases.count() // CASES)), "case_id").groupBy("case_id", "entity").agg(F.bool_or("want").alias("want"), F.bool_or("sp").alias("sp"), F.bool_or("got").alias("got"))
+    # A null name meets no name, as in a join.
+    met = F.col("want") & F.col("sp").isNotNull() & F.col("entity").isNotNull()
+    rates = each.groupBy("case_id").agg(
+        F.when(F.bool_or("want"), F.count_if(met) / F.count_if("want") * 100).alias("recall"),
+        F.when(F.bool_or("got"), F.count_if(F.col("got") & F.col("sp")) / F.count_if("got") * 100).alias("specificity"))
+    d = cases.join(rates, "case_id", "left").fillna(0.0, ["recall", "specificity"])
     d = d.withColumn("monetisation", F.when(F.col("score").between(F.col("score_lo"), F.col("score_hi")), 100.0).otherwise(0.0)).withColumn(
         "stages", ratio("stages_done", "stages") * 100).withColumn(
         "cost", F.when(F.col("cost") <= F.col("cost_cap"), 100.0).otherwise(ratio("cost_cap", "cost") * 100))
