@@ -58,14 +58,23 @@ def keep_focus(focus: Column, dimension: str, value: Column) -> Column:
     return F.when(focus.isNull() | (F.size(focus) == 0) | F.array_contains(focus, dimension), value)
 
 
-def analysis_response(videos: DataFrame, entities: DataFrame) -> DataFrame:
-    """videos(video_id, focus[], overall, tier, top_intent, commercial_value); entities(video_id, entity,
-    category, confidence, context): one nested document per video."""
-    e = entities.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(
+def entity_lists(entities: DataFrame) -> DataFrame:
+    """entities(video_id, entity, category, confidence, context): (video_id, _e), one list for each video."""
+    return entities.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("entity").alias("name"), F.lower("category").alias("category"), half_up("confidence", 2).alias("confidence"),
         clip(F.col("context"), 150).alias("context")))).alias("_e"))
+
+
+def response_of(listed: DataFrame) -> DataFrame:
+    """One nested document for each row of videos that carries its entity list `_e`."""
     f = F.col("focus")
-    return videos.join(e, "video_id", "left").select(
+    return listed.select(
         "video_id", keep_focus(f, "entities", F.coalesce("_e", F.array().cast("array<struct<name:string,category:string,confidence:double,context:string>>"))).alias("entities"),
         keep_focus(f, "audience", F.struct("top_intent", half_up("commercial_value", 2).alias("commercial_value"))).alias("audience"),
         keep_focus(f, "quality", F.struct("overall", "tier")).alias("quality"))
+
+
+def analysis_response(videos: DataFrame, entities: DataFrame) -> DataFrame:
+    """videos(video_id, focus[], overall, tier, top_intent, commercial_value); entities(video_id, entity,
+    category, confidence, context): one nested document per video."""
+    return response_of(videos.join(entity_lists(entities), "video_id", "left"))

@@ -185,3 +185,23 @@ def test_free_tier_state_is_kept_by_slots_of_a_day(spark, tmp_path):
             seen[a] = seen.get(a, 0) + 1
             want[100 * k + i] = (a, seen[a] <= 3, max(3 - seen[a], 0))
     assert got == want
+
+
+def test_evaluation_joins_no_names(spark):
+    """Expected and found entities meet in one grouping by case; only the cases are joined. A null name meets none."""
+    from shelfsight.operators import quality as ql
+    cases = spark.createDataFrame([(c, 50, 0, 100, 1, 1, 1.0, 1.0) for c in (1, 2, 3)], "case_id int, score int, score_lo int, score_hi int, stages_done int, stages int, cost double, cost_cap double")
+    want = spark.createDataFrame([(1, "A"), (1, "a"), (1, "b"), (1, None), (2, "x")], "case_id int, entity string")
+    got = spark.createDataFrame([(1, "a", True), (1, "c", False), (1, None, True), (3, "q", None), (3, "r", True)], "case_id int, entity string, has_species boolean")
+    e = ql.evaluate(want, got, cases)
+    found = {r.case_id: (round(r.recall, 6), round(r.specificity, 6)) for r in e.collect()}
+    assert found == {1: (33.333333, 66.666667), 2: (0.0, 0.0), 3: (0.0, 50.0)}
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_analysis_response_searches_mentions_once(spark):
+    from shelfsight.plans import catalog
+    from shelfsight.plans import entity_queries as eq
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    d = "/root/testdata/sf0.001"
+    assert joins(catalog.QUERIES["a16_analysis_response"](spark, d)) == joins(eq.mentions(spark, d))
