@@ -14,7 +14,7 @@ def _state(e: DataFrame) -> tuple:
 
 
 def _large(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return both.where("v > u").join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
 
@@ -28,16 +28,17 @@ def _small(e: DataFrame) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, root) for every node of an edge, root being the smallest node of its component.
 
     Hubs are never gathered: minima come from partial aggregation and travel back by a join
     that skew handling can split. Rounds grow with the logarithm of the longest chain. An
-    empty edge table gives an empty result; loops and repeated edges have no effect.
+    empty edge table gives an empty result; loops and repeated edges have no effect. `rows` is a
+    bound of the number of edges, where one is known.
     """
     e = saved(
         edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows=rows
     )
     seen = _state(e)
     while seen[0]:

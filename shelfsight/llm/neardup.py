@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import id_bitmap, id_slot, in_bitmap, own_columns, saved
+from shelfsight.llm.common import id_bitmap, id_slot, in_bitmap, merged, own_columns, saved
 from shelfsight.llm.components import components
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
+#: Rows of a task, of signatures and of whole sets.
+SIGNED_ROWS, SET_ROWS = 8192, 2048
 LIGHT = 16  # sets that share a shingle and are listed as pairs; more are tested inside their join
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PRIME2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -152,13 +154,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = own_columns(docs, ["doc_id", "text"])
     prints = saved(docs.mapInArrow(
         _fingerprints(words), "doc_id long, n_shingles long, digest binary, keys array<long>, bits binary"))
+    most = prints.count()
+    prints = merged(prints, most, SIGNED_ROWS)
     classes = saved(
         prints.where("n_shingles > 0").groupBy("digest")
-        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")))
+        .agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), most)
     reps = prints.join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi") \
         .dropDuplicates(["doc_id"])
-    reps = saved(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "bits"))
-    roots = _classes(docs, reps, words, percent)
+    reps = saved(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "bits"), most, SIGNED_ROWS)
+    roots = _classes(docs, reps, most, words, percent)
     rep_root = classes.join(roots, F.col("rep") == F.col("node"), "left") \
         .select("digest", F.coalesce("root", "rep").alias("component_id"))
     # A document alone with its set is its own class: only shared or linked sets go through the join.
@@ -167,28 +171,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _classes(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) of every representative that is linked to another."""
+def _classes(docs: DataFrame, reps: DataFrame, most: int, words: int, percent: int) -> DataFrame:
+    """(node, root) of every representative that is linked to another; there are `most` of them at most.
+
+    Tables are merged into as many tasks as their rows need: every table read in many tasks costs a file, and a
+    line of the log, for each task of each later step, whatever it holds.
+    """
     dealt = reps.select("rep", F.explode("keys").alias("key"))
     shared = dealt.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    star = saved(dealt.join(shared.select("key", "hub"), "key"))
+    star = saved(dealt.join(shared.select("key", "hub"), "key"), BANDS * most)
+    met = star.count()
+    star = merged(star, met)
     pairs = star.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    pairs = saved(pairs.groupBy("a", "b").agg(F.count("*").alias("m")))
+    pairs = saved(pairs.groupBy("a", "b").agg(F.count("*").alias("m")), met)
     # First each member with the hub it meets most often, then what still lies apart.
-    best = saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b"))
+    best = saved(pairs.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b"), min(met, most))
     roots = _joined(roots, _confirm(docs, reps, best, words, percent))
     others = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
-    roots = _joined(roots, _confirm(docs, reps, saved(_apart(others, roots)), words, percent))
+    roots = _joined(roots, _confirm(docs, reps, saved(_apart(others, roots), met), words, percent))
     # Hubs have met their whole buckets; the other members of buckets that hold two classes have not met each other.
-    return _joined(roots, _left(docs, reps, _open(star.where("rep <> hub").select("key", "rep"), roots), words, percent))
+    return _joined(roots, _left(docs, reps, _open(star.where("rep <> hub").select("key", "rep"), roots, most), words, percent))
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame, most: int) -> DataFrame:
     """(rep, c): the members given, with their classes, of buckets in which they belong to two classes or more."""
     named = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("c"))
     open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    return saved(named.join(open_keys, "key", "left_semi").select("rep", "c").distinct())
+    return saved(named.join(open_keys, "key", "left_semi").select("rep", "c").distinct(), most)
 
 
 def _left(docs: DataFrame, reps: DataFrame, rest: DataFrame, words: int, percent: int) -> DataFrame:
@@ -201,12 +211,14 @@ def _left(docs: DataFrame, reps: DataFrame, rest: DataFrame, words: int, percent
     classes. Where more than LIGHT sets meet, the overlap is bounded by 32-bit hashes in the join itself, so that
     few pairs but links become rows, however many near copies there are.
     """
-    if rest.isEmpty():
-        return docs.sparkSession.createDataFrame([], "a long, b long")
-    sets = _load_sets(docs, rest.select(F.col("rep").alias("doc_id")), words)
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    most = rest.count()
+    if not most:
+        return none
+    sets = _load_sets(docs, rest.select(F.col("rep").alias("doc_id")), most, words)
     each = sets.select(F.col("doc_id").alias("rep"), F.explode("items").alias("item"))
     shared = each.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
-    known = saved(each.join(shared, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("by_rarity")))
+    known = saved(each.join(shared, "item").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("by_rarity")), most, SET_ROWS)
     size = rest.join(reps.select("rep", "n", "bits"), "rep")
 
     def room(share: int, of: int) -> Column:
@@ -218,11 +230,16 @@ def _left(docs: DataFrame, reps: DataFrame, rest: DataFrame, words: int, percent
         "rep", "c", "n", room(2 * percent, 100 + percent).alias("as_smaller"),
         F.posexplode(F.slice("by_rarity", 1, room(percent, 100))).alias("i", "x"))
     first = saved(first.select("rep", "c", "n", F.col("x.item").alias("item"), (F.col("i") < F.col("as_smaller")).alias("small")))
+    first = merged(first, first.count())
     classes = first.groupBy("item", "c").agg(F.count("*").alias("m"), F.max("small").alias("small"))
     groups = classes.groupBy(F.col("item").alias("of")).agg(
         F.max_by("c", F.struct("m", "c")).alias("most"), F.count("*").alias("k"), F.sum("m").alias("sets"), F.max("small").alias("any")) \
         .where("k > 1 AND any").select("of", "most", "sets")
     apart = saved(first.join(groups, F.col("item") == F.col("of")).select("rep", "c", "n", "item", "small", "most", "sets"))
+    rows = apart.count()
+    if not rows:
+        return none
+    apart = merged(apart, rows, least=2)  # the joins below compare sets pair by pair: never all in one task
     smaller = (F.col("small") & (F.col("n") <= F.col("n_u"))) | (F.col("small_u") & (F.col("n_u") <= F.col("n")))
 
     def met(some: DataFrame, test: Column) -> DataFrame:
@@ -239,7 +256,8 @@ def _left(docs: DataFrame, reps: DataFrame, rest: DataFrame, words: int, percent
     short = known.select("rep", F.transform("by_rarity", lambda x: F.hash(x["item"])).alias("h"))
     short = short.withColumn("spare", F.size("h") - F.size(F.array_distinct("h")))
     heavy = met(apart.where(F.col("sets") > LIGHT).drop("sets").join(short, "rep"), enough)
-    return _exact(saved(light.unionAll(heavy).distinct()), sets, percent)
+    pairs = saved(light.unionAll(heavy).distinct())
+    return _exact(merged(pairs, pairs.count(), SET_ROWS), sets, percent)
 
 
 def _fit(a: str, b: str, percent: int) -> Column:
@@ -250,10 +268,13 @@ def _fit(a: str, b: str, percent: int) -> Column:
 def _joined(roots: DataFrame, found: DataFrame) -> DataFrame:
     """Classes after new links; old classes count as the stars they are."""
     found = saved(found)
-    if found.isEmpty():
-        return roots
     old = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return saved(components(old.unionByName(found)))
+    new = found.count()
+    if not new:
+        return roots
+    edges = old.unionByName(merged(found, new))
+    rows = edges.count()
+    return saved(components(edges, rows=rows), 2 * rows)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -270,19 +291,21 @@ def _confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, per
     side = {s: small.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}")) for s in "ab"}
     likely = saved(
         pairs.join(side["a"], "a").join(side["b"], "b").where(_fit("n_a", "n_b", percent))
-        .mapInArrow(_plausible(percent), "a long, b long"))
-    if likely.isEmpty():
+        .mapInArrow(_plausible(percent), "a long, b long"), pairs.count(), SIGNED_ROWS)
+    rows = likely.count()
+    if not rows:
         return likely
+    likely = merged(likely, rows, SET_ROWS)
     ends = likely.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    return _exact(likely, _load_sets(docs, ends, words), percent)
+    return _exact(likely, _load_sets(docs, ends, 2 * rows, words), percent)
 
 
-def _load_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """Shingle sets of the documents named; a fixed-size bitmap spares the shuffle of all texts."""
-    ids = saved(ids.distinct())
+def _load_sets(docs: DataFrame, ids: DataFrame, most: int, words: int) -> DataFrame:
+    """Shingle sets of the documents named, `most` at most; a fixed-size bitmap spares the shuffle of all texts."""
+    ids = saved(ids.distinct(), most)
     texts = docs.select("doc_id", "text", id_slot(F.col("doc_id")).alias("slot"))
     some = texts.mapInArrow(_sets(words, id_bitmap(ids, "doc_id")), "doc_id long, items array<long>")
-    return saved(some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return saved(some.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), most, SET_ROWS)
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import inspect
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from shelfsight.llm import bpe, decontam, licences, maxent, neardup, quality, rules, secrets, sharding
-from shelfsight.llm.common import fold
+from shelfsight.llm.common import fold, setting, shared_folder
 from shelfsight.llm.components import components
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -82,6 +83,16 @@ def test_copies_meet_through_an_original_of_large_id(spark, nothing):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
 
 
+def test_small_tables_of_near_duplicates_stay_in_few_files(spark, docs, rows):
+    """Files of the steps follow their rows, not the session's shuffle partitions."""
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("part-*"))
+    with setting(spark, "spark.sql.shuffle.partitions", "48"), setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        got = neardup.near_duplicates(docs, 4, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == classes(rows, 4, 80)
+    assert len(set(folder.rglob("part-*")) - before) < 150
+
+
 def test_signatures_estimate_similarity():
     walks, rng = neardup._walks(), np.random.default_rng(1)
     for size in (5, 40, 2000):
