@@ -50,7 +50,8 @@ def _breaches(width: str, slide: str, slides: int, limit: int) -> str:
 
 
 def _breached(spark, d, width, slide, limit, name):
-    x = jobs.run_to_files(spark, jobs.limit_breaches(jobs.event_stream(spark, d), width, slide, limit), name)
+    steps, until = jobs.run_to_watermark(spark, jobs.slide_calls(jobs.event_stream(spark, d), slide), name)
+    x = jobs.limit_breaches(steps, width, slide, limit, until)
     return x.select(F.unix_timestamp("window.start").alias("start_s"), "agent_id", "calls")
 
 

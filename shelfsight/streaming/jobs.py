@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from shelfsight.functions.num import local_day
 from shelfsight.operators import intent
@@ -42,10 +43,36 @@ def windowed_calls(events: DataFrame, width: str = "1 hour", by: str = "tool_nam
         F.count("*").alias("calls"), F.sum("amount_usd").alias("revenue"))
 
 
-def limit_breaches(events: DataFrame, width: str, slide: str, limit: int, late: str = "10 minutes") -> DataFrame:
-    """Sliding windows in which an agent reached the limit."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "agent_id").agg(
-        F.count("*").alias("calls")).where(F.col("calls") >= limit)
+def slide_calls(events: DataFrame, slide: str, late: str = "10 minutes") -> DataFrame:
+    """Calls of an agent in each step of a sliding window, the only state kept: one row for a call at most.
+
+    A call that comes after its step has closed is dropped.
+    """
+    return windowed_calls(events, slide, "agent_id", late).select(F.col("window.start").alias("start"), "agent_id", "calls")
+
+
+def limit_breaches(steps: DataFrame, width: str, slide: str, limit: int, until: pd.Timedelta | None) -> DataFrame:
+    """Sliding windows in which an agent reached the limit, over the closed steps that `slide_calls` put out.
+
+    Only windows that end by `until`, the watermark, have all their steps. A step adds its calls where the first
+    window that holds it begins and takes them back behind the last one, so the count of a window is a running
+    sum: two rows a step, and window by window only where the limit is reached. `width` is a multiple of `slide`.
+    """
+    wide, step = (pd.Timedelta(x) // pd.Timedelta(1, "us") for x in (width, slide))
+    if wide % step:
+        raise ValueError("the width of a window must be a multiple of its slide")
+    at, calls = F.unix_micros("start"), F.col("calls")
+    change = steps.select("agent_id", F.explode(F.array(
+        F.struct((at - wide + step).alias("at"), calls.alias("more")), F.struct((at + step).alias("at"), (-calls).alias("more")))).alias("x"))
+    by_time = W.partitionBy("agent_id").orderBy("x.at")
+    counts = change.select(
+        "agent_id", F.col("x.at").alias("at"), F.lead("x.at").over(by_time).alias("next"),
+        F.sum("x.more").over(by_time.rangeBetween(W.unboundedPreceding, W.currentRow)).alias("calls"))
+    last = F.lit(None if until is None else until // pd.Timedelta(1, "us") - wide).cast("long")
+    some = counts.where((F.col("calls") >= max(limit, 1)) & (F.col("next") > F.col("at")) & (F.col("at") <= last))
+    first = F.explode(F.sequence("at", F.least(F.col("next") - step, last), F.lit(step).cast("long")))
+    return some.select("agent_id", "calls", first.alias("at")).select(
+        F.struct(F.timestamp_micros("at").alias("start"), F.timestamp_micros(F.col("at") + wide).alias("end")).alias("window"), "agent_id", "calls")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
@@ -173,11 +200,17 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 def run_to_files(spark: SparkSession, job: DataFrame, name: str) -> DataFrame:
     """Drive an append-mode job over the available input and read its sink back."""
+    return run_to_watermark(spark, job, name)[0]
+
+
+def run_to_watermark(spark: SparkSession, job: DataFrame, name: str) -> tuple[DataFrame, pd.Timedelta | None]:
+    """The same, with the watermark that the job has reached as the time since the epoch; none without an event."""
     base = _folder(spark, name)
     q = job.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/ckpt").option(
         "path", f"{base}/out").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(job.schema).parquet(f"{base}/out")
+    reached = [pd.Timestamp(p["eventTime"]["watermark"]) - pd.Timestamp(0, tz="UTC") for p in q.recentProgress if "watermark" in p["eventTime"]]
+    return spark.read.schema(job.schema).parquet(f"{base}/out"), max(reached, default=None)
 
 
 def run_foreach(spark: SparkSession, segments: DataFrame, phrases: DataFrame, name: str) -> DataFrame:

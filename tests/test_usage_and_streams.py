@@ -187,6 +187,33 @@ def test_free_tier_state_is_kept_by_slots_of_a_day(spark, tmp_path):
     assert got == want
 
 
+def test_sliding_limits_keep_one_state_a_call(spark, tmp_path):
+    """Windows over several batches equal a count of every window that the watermark has passed; null agents are one agent."""
+    rng = random.Random(5)
+    at = sorted(rng.randrange(40 * 60) for _ in range(300))
+    rows = [(i, f"2024-03-01 {m // 60:02d}:{m % 60:02d}:30" if m < 1440 else f"2024-03-02 {m // 60 - 24:02d}:{m % 60:02d}:30", rng.choice(["a", "b", None])) for i, m in enumerate(at)]
+    for part in (rows[:200], rows[200:], [(999, None, "a")]):
+        spark.createDataFrame(part, "event_id long, ts string, agent_id string").withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+            "amount_usd", F.lit(1.0)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = "event_id long, ts timestamp, agent_id string, amount_usd double"
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    steps, until = jobs.run_to_watermark(spark, jobs.slide_calls(raw, "1 hour"), "slides")
+    end = at[-1] + 0.5 - 10
+    assert until.total_seconds() - 1709251200 == end * 60
+    assert steps.count() == len({(r[2], m // 60) for r, m in zip(rows, at) if (m // 60 + 1) * 60 <= end})
+    want = {}
+    for (_, _, agent), m in zip(rows, at):
+        for k in range(24):
+            want[m // 60 - k, agent] = want.get((m // 60 - k, agent), 0) + 1
+    for limit in (1, 5, 60):
+        got = jobs.limit_breaches(steps, "1 day", "1 hour", limit, until).select(((F.unix_timestamp("window.start") - 1709251200) / 3600).cast("int"), "agent_id", "calls").collect()
+        full = {k: n for k, n in want.items() if n >= limit and (k[0] + 24) * 60 <= end}
+        assert len(got) == len(full) and {(s, g): n for s, g, n in got} == full
+    assert jobs.limit_breaches(steps, "1 day", "1 hour", 1, None).count() == 0
+    with pytest.raises(ValueError):
+        jobs.limit_breaches(steps, "1 day", "7 hours", 1, until)
+
+
 def test_evaluation_joins_no_names(spark):
     """Expected and found entities meet in one grouping by case; only the cases are joined. A null name meets none."""
     from shelfsight.operators import quality as ql
