@@ -134,6 +134,25 @@ def test_containment_join(spark, bits):
     assert got == meets(docs, terms)
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_containment_join_of_words_searches_no_text_by_characters(spark, bits):
+    """Terms of letters alone: within longer words, in either case, several words of a text holding one term, equal rows, nulls."""
+    rng = random.Random(8)
+    docs = [(i % 9, "".join(rng.choice("abC é1-😀\n") for _ in range(rng.choice([0, 1, 5, 80]))), f"w{i % 2}") for i in range(50)]
+    docs += docs[:6] + [(None, "abcab xab", "n"), (None, "abcab xab", "n"), (1, None, "n"), (1, "", "n"), (2, "ab" * PIECE + "C", "n")]
+    terms = [("".join(rng.choice("abC") for _ in range(rng.randint(1, 4))), i % 3) for i in range(20)]
+    terms += terms[:3] + [("", 1), (None, 2), ("bab" * PIECE, 0), ("ab" * PIECE + "C", 0)]
+    d = spark.createDataFrame(docs, "id long, text string, wide string")
+    t = spark.createDataFrame(terms, "term string, kind long")
+    hit = containment_join(d, t, "text", "term", keep=["id"], carry=["wide"], bits=bits)
+    order = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    want = [(i, w, a, k) for i, x, w in docs for a, k in terms if a and x and a in x]
+    assert order(hit.collect()) == order(want) and want
+    assert order(containment_join(d, t, "text", "term", keep=[], bits=bits).collect()) == order(r[2:] for r in want)
+    plan = hit._jdf.queryExecution().optimizedPlan().toString()
+    assert "_body" not in plan and "_run" in plan
+
+
 def test_containment_join_over_block_ends(spark):
     """Terms across the ends of blocks, longer than a block, at the very end, and repeated in a long text."""
     rng = random.Random(6)
