@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from shelfsight.functions import fixed
 from shelfsight.functions import text as tx
 from shelfsight.functions.num import cascade
-from shelfsight.operators.joins import containment_join
+from shelfsight.operators.joins import containment_join, stored
 
 PRIORITY = {"high": 3, "medium": 2, "low": 1}
 HINT = ["term", "source", "confidence", "priority", "genus", "species", "cultivar"]
@@ -69,11 +69,12 @@ def entity_hints(docs: DataFrame, aliases: DataFrame, dictionary: DataFrame, tre
         none.alias("genus"), none.alias("species"), F.col("term").alias("cultivar"), none.alias("_gk"), F.lit(2).alias("_src")))
     # One scan of the text for all three sources.
     low = docs.select("video_id", F.lower("text").alias("_low"))
-    hit = containment_join(low, terms, "_low", "term", keep=["video_id"])
+    # Dealt by document once; the window and the grouping below then need no shuffle of their own.
+    hit = containment_join(low, terms, "_low", "term", keep=["video_id"]).repartition("video_id")
     carried = F.min("_src").over(W.partitionBy("video_id", "_gk")) == 0
     every = hit.withColumn("_has", carried).where((F.col("_src") != 1) | ~F.col("_has"))
-    last = F.max_by(F.struct(*HINT[1:]), "_src").alias("h")
-    return every.groupBy("video_id", "term").agg(last).select("video_id", "term", "h.*")
+    # Column by column, so that what nobody reads is not shuffled.
+    return every.groupBy("video_id", "term").agg(*[F.max_by(x, "_src").alias(x) for x in HINT[1:]])
 
 
 def product_keywords(products: DataFrame) -> DataFrame:
@@ -117,8 +118,12 @@ def adaptive_keywords(hints: DataFrame, rules: DataFrame | None = None, cap: int
 
 
 def lost_hints(hints: DataFrame, processed: DataFrame) -> DataFrame:
-    """High-priority hints whose term is missing from the processed text."""
-    p = processed.select("video_id", F.lower("processed").alias("_p"))
+    """High-priority hints whose term is missing from the processed text.
+
+    The processed texts are stored first: a test of them, as a join adds for nulls, would be moved to
+    their source and process every text twice, there in as many tasks as the source has splits.
+    """
+    p = stored(processed.select("video_id", F.lower("processed").alias("_p")))
     return hints.where("priority = 'high'").join(p, "video_id").where(
         ~F.contains(F.col("_p"), F.col("term"))).select("video_id", "term")
 

@@ -1,6 +1,7 @@
 """Steps that read or shuffle a text once."""
 
 from shelfsight.operators import entities as en
+from shelfsight.operators import hints as h
 
 
 def test_contexts_stay_behind_when_candidates_are_shuffled(spark):
@@ -18,3 +19,11 @@ def test_contexts_stay_behind_when_candidates_are_shuffled(spark):
     assert sides and not any("_ctx" in s or "context" in s for s in sides)
     got = {(r.mention_id, r.entry_pos): round(r.score, 6) for r in df.collect()}
     assert got == {(1, 1): 0.6325, (1, 2): 0.4, (2, 1): 0.6, (3, 1): 0.5, (3, 2): 0.4}
+
+
+def test_processed_texts_are_stored_before_they_are_tested(spark):
+    hints = spark.createDataFrame([(1, "rose", "high"), (1, "oak", "high"), (1, "elm", "low"), (2, "rose", "high"), (3, "rose", "high")], "video_id long, term string, priority string")
+    processed = spark.createDataFrame([(1, "An OAK"), (2, None)], "video_id long, processed string")
+    df = h.lost_hints(hints, processed)
+    assert any("/stored-" in f for f in df.inputFiles())
+    assert [tuple(r) for r in df.collect()] == [(1, "rose")]
