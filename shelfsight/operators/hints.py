@@ -101,20 +101,28 @@ def market_trends(products: DataFrame, minimum: int = 3) -> DataFrame:
 
 def adaptive_keywords(hints: DataFrame, rules: DataFrame | None = None, cap: int = 100, lineage: bool = True) -> DataFrame:
     """High-priority terms (with genus, species, cultivar), then medium terms up to `cap`,
-    then the context words of matching rules. One row per (document, keyword)."""
-    high = hints.where("priority = 'high'")
-    parts = [F.col("term")] + ([F.lower("genus"), F.lower("species"), F.lower("cultivar")] if lineage else [])
-    hi = high.select("video_id", F.explode(F.array(*parts)).alias("keyword")).where("keyword IS NOT NULL").distinct()
-    n_high = hi.groupBy("video_id").agg(F.count("*").alias("_n"))
-    med = hints.where("priority = 'medium'").select("video_id", F.col("term").alias("keyword")).distinct()
-    med = med.join(hi, ["video_id", "keyword"], "left_anti").join(n_high, "video_id", "left")
-    rank = F.row_number().over(W.partitionBy("video_id").orderBy("keyword"))
-    med = med.withColumn("_r", rank).where(F.col("_r") + F.coalesce("_n", F.lit(0)) <= cap).select("video_id", "keyword")
-    out = hi.unionByName(med)
+    then the context words of matching rules. One row per (document, keyword).
+
+    With rules the hints are read twice and so stored once: their search is not repeated."""
+    parts = ["genus", "species", "cultivar"] if lineage else []
+    if rules is not None:
+        hints = stored(hints.select("video_id", "term", "priority", *parts))
+    high = F.filter(F.array("term", *[F.lower(x) for x in parts]), lambda x: x.isNotNull())
+    words = hints.where("priority IN ('high', 'medium')").select(
+        "video_id", F.explode(F.when(F.col("priority") == "high", high).otherwise(F.array("term"))).alias("keyword"),
+        F.col("priority").alias("_from"))
     if rules is not None:
         ctx = rules.select(F.lower("pattern").alias("term"), F.explode("context_keywords").alias("keyword"))
-        out = out.unionByName(hints.join(ctx, "term").select("video_id", F.lower("keyword").alias("keyword")))
-    return out.distinct()
+        words = words.unionByName(hints.select("video_id", "term").join(ctx, "term").select(
+            "video_id", F.lower("keyword").alias("keyword"), F.lit("rule").alias("_from")))
+    one = words.groupBy("video_id", "keyword").agg(*[F.bool_or(F.col("_from") == x).alias(f"_{x}") for x in ("high", "medium", "rule")])
+    # As in a join, a null id equals no other.
+    known = F.col("video_id").isNotNull()
+    per = W.partitionBy("video_id")
+    one = one.withColumn("_medium", F.col("_medium") & ~(F.col("_high") & known)).withColumn(
+        "_n", F.count_if(F.col("_high") & known).over(per)).withColumn(
+        "_r", F.count_if("_medium").over(per.orderBy("keyword").rowsBetween(W.unboundedPreceding, 0)))
+    return one.where(F.col("_high") | F.col("_rule") | (F.col("_medium") & (F.col("_r") + F.col("_n") <= cap))).select("video_id", "keyword")
 
 
 def lost_hints(hints: DataFrame, processed: DataFrame) -> DataFrame:

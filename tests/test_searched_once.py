@@ -1,5 +1,9 @@
 """Steps that read or shuffle a text once."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from shelfsight.operators import entities as en
 from shelfsight.operators import hints as h
 
@@ -27,3 +31,26 @@ def test_processed_texts_are_stored_before_they_are_tested(spark):
     df = h.lost_hints(hints, processed)
     assert any("/stored-" in f for f in df.inputFiles())
     assert [tuple(r) for r in df.collect()] == [(1, "rose")]
+
+
+def test_adaptive_keywords_read_stored_hints_and_equal_plain_python(spark):
+    rng = random.Random(5)
+    names = [f"{a}{b}" for a in "abcdefgh" for b in "xyz"]
+    rows = [(v, t, rng.choice(["high", "medium", "medium", "low"]), rng.choice([None, *map(str.upper, names)]), rng.choice(names), None)
+            for v in (1, 2, None) for t in rng.sample(names, 18)]
+    hints = spark.createDataFrame(rows, "video_id long, term string, priority string, genus string, species string, cultivar string")
+    rules = spark.createDataFrame([("AX", ["ax", "Care of AX", None]), ("by", ["bz"])], "pattern string, context_keywords array<string>")
+    context = {"ax": ["ax", "care of ax", None], "by": ["bz"]}
+    for cap in (0, 14, 100):
+        want = set()
+        for v in (1, 2, None):
+            own = [r for r in rows if r[0] == v]
+            high = {x.lower() for r in own if r[2] == "high" for x in (r[1], *r[3:]) if x}
+            medium = sorted({r[1] for r in own if r[2] == "medium"} - (high if v else set()))
+            keep = medium[: max(0, cap - (len(high) if v else 0))]
+            want |= {(v, k) for k in [*high, *keep, *(k for r in own for k in context.get(r[1], []))]}
+        df = h.adaptive_keywords(hints, rules, cap)
+        assert all("/stored-" in f for f in df.inputFiles()) and df.inputFiles()
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert h.adaptive_keywords(hints.where(F.lit(False)), rules).count() == 0
