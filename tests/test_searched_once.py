@@ -54,3 +54,9 @@ def test_adaptive_keywords_read_stored_hints_and_equal_plain_python(spark):
         got = [tuple(r) for r in df.collect()]
         assert len(got) == len(want) and set(got) == want
     assert h.adaptive_keywords(hints.where(F.lit(False)), rules).count() == 0
+
+
+def test_disambiguation_reads_stored_mentions_and_candidates(spark):
+    from shelfsight.plans import catalog
+    files = catalog.QUERIES["c10_disambiguation"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and all("/stored-" in f for f in files)
